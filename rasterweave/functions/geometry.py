@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rasterweave.functions.scalars import let
+
 RING = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"
 GEOJSON = "type STRING, coordinates ARRAY<ARRAY<ARRAY<DOUBLE>>>"
 
@@ -121,24 +123,39 @@ def segments(ring: Column) -> Column:
 
 def _moments(ring: Column) -> Column:
     """Twice the signed area and the first moments, around the ring's first point."""
-    origin = F.get(ring, F.lit(0))
-    ox, oy = origin["x"], origin["y"]
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
 
-    def add(state: Column, s: Column) -> Column:
-        x1, y1, x2, y2 = s["x1"] - ox, s["y1"] - oy, s["x2"] - ox, s["y2"] - oy
-        cross = x1 * y2 - x2 * y1
-        return F.struct(
-            (state["a"] + cross).alias("a"),
-            (state["mx"] + (x1 + x2) * cross).alias("mx"),
-            (state["my"] + (y1 + y2) * cross).alias("my"),
-        )
+    def around(origin: Column) -> Column:
+        def add(state: Column, s: Column) -> Column:
+            x1, y1 = s["x1"] - origin["x"], s["y1"] - origin["y"]
+            x2, y2 = s["x2"] - origin["x"], s["y2"] - origin["y"]
+            return let(
+                x1 * y2 - x2 * y1,
+                lambda cross: F.struct(
+                    (state["a"] + cross).alias("a"),
+                    (state["mx"] + (x1 + x2) * cross).alias("mx"),
+                    (state["my"] + (y1 + y2) * cross).alias("my"),
+                ),
+            )
+
+        return F.aggregate(segments(ring), zero, add)
 
-    return F.aggregate(segments(ring), zero, add)
+    return let(F.get(ring, F.lit(0)), around)
 
 
 def signed_area(ring: Column) -> Column:
-    return _moments(ring)["a"] / 2.0
+    """Shoelace sum around the ring's first point; positive for counter-clockwise rings."""
+
+    def around(origin: Column) -> Column:
+        return F.aggregate(
+            segments(ring),
+            F.lit(0.0),
+            lambda a, s: a
+            + (s["x1"] - origin["x"]) * (s["y2"] - origin["y"])
+            - (s["x2"] - origin["x"]) * (s["y1"] - origin["y"]),
+        )
+
+    return let(F.get(ring, F.lit(0)), around) / 2.0
 
 
 def area(ring: Column, holes: Column | None = None) -> Column:
@@ -152,24 +169,31 @@ def area(ring: Column, holes: Column | None = None) -> Column:
 def centroid(ring: Column, holes: Column | None = None) -> Column:
     """Area-weighted centre ``x, y``; NULL for a ring without area."""
 
-    def part(r: Column, sign: float) -> Column:
-        m, origin = _moments(r), F.get(r, F.lit(0))
-        flip = F.when(m["a"] < 0, -sign).otherwise(sign)
-        a = m["a"] / 2.0
-        return F.struct(
-            (flip * a).alias("a"),
-            (flip * (m["mx"] / 6.0 + a * origin["x"])).alias("mx"),
-            (flip * (m["my"] / 6.0 + a * origin["y"])).alias("my"),
-        )
+    def part(r: Column) -> Column:
+        """Unsigned area and moments of one ring in absolute coordinates."""
 
-    total = part(ring, 1.0)
+        def absolute(m: Column) -> Column:
+            flip = F.when(m["a"] < 0, -0.5).otherwise(0.5)
+            origin = F.get(r, F.lit(0))
+            return F.struct(
+                (flip * m["a"]).alias("a"),
+                (flip * (m["mx"] / 3.0 + m["a"] * origin["x"])).alias("mx"),
+                (flip * (m["my"] / 3.0 + m["a"] * origin["y"])).alias("my"),
+            )
+
+        return let(_moments(r), absolute)
+
+    total = part(ring)
     if holes is not None:
-        def plus(s: Column, h: Column) -> Column:
-            p = part(h, -1.0)
-            return F.struct(*[(s[k] + p[k]).alias(k) for k in ("a", "mx", "my")])
 
-        total = F.aggregate(holes, total, plus)
-    return F.struct(F.try_divide(total["mx"], total["a"]).alias("x"), F.try_divide(total["my"], total["a"]).alias("y"))
+        def minus(s: Column, h: Column) -> Column:
+            return let(part(h), lambda p: F.struct(*[(s[k] - p[k]).alias(k) for k in ("a", "mx", "my")]))
+
+        total = F.aggregate(holes, total, minus)
+    return let(
+        total,
+        lambda t: F.struct(F.try_divide(t["mx"], t["a"]).alias("x"), F.try_divide(t["my"], t["a"]).alias("y")),
+    )
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
@@ -226,20 +250,26 @@ def crosses_itself(ring: Column) -> Column:
     Meant for rings of ordinary size; :func:`rasterweave.operators.spatial.self_intersections`
     handles long rings with a grid join.
     """
-    parts = segments(ring)
-    n = F.size(parts)
-
-    def against_later(i: Column) -> Column:
-        s = F.element_at(parts, i)
-        later = F.when(i + 2 <= n, F.sequence(i + 2, n)).otherwise(F.array().cast("array<int>"))
-        meets = F.exists(
-            later,
-            lambda j: ~((i == 1) & (j == n)) & segments_meet(s, F.element_at(parts, j)),
-        )
-        following = F.element_at(parts, F.when(i == n, 1).otherwise(i + 1))
-        return meets | folds_back(s, following)
 
-    return F.coalesce(F.exists(F.sequence(F.lit(1), n), against_later), F.lit(False))
+    def over(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def against_later(i: Column) -> Column:
+            later = F.when(i + 2 <= n, F.sequence(i + 2, n)).otherwise(F.array().cast("array<int>"))
+            following = F.element_at(parts, F.when(i == n, 1).otherwise(i + 1))
+
+            def of(s: Column) -> Column:
+                meets = F.exists(
+                    later,
+                    lambda j: ~((i == 1) & (j == n)) & let(F.element_at(parts, j), lambda t: segments_meet(s, t)),
+                )
+                return meets | let(following, lambda t: folds_back(s, t))
+
+            return let(F.element_at(parts, i), of)
+
+        return F.when(n > 0, F.exists(F.sequence(F.lit(1), n), against_later))
+
+    return F.coalesce(let(segments(ring), over), F.lit(False))
 
 
 # ------------------------------------------------------------------ coordinate systems
@@ -268,19 +298,27 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
 
 def utm_project(lon: Column, lat: Column, epsg: Column) -> Column:
     """Struct ``x, y`` in metres of a geographic position in the given UTM zone."""
-    zone = epsg % 100
-    central = zone * 6.0 - 183.0
-    phi, lam = F.radians(lat), F.radians(lon - central)
-    t = F.sinh(F.atanh(F.sin(phi)) - ECCENTRICITY * F.atanh(ECCENTRICITY * F.sin(phi)))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(1.0 + t * t))
-    x, y = eta, xi
-    for j, alpha in enumerate(KRUEGER, start=1):
-        x = x + alpha * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta)
-        y = y + alpha * F.sin(2.0 * j * xi) * F.cosh(2.0 * j * eta)
-    scale = UTM_SCALE * RECTIFYING_RADIUS
+    central = (epsg % 100) * 6.0 - 183.0
     south = F.when(F.floor(epsg / 100) == 327, UTM_SOUTH).otherwise(0.0)
-    return F.struct((UTM_EASTING + scale * x).alias("x"), (south + scale * y).alias("y"))
+    scale = UTM_SCALE * RECTIFYING_RADIUS
+    lam = F.radians(lon - central)
+
+    def conformal(sine: Column) -> Column:
+        return F.sinh(F.atanh(sine) - ECCENTRICITY * F.atanh(ECCENTRICITY * sine))
+
+    def spherical(t: Column) -> Column:
+        return F.struct(
+            F.atan2(t, F.cos(lam)).alias("xi"), F.atanh(F.sin(lam) / F.sqrt(1.0 + t * t)).alias("eta")
+        )
+
+    def series(p: Column) -> Column:
+        x, y = p["eta"], p["xi"]
+        for j, alpha in enumerate(KRUEGER, start=1):
+            x = x + alpha * F.cos(2.0 * j * p["xi"]) * F.sinh(2.0 * j * p["eta"])
+            y = y + alpha * F.sin(2.0 * j * p["xi"]) * F.cosh(2.0 * j * p["eta"])
+        return F.struct((UTM_EASTING + scale * x).alias("x"), (south + scale * y).alias("y"))
+
+    return let(let(let(F.sin(F.radians(lat)), conformal), spherical), series)
 
 
 def to_mercator(lon: Column, lat: Column) -> Column:
@@ -320,7 +358,7 @@ def densified_bounds(box: Column, source: Column, target: Column, extra: int = 2
         F.transform(share, lambda t: point(box["minx"], box["miny"] + t * h)),
         F.transform(share, lambda t: point(box["maxx"], box["miny"] + t * h)),
     )
-    return bounds(reproject(edge, source, target))
+    return let(reproject(edge, source, target), bounds)
 
 
 def project_ring_to_utm(ring: Column, epsg: Column) -> Column:
@@ -329,9 +367,14 @@ def project_ring_to_utm(ring: Column, epsg: Column) -> Column:
 
 def area_m2(ring: Column, holes: Column, crs: Column) -> Column:
     """Square metres: planar in EPSG:3857, through the local UTM zone in EPSG:4326, else NULL."""
-    centre = centroid(ring, holes)
-    epsg = utm_epsg(centre["x"], centre["y"])
-    projected = area(
-        project_ring_to_utm(ring, epsg), F.transform(holes, lambda h: project_ring_to_utm(h, epsg))
-    )
-    return F.when(crs == "EPSG:3857", area(ring, holes)).when(crs == "EPSG:4326", projected)
+
+    def through_utm(epsg: Column) -> Column:
+        outer = let(project_ring_to_utm(ring, epsg), lambda r: F.abs(signed_area(r)))
+        return outer - F.aggregate(
+            holes,
+            F.lit(0.0),
+            lambda s, h: s + let(project_ring_to_utm(h, epsg), lambda r: F.abs(signed_area(r))),
+        )
+
+    geographic = let(let(centroid(ring, holes), lambda c: utm_epsg(c["x"], c["y"])), through_utm)
+    return F.when(crs == "EPSG:3857", area(ring, holes)).when(crs == "EPSG:4326", geographic)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterweave.functions import scalars as S
 from rasterweave.functions.prefix import first_rows
+from rasterweave.session import checkpoint
 from rasterweave.taxonomy import IGNORE_ID, is_legal_mask_value
 
 # Directory names and suffixes recognised in a labelled image tree. Where several
@@ -38,79 +39,68 @@ def _rank(aliases: dict[str, tuple[str, ...]] | tuple[str, ...], key: Column) ->
     return _lookup([(alias, i) for group in groups for i, alias in enumerate(group)], key)
 
 
+def _layout_pattern() -> str:
+    def choice(names) -> str:
+        return "|".join(names)
+
+    splits = choice(a for group in SPLIT_ALIASES.values() for a in group)
+    domains = choice(a for group in DOMAIN_ALIASES.values() for a in group)
+    # an extra level is taken only where the plain layout does not fit
+    return (
+        f"^(?:([^/]+)/)??({splits})/(?:([^/]+)/)??({domains})/({choice(IMAGE_DIRS + MASK_DIRS)})/([^/]+)$"
+    )
+
+
 def parse_paths(paths: DataFrame, root: str, path: str = "path") -> DataFrame:
     """Split file paths under ``root`` into directory roles.
 
-    Recognised: ``[extra/]split/[extra/]domain/kind/file``, one extra level at each place. Adds
-    ``top``, ``split_dir``, ``inner``, ``domain_dir``, ``kind_dir``, ``file``, ``stem``,
-    ``suffix``, ``split``, ``domain`` and ``role`` (image or mask); other paths are dropped.
+    Recognised: ``[extra/]split/[extra/]domain/kind/file``. Adds ``top``, ``split_dir``,
+    ``inner``, ``domain_dir``, ``kind_dir``, ``file``, ``stem``, ``suffix``, ``split``, ``domain``
+    and ``role`` (image or mask); other paths are dropped.
     """
     base = root.rstrip("/") + "/"
+    pattern = _layout_pattern()
     p = F.col(path)
-    relative = F.when(p.startswith(base), F.substring(p, F.lit(len(base) + 1), F.length(p)))
-    parts = F.split(relative, "/")
-    n = F.size(parts)
-    rows = paths.withColumn("_parts", parts).where(p.startswith(base) & n.between(4, 6))
-
-    def part(from_end: int) -> Column:
-        return F.try_element_at("_parts", F.lit(-from_end))
-
-    split_names = [a for group in SPLIT_ALIASES.values() for a in group]
-    rows = rows.select(
-        "*",
-        part(1).alias("file"),
-        part(2).alias("kind_dir"),
-        part(3).alias("domain_dir"),
-        F.when(part(4).isin(*split_names), part(4)).otherwise(part(5)).alias("split_dir"),
-        # a split directory may repeat itself one level down: the outer one is the split
-    )
-    outer = F.when(part(5).isin(*split_names), part(5)).when(part(4).isin(*split_names), part(4))
-    at = F.when(part(5).isin(*split_names), 5).otherwise(4)
-    size = F.size("_parts")
-    rows = rows.withColumn("split_dir", outer).withColumn("_at", at)
-    rows = rows.withColumn(
-        "top", F.when(size > F.col("_at"), F.try_element_at("_parts", F.lit(1))).otherwise("")
-    ).withColumn("inner", F.when(F.col("_at") == 5, part(4)).otherwise(""))
-    rows = rows.where(size - F.col("_at") <= 1).drop("_at", "_parts")
-    role = F.when(F.col("kind_dir").isin(*IMAGE_DIRS), "image").when(
-        F.col("kind_dir").isin(*MASK_DIRS), "mask"
+    relative = F.substring(p, F.lit(len(base) + 1), F.length(p))
+    names = ("top", "split_dir", "inner", "domain_dir", "kind_dir", "file")
+    rows = paths.where(p.startswith(base) & relative.rlike(pattern)).select(
+        "*", *[F.regexp_extract(relative, pattern, i).alias(n) for i, n in enumerate(names, start=1)]
     )
-    return (
-        rows.withColumn("stem", S.file_stem("file"))
-        .withColumn("suffix", S.file_suffix("file"))
-        .withColumn("split", _canonical(SPLIT_ALIASES, F.col("split_dir")))
-        .withColumn("domain", _canonical(DOMAIN_ALIASES, F.col("domain_dir")))
-        .withColumn("role", role)
-        .where("split IS NOT NULL AND domain IS NOT NULL AND role IS NOT NULL")
+    return rows.select(
+        "*",
+        S.file_stem(F.col("file")).alias("stem"),
+        S.file_suffix(F.col("file")).alias("suffix"),
+        _canonical(SPLIT_ALIASES, F.col("split_dir")).alias("split"),
+        _canonical(DOMAIN_ALIASES, F.col("domain_dir")).alias("domain"),
+        F.when(F.col("kind_dir").isin(*IMAGE_DIRS), "image").otherwise("mask").alias("role"),
     )
 
 
 def _winning_directories(files: DataFrame) -> DataFrame:
-    """Keep, at every level, only the directory that is first in alias order.
+    """Keep, at every level, only the files of the directory that is first in alias order.
 
-    The distinct directories of a tree are few and bounded by the alias lists and one optional
-    level, but are still found by an aggregate rather than by a window over the files.
+    The choice is made on the distinct directories. It leaves one directory per split, domain and
+    role, at most twelve rows, which are then broadcast to the files.
     """
-    levels = (
-        ([], "top", F.struct(F.col("top") != "", F.col("top"))),
-        (["split"], "split_dir", _rank(SPLIT_ALIASES, F.col("split_dir"))),
-        (["split"], "inner", F.struct(F.col("inner") != "", F.col("inner"))),
-        (["split", "domain"], "domain_dir", _rank(DOMAIN_ALIASES, F.col("domain_dir"))),
+    levels = ["top", "split_dir", "inner", "domain_dir", "kind_dir"]
+    orders = (
+        ([], F.struct(F.col("top") != "", F.col("top"))),
+        (["split"], F.struct(_rank(SPLIT_ALIASES, F.col("split_dir")))),
+        (["split"], F.struct(F.col("inner") != "", F.col("inner"))),
+        (["split", "domain"], F.struct(_rank(DOMAIN_ALIASES, F.col("domain_dir")))),
         (
             ["split", "domain", "role"],
-            "kind_dir",
-            F.coalesce(_rank(IMAGE_DIRS, F.col("kind_dir")), _rank(MASK_DIRS, F.col("kind_dir"))),
+            F.struct(F.coalesce(_rank(IMAGE_DIRS, F.col("kind_dir")), _rank(MASK_DIRS, F.col("kind_dir")))),
         ),
     )
-    for keys, column, order in levels:
-        best = files.groupBy(*keys).agg(F.min_by(column, order).alias("_best"))
-        if keys:
-            # one row per split / domain / role: at most twelve rows
-            files = files.join(F.broadcast(best), keys).where(F.col(column) == F.col("_best"))
-            files = files.drop("_best")
-        else:
-            files = files.where(F.col(column) == best.scalar())
-    return files
+    keys = ["split", "domain", "role", *levels]
+    # directories that fit the layout, not files: few enough for the levels to share one task
+    chosen = files.select(*keys).distinct().repartition(1)
+    for group, order in orders:
+        peers = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+        chosen = chosen.withColumn("_at", order)
+        chosen = chosen.withColumn("_best", F.min("_at").over(peers)).where("_at = _best").drop("_at", "_best")
+    return files.join(F.broadcast(chosen), keys)
 
 
 def pair_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
@@ -137,7 +127,8 @@ def scan_paths(paths: DataFrame, root: str, with_aliases: bool = True) -> DataFr
     files = parse_paths(paths, root)
     if with_aliases:
         files = _winning_directories(files)
-    files = files.select("path", "file", "stem", "suffix", "split", "domain", "role")
+    # the listing is read once and its parsed form three times
+    files = checkpoint(files.select("path", "file", "stem", "suffix", "split", "domain", "role"))
     images = files.where((F.col("role") == "image") & F.lower("suffix").isin(*IMAGE_SUFFIXES))
     masks = files.where(F.col("role") == "mask")
     return pair_masks(images.drop("role"), masks.drop("role", "suffix")).select(

@@ -185,31 +185,23 @@ def label_regions(
 
     ``keep`` names further block arrays to carry along, such as confidence.
     """
-    labelled = label_blocks(blocks, value, ignore_ids, keep)
+    # read by the merge below and by every later measure, so labelling runs once
+    labelled = checkpoint(label_blocks(blocks, value, ignore_ids, keep))
     names = region_names(labelled, value, block, side)
     # a local id names a pixel of its own block, so renames are grouped per block: a handful each
     per_block = names.groupBy(
         "scene_id",
         F.floor(F.floor(F.col("label") / STRIDE) / block).cast("int").alias("block_row"),
         F.floor((F.col("label") % STRIDE) / block).cast("int").alias("block_col"),
-    ).agg(F.collect_list("label").alias("_old"), F.collect_list("region").alias("_new"))
+    ).agg(F.map_from_entries(F.collect_list(F.struct("label", "region"))).alias("_names"))
+    renamed = F.transform("labels", lambda l: F.coalesce(F.try_element_at("_names", l), l))
     joined = labelled.join(per_block, list(BLOCK_KEY), "left")
-
-    def rename(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            result = []
-            for labels, old, new in zip(part.labels, part._old, part._new):
-                labels = np.asarray(labels, dtype=np.int64)
-                if old is not None:
-                    old, new = np.asarray(old), np.asarray(new)
-                    order = np.argsort(old)
-                    old, new = old[order], new[order]
-                    at = np.minimum(np.searchsorted(old, labels), len(old) - 1)
-                    labels = np.where(old[at] == labels, new[at], labels)
-                result.append(labels)
-            yield part.assign(labels=result).drop(columns=["_old", "_new"])
-
-    return joined.mapInPandas(rename, labelled.schema)
+    return joined.select(
+        *[
+            F.when(F.col("_names").isNull(), F.col("labels")).otherwise(renamed).alias(c) if c == "labels" else c
+            for c in labelled.columns
+        ]
+    )
 
 
 def regions_of_pixels(
@@ -377,7 +369,8 @@ def outline_runs(edges: DataFrame) -> DataFrame:
 _CORNER = 1 << 30
 _TINY = 64
 _RING_SCHEMA = (
-    "scene_id BIGINT, region_id BIGINT, ring BIGINT, vertex BIGINT, x BIGINT, y BIGINT"
+    "scene_id BIGINT, region_id BIGINT, region_vertices BIGINT, ring BIGINT, vertex BIGINT, "
+    "x BIGINT, y BIGINT, to_x BIGINT, to_y BIGINT"
 )
 
 
@@ -403,6 +396,8 @@ def _linked_runs(runs: DataFrame) -> DataFrame:
         "region_id",
         "x1",
         "y1",
+        "x2",
+        "y2",
         code(F.col("y1"), F.col("x1"), d).alias("node"),
         code(F.col("y2"), F.col("x2"), F.when(turns_right, right).otherwise(left)).alias("next"),
     )
@@ -435,10 +430,13 @@ def _order_in_memory(pdf: pd.DataFrame) -> pd.DataFrame:
         {
             "scene_id": pdf.scene_id,
             "region_id": pdf.region_id,
+            "region_vertices": pdf.region_vertices,
             "ring": node[leader],
             "vertex": (size[leader] - steps) % size[leader],
             "x": pdf.x1,
             "y": pdf.y1,
+            "to_x": pdf.x2,
+            "to_y": pdf.y2,
         }
     )
 
@@ -451,6 +449,7 @@ def _order_by_doubling(linked: DataFrame, max_rounds: int = 64) -> DataFrame:
     join, so no join key is shared by more than one open vertex.
     """
     key = ["scene_id", "region_id"]
+    carried = ["region_vertices", "x1", "y1", "x2", "y2"]
 
     def follow(state: DataFrame, links: DataFrame, update: dict[str, Column]) -> DataFrame:
         ahead = links.select(*[F.col(c).alias(f"_{c}") for c in links.columns])
@@ -462,7 +461,7 @@ def _order_by_doubling(linked: DataFrame, max_rounds: int = 64) -> DataFrame:
         return state.join(ahead, met).select(*[update.get(c, F.col(c)).alias(c) for c in state.columns])
 
     state = checkpoint(
-        linked.select(*key, "x1", "y1", "node", "next", F.col("next").alias("jump"), F.col("node").alias("low"))
+        linked.select(*key, *carried, "node", "next", F.col("next").alias("jump"), F.col("node").alias("low"))
     )
     for _ in range(max_rounds):
         links = state.select(*key, "node", "jump", "low")
@@ -481,7 +480,7 @@ def _order_by_doubling(linked: DataFrame, max_rounds: int = 64) -> DataFrame:
         raise RuntimeError("outline leaders did not settle")
     at_leader = F.col("node") == F.col("low")
     state = state.select(
-        *key, "x1", "y1", "node", "low",
+        *key, *carried, "node", "low",
         F.when(at_leader, F.col("node")).otherwise(F.col("next")).alias("jump"),
         F.when(at_leader, 0).otherwise(1).cast("long").alias("steps"),
     )
@@ -500,50 +499,48 @@ def _order_by_doubling(linked: DataFrame, max_rounds: int = 64) -> DataFrame:
     sizes = state.groupBy(*key, "low").agg((F.max("steps") + 1).alias("_size"))
     return state.join(sizes, [*key, "low"]).select(
         *key,
+        "region_vertices",
         F.col("low").alias("ring"),
         ((F.col("_size") - F.col("steps")) % F.col("_size")).alias("vertex"),
         F.col("x1").alias("x"),
         F.col("y1").alias("y"),
+        F.col("x2").alias("to_x"),
+        F.col("y2").alias("to_y"),
     )
 
 
 def outline_rings(runs: DataFrame, limit: int = 100_000, block: int = 256) -> DataFrame:
-    """Ordered ring vertices: ``scene_id, region_id, ring, vertex, x, y`` in pixel coordinates.
+    """Ordered ring vertices in pixel coordinates: ``scene_id, region_id, region_vertices, ring,
+    vertex, x, y, to_x, to_y``, the last two being the next vertex of the ring.
 
     ``ring`` numbers the rings of a region arbitrarily but reproducibly. Regions of up to
     ``limit`` runs are ordered in bounded groups: the tiny ones together per block, others alone.
     Longer outlines go through :func:`_order_by_doubling`.
     """
-    sizes = runs.groupBy("scene_id", "region_id").agg(F.count("*").alias("_runs"))
-    linked = _linked_runs(runs).join(sizes, ["scene_id", "region_id"])
+    sizes = runs.groupBy("scene_id", "region_id").agg(F.count("*").alias("region_vertices"))
+    # read by the test for long outlines and by both ways of ordering
+    linked = checkpoint(_linked_runs(runs).join(sizes, ["scene_id", "region_id"]))
+    size = F.col("region_vertices")
     home = F.floor(F.floor(F.col("region_id") / STRIDE) / block) * STRIDE + F.floor(
         (F.col("region_id") % STRIDE) / block
     )
-    group = F.when(F.col("_runs") <= _TINY, -1 - home).otherwise(F.col("region_id"))
+    group = F.when(size <= _TINY, -1 - home).otherwise(F.col("region_id"))
     bounded = (
-        linked.where(F.col("_runs") <= limit)
+        linked.where(size <= limit)
         .withColumn("_group", group)
         .groupBy("scene_id", "_group")
         .applyInPandas(lambda pdf: _order_in_memory(pdf), _RING_SCHEMA)
     )
-    if sizes.where(F.col("_runs") > limit).isEmpty():
-        return bounded
-    return bounded.unionByName(_order_by_doubling(linked.where(F.col("_runs") > limit).drop("_runs")))
-
+    large = linked.where(size > limit)
+    return bounded if large.isEmpty() else bounded.unionByName(_order_by_doubling(large))
 
-def ring_areas(rings: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """Signed pixel area of each ring: positive for an outer ring, negative for a hole.
 
-    The outline alternates between the axes, so the area is a sum over single vertices and their
-    predecessors; it is computed with a self-join on the vertex number instead of a window.
-    """
-    key = ["scene_id", "region_id", "ring"]
-    sizes = rings.groupBy(*key).agg(F.count("*").alias("_n"))
-    here = rings.join(sizes, key)
-    following = rings.select(*key, F.col("vertex").alias("_next"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    pairs = here.withColumn("_next", (F.col("vertex") + 1) % F.col("_n")).join(following, [*key, "_next"])
-    cross = F.col("x") * F.col("_y") - F.col("_x") * F.col("y")
-    return pairs.groupBy(*key).agg((F.sum(cross) / 2.0).alias("area"), F.count("*").alias("vertices"))
+def ring_areas(rings: DataFrame) -> DataFrame:
+    """Signed pixel area of each ring: positive for an outer ring, negative for a hole."""
+    cross = F.col("x") * F.col("to_y") - F.col("to_x") * F.col("y")
+    return rings.groupBy("scene_id", "region_id", "ring").agg(
+        (F.sum(cross) / 2.0).alias("area"), F.count("*").alias("vertices")
+    )
 
 
 def polygons(rings: DataFrame, rasters: DataFrame, max_vertices: int = 1_000_000) -> DataFrame:
@@ -553,18 +550,16 @@ def polygons(rings: DataFrame, rasters: DataFrame, max_vertices: int = 1_000_000
     of the regions above ``max_vertices``, which stay a table.
     """
     key = ["scene_id", "region_id"]
-    sizes = rings.groupBy(*key).agg(F.count("*").alias("_n"))
-    fitting = rings.join(sizes.where(F.col("_n") <= max_vertices).drop("_n"), key)
-    world = fitting.join(rasters.select("scene_id", "transform"), "scene_id").withColumn(
-        "_p", affine.to_world(F.col("transform"), F.col("x"), F.col("y"))
+    fitting = rings.where(F.col("region_vertices") <= max_vertices)
+    world = fitting.join(rasters.select("scene_id", "transform"), "scene_id").select(
+        *key, "ring", "vertex", affine.to_world(F.col("transform"), F.col("x"), F.col("y")).alias("p"),
+        (F.col("x") * F.col("to_y") - F.col("to_x") * F.col("y")).alias("_cross"),
     )
     ordered = world.groupBy(*key, "ring").agg(
-        F.array_sort(F.collect_list(F.struct("vertex", "_p"))).alias("_v")
-    )
-    closed = ordered.join(ring_areas(fitting), [*key, "ring"]).select(
-        *key, "ring", (F.col("area") < 0).alias("_hole"),
-        G.close_ring(F.col("_v._p")).alias("_ring"),
+        (F.sum("_cross") < 0).alias("_hole"),
+        F.array_sort(F.collect_list(F.struct("vertex", "p"))).alias("_v"),
     )
+    closed = ordered.select(*key, "ring", "_hole", G.close_ring(F.col("_v.p")).alias("_ring"))
     return closed.groupBy(*key).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_hole", "ring", "_ring"))), lambda r: r["_ring"]
@@ -574,6 +569,4 @@ def polygons(rings: DataFrame, rasters: DataFrame, max_vertices: int = 1_000_000
 
 def oversize_vertices(rings: DataFrame, max_vertices: int = 1_000_000) -> DataFrame:
     """Ordered vertices of the regions that :func:`polygons` leaves out."""
-    key = ["scene_id", "region_id"]
-    large = rings.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > max_vertices)
-    return rings.join(large.drop("_n"), key)
+    return rings.where(F.col("region_vertices") > max_vertices)

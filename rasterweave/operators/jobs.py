@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.functions.prefix import by_ordinal, shifted
-from rasterweave.functions.scalars import ISO_ANY, has_offset, is_uuid
+from rasterweave.functions.scalars import ISO_ANY, has_offset, is_uuid, let
 
 # Lifecycle states, legal transitions, commands with their recorded reasons.
 FORWARD = (
@@ -135,10 +135,10 @@ def _advance_large(events: DataFrame) -> DataFrame:
     one" replace the fold. Every round is a salted join and a minimum, never a group in one task.
     """
     ts_type = events.schema["ts"].dataType.simpleString()
-    salted = events.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(_SALTS)))
+    salted = events.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(_SALTS)).cast("int"))
 
     def spread(per_job: DataFrame) -> DataFrame:
-        return per_job.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long"))
+        return per_job.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
 
     entry = f"struct<state: string, ts: {ts_type}, seq: bigint, revision: int>"
     state = events.select("job_id").distinct().select(
@@ -296,17 +296,19 @@ def _get(document: Column, path: str) -> Column:
 
 def _kind(value: Column) -> Column:
     """JSON type of a variant value: string, integer, number, boolean, object, array or null."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), None)
-        .when(name == "STRING", "string")
-        .when(name.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$"), "integer")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name == "VOID", "null")
-        .otherwise("number")
-    )
+
+    def named(name: Column) -> Column:
+        return (
+            F.when(name == "STRING", "string")
+            .when(name.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$"), "integer")
+            .when(name == "BOOLEAN", "boolean")
+            .when(name.startswith("OBJECT"), "object")
+            .when(name.startswith("ARRAY"), "array")
+            .when(name == "VOID", "null")
+            .when(name.isNotNull(), "number")
+        )
+
+    return let(F.schema_of_variant(value), named)
 
 
 def _text(value: Column) -> Column:
@@ -317,43 +319,84 @@ def _is_iso(text: Column) -> Column:
     return text.rlike(ISO_ANY) & F.try_to_timestamp(text).isNotNull()
 
 
-def _missing(value: Column, required: tuple[str, ...]) -> Column:
-    present = F.json_object_keys(F.to_json(value))
-    return F.array_except(F.array(*[F.lit(f) for f in required]), present)
+def _lacks(keys: Column, required: tuple[str, ...]) -> Column:
+    return F.size(F.array_except(F.array(*[F.lit(f) for f in required]), keys)) > 0
+
+
+def _keys(value: Column) -> Column:
+    return F.json_object_keys(F.to_json(value))
+
+
+def _members(value: Column, names: tuple[str, ...], with_text: bool = True) -> Column:
+    """Struct describing a variant object: its kind, its keys, and kind and text per member."""
+    fields = [_kind(value).alias("kind"), _keys(value).alias("keys")]
+    for name in names:
+        member = _get(value, f"$.{name}")
+        fields.append(_kind(member).alias(f"{name}_kind"))
+        if with_text:
+            fields.append(_text(member).alias(f"{name}_text"))
+    return F.struct(*fields)
 
 
 def _transition_problem(item: Column) -> Column:
-    """First failed rule of one stored transition."""
-    from_state, to_state = _get(item, "$.from_state"), _get(item, "$.to_state")
-    timestamp, reason = _get(item, "$.timestamp"), _get(item, "$.reason")
-    ts_text = _text(timestamp)
+    """First failed rule of one described transition."""
+    ts_text, from_text = item["timestamp_text"], item["from_state_text"]
     return (
-        F.when(_kind(item) != "object", "transition_not_object")
-        .when(F.size(_missing(item, TRANSITION_FIELDS)) > 0, "transition_missing_fields")
-        .when(~_kind(from_state).isin("string", "null"), "transition_from_state_type")
-        .when(_kind(to_state) != "string", "transition_to_state_type")
-        .when(_kind(timestamp) != "string", "transition_timestamp_type")
-        .when(~_kind(reason).isin("string", "null"), "transition_reason_type")
+        F.when(item["kind"] != "object", "transition_not_object")
+        .when(_lacks(item["keys"], TRANSITION_FIELDS), "transition_missing_fields")
+        .when(~item["from_state_kind"].isin("string", "null"), "transition_from_state_type")
+        .when(item["to_state_kind"] != "string", "transition_to_state_type")
+        .when(item["timestamp_kind"] != "string", "transition_timestamp_type")
+        .when(~item["reason_kind"].isin("string", "null"), "transition_reason_type")
         .when(~_is_iso(ts_text), "transition_timestamp_invalid")
         .when(~has_offset(ts_text), "transition_timestamp_naive")
-        .when(~_text(to_state).isin(*STATES), "transition_unknown_target")
-        .when((_kind(from_state) == "string") & ~_text(from_state).isin(*STATES), "transition_unknown_source")
+        .when(~item["to_state_text"].isin(*STATES), "transition_unknown_target")
+        .when((item["from_state_kind"] == "string") & ~from_text.isin(*STATES), "transition_unknown_source")
     )
 
 
 def _request_problem(request: Column) -> Column:
-    metadata = _get(request, "$.metadata")
+    """First failed rule of a described request."""
     return (
-        F.when(_kind(request) != "object", "request_not_object")
-        .when(F.size(_missing(request, REQUEST_FIELDS)) > 0, "request_missing_fields")
-        .when(_kind(_get(request, "$.aoi")) != "object", "aoi_not_object")
-        .when(_kind(_get(request, "$.imagery_source")) != "object", "imagery_source_not_object")
-        .when(~F.coalesce(_kind(metadata), F.lit("null")).isin("object", "null"), "metadata_not_object")
+        F.when(request["kind"] != "object", "request_not_object")
+        .when(_lacks(request["keys"], REQUEST_FIELDS), "request_missing_fields")
+        .when(request["aoi_kind"] != "object", "aoi_not_object")
+        .when(request["imagery_source_kind"] != "object", "imagery_source_not_object")
+        .when(~F.coalesce(request["metadata_kind"], F.lit("null")).isin("object", "null"), "metadata_not_object")
     )
 
 
-def _revision_ok(value: Column) -> Column:
-    return (_kind(value) == "integer") & (F.try_variant_get(value, "$", "decimal(38,0)") >= 0)
+_REQUEST_MEMBERS = ("aoi", "imagery_source", "metadata")
+
+
+def _described(documents: DataFrame, document: str) -> DataFrame:
+    """Parse each document once and describe its members in columns ``_d``, ``_r`` and ``_t``.
+
+    The parsed value and the descriptions sit behind array generators of one element, which keeps
+    the optimizer from copying the parse into every rule that reads it.
+    """
+    parsed = documents.select("*", F.explode(F.array(F.try_parse_json(F.col(document)))).alias("_doc"))
+    doc = F.col("_doc")
+    revision = F.try_variant_get(doc, "$.revision", "decimal(38,0)")
+    items = F.try_variant_get(doc, "$.transitions", "array<variant>")
+    rows = parsed.select(
+        *documents.columns,
+        F.explode(
+            F.array(
+                F.struct(
+                    _members(doc, JOB_FIELDS).alias("d"),
+                    _members(_get(doc, "$.request"), _REQUEST_MEMBERS, with_text=False).alias("r"),
+                    F.transform(items, lambda i: _members(i, TRANSITION_FIELDS)).alias("t"),
+                    revision.alias("n"),
+                )
+            )
+        ).alias("_x"),
+    )
+    return rows.select(
+        *documents.columns, F.col("_x.d").alias("_d"), F.col("_x.r").alias("_r"), F.col("_x.t").alias("_t"),
+        F.col("_x.n").alias("_n"),
+        F.coalesce((F.col("_x.d.revision_kind") == "integer") & (F.col("_x.n") >= 0), F.lit(False)).alias("_n_ok"),
+    )
 
 
 def validate_documents(documents: DataFrame, document: str = "doc") -> DataFrame:
@@ -362,80 +405,79 @@ def validate_documents(documents: DataFrame, document: str = "doc") -> DataFrame
     The first code is the one a reader that stops at the first failure would report. Every rule is
     a column expression over the parsed document; no document leaves its row.
     """
-    doc = F.col("_doc")
-    field = {name: _get(doc, f"$.{name}") for name in JOB_FIELDS}
-    created, updated = _text(field["created_at"]), _text(field["updated_at"])
-    state = _text(field["state"])
-    is_object = F.coalesce(_kind(doc) == "object", F.lit(False))
-    complete = is_object & (F.size(_missing(doc, JOB_FIELDS)) == 0)
-    stamps_typed = (_kind(field["created_at"]) == "string") & (_kind(field["updated_at"]) == "string")
-    stamps_iso = stamps_typed & _is_iso(created) & _is_iso(updated)
-    items = F.col("_items")
-    is_list = _kind(field["transitions"]) == "array"
-    bad_items = F.filter(F.transform(items, _transition_problem), lambda p: p.isNotNull())
-    readable = is_list & (F.size(bad_items) == 0)
+    d, items = F.col("_d"), F.col("_t")
+    is_object = F.coalesce(d["kind"] == "object", F.lit(False))
+    rows = _described(documents, document).select(
+        "*",
+        is_object.alias("_object"),
+        (is_object & ~_lacks(d["keys"], JOB_FIELDS)).alias("_full"),
+        F.filter(F.transform(items, _transition_problem), lambda p: p.isNotNull()).alias("_bad"),
+    )
+    full = F.col("_full")
+    created, updated = d["created_at_text"], d["updated_at_text"]
+    typed = (d["created_at_kind"] == "string") & (d["updated_at_kind"] == "string")
+    iso = typed & _is_iso(created) & _is_iso(updated)
+    is_list = d["transitions_kind"] == "array"
+    readable = full & is_list & (F.size("_bad") == 0)
     filled = readable & (F.size(items) > 0)
     first, last = F.get(items, F.lit(0)), F.try_element_at(items, F.lit(-1))
+    id_ok = F.coalesce(d["job_id_kind"] == "string", F.lit(False)) & is_uuid(d["job_id_text"])
     codes = [
-        F.when(~is_object, "not_object"),
-        F.when(is_object & ~complete, "missing_fields"),
-        F.when(complete & ~(F.coalesce(_kind(field["job_id"]) == "string", F.lit(False)) & is_uuid(_text(field["job_id"]))), "job_id_not_uuid"),
-        F.when(complete & (_kind(field["state"]) != "string"), "state_not_string"),
-        F.when(complete & (_kind(field["state"]) == "string") & ~state.isin(*STATES), "unknown_state"),
-        F.when(complete & ~stamps_typed, "timestamp_not_string"),
-        F.when(complete & stamps_typed & ~stamps_iso, "timestamp_invalid"),
-        F.when(complete & stamps_iso & ~(has_offset(created) & has_offset(updated)), "timestamp_naive"),
-        F.when(complete & ~F.coalesce(_revision_ok(field["revision"]), F.lit(False)), "revision_invalid"),
-        F.when(complete & ~is_list, "transitions_not_list"),
-        F.when(complete & is_list, F.get(bad_items, F.lit(0))),
-        F.when(complete & readable & (F.size(items) == 0), "no_transitions"),
-        F.when(complete & filled & (_kind(_get(first, "$.from_state")) != "null"), "first_from_state"),
-        F.when(complete & filled & (_text(_get(first, "$.to_state")) != "queued"), "first_to_state"),
-        F.when(complete & filled & (_text(_get(last, "$.to_state")) != F.coalesce(state, F.lit(""))), "last_to_state"),
-        F.when(
-            complete & filled & F.coalesce(_revision_ok(field["revision"]), F.lit(False))
-            & (F.try_variant_get(field["revision"], "$", "decimal(38,0)") != F.size(items) - 1),
-            "revision_mismatch",
-        ),
-        F.when(complete, _request_problem(field["request"])),
+        F.when(~F.col("_object"), "not_object"),
+        F.when(F.col("_object") & ~full, "missing_fields"),
+        F.when(full & ~id_ok, "job_id_not_uuid"),
+        F.when(full & (d["state_kind"] != "string"), "state_not_string"),
+        F.when(full & (d["state_kind"] == "string") & ~d["state_text"].isin(*STATES), "unknown_state"),
+        F.when(full & ~typed, "timestamp_not_string"),
+        F.when(full & typed & ~iso, "timestamp_invalid"),
+        F.when(full & iso & ~(has_offset(created) & has_offset(updated)), "timestamp_naive"),
+        F.when(full & ~F.col("_n_ok"), "revision_invalid"),
+        F.when(full & ~is_list, "transitions_not_list"),
+        F.when(full & is_list, F.get("_bad", F.lit(0))),
+        F.when(readable & (F.size(items) == 0), "no_transitions"),
+        F.when(filled & (first["from_state_kind"] != "null"), "first_from_state"),
+        F.when(filled & (first["to_state_text"] != "queued"), "first_to_state"),
+        F.when(filled & (last["to_state_text"] != F.coalesce(d["state_text"], F.lit(""))), "last_to_state"),
+        F.when(filled & F.col("_n_ok") & (F.col("_n") != F.size(items) - 1), "revision_mismatch"),
+        F.when(full, _request_problem(F.col("_r"))),
     ]
-    parsed = documents.withColumn("_doc", F.try_parse_json(F.col(document)))
-    parsed = parsed.withColumn("_items", F.try_variant_get(field["transitions"], "$", "array<variant>"))
-    return parsed.withColumn("errors", F.array_compact(F.array(*codes))).drop("_doc", "_items")
+    return rows.select(*documents.columns, F.array_compact(F.array(*codes)).alias("errors"))
 
 
 def validate_requests(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``error``: first failed rule of a job creation request, NULL when it is fine."""
-    doc = F.col("_doc")
-    problem = F.when(F.coalesce(_kind(doc) != "object", F.lit(True)), "not_object").otherwise(
-        _request_problem(doc)
-    )
-    return (
-        payloads.withColumn("_doc", F.try_parse_json(F.col(payload))).withColumn("error", problem).drop("_doc")
+    parsed = payloads.select("*", F.explode(F.array(F.try_parse_json(F.col(payload)))).alias("_doc"))
+    rows = parsed.select(
+        *payloads.columns,
+        F.explode(F.array(_members(F.col("_doc"), _REQUEST_MEMBERS, with_text=False))).alias("_r"),
     )
+    is_object = F.coalesce(F.col("_r.kind") == "object", F.lit(False))
+    problem = F.when(~is_object, "not_object").otherwise(_request_problem(F.col("_r")))
+    return rows.select(*payloads.columns, problem.alias("error"))
 
 
 def validate_responses(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``error``: first failed rule of a job response, NULL when it is fine."""
-    doc = F.col("_doc")
-    field = {name: _get(doc, f"$.{name}") for name in JOB_FIELDS}
-    items = F.try_variant_get(field["transitions"], "$", "array<variant>")
-    id_ok = F.coalesce(_kind(field["job_id"]) == "string", F.lit(False)) & is_uuid(_text(field["job_id"]))
+    d, r = F.col("_d"), F.col("_r")
+    id_ok = F.coalesce(d["job_id_kind"] == "string", F.lit(False)) & is_uuid(d["job_id_text"])
     problem = (
-        F.when(F.coalesce(_kind(doc) != "object", F.lit(True)), "not_object")
-        .when(F.size(_missing(doc, JOB_FIELDS)) > 0, "missing_fields")
+        F.when(~F.coalesce(d["kind"] == "object", F.lit(False)), "not_object")
+        .when(_lacks(d["keys"], JOB_FIELDS), "missing_fields")
         .when(~id_ok, "job_id_not_uuid")
-        .when(_kind(field["state"]) != "string", "state_not_string")
-        .when(~F.coalesce(_revision_ok(field["revision"]), F.lit(False)), "revision_invalid")
-        .when(_kind(field["created_at"]) != "string", "created_at_not_string")
-        .when(_kind(field["updated_at"]) != "string", "updated_at_not_string")
-        .when(_request_problem(field["request"]).isNotNull(), _request_problem(field["request"]))
-        .when(_kind(field["transitions"]) != "array", "transitions_not_list")
-        .when(F.exists(items, lambda i: _kind(i) != "object"), "transition_not_object")
-    )
-    return (
-        payloads.withColumn("_doc", F.try_parse_json(F.col(payload))).withColumn("error", problem).drop("_doc")
+        .when(d["state_kind"] != "string", "state_not_string")
+        .when(~F.col("_n_ok"), "revision_invalid")
+        .when(d["created_at_kind"] != "string", "created_at_not_string")
+        .when(d["updated_at_kind"] != "string", "updated_at_not_string")
+        .otherwise(
+            F.coalesce(
+                _request_problem(r),
+                F.when(d["transitions_kind"] != "array", "transitions_not_list").when(
+                    F.exists("_t", lambda i: i["kind"] != "object"), "transition_not_object"
+                ),
+            )
+        )
     )
+    return _described(payloads, payload).select(*payloads.columns, problem.alias("error"))
 
 
 def missing_keys(documents: DataFrame, required: tuple[str, ...], document: str = "doc") -> DataFrame:

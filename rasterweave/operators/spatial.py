@@ -153,7 +153,7 @@ def extent_intersects(aois: DataFrame, rasters: DataFrame, cell: float) -> DataF
 def aoi_bounds_in(aois: DataFrame, target_crs: str) -> DataFrame:
     """AOI extents in another coordinate system, through densified edges."""
     box = G.densified_bounds(G.bounds(F.col("ring")), F.col("crs"), F.lit(target_crs))
-    return aois.select("aoi_id", F.lit(target_crs).alias("crs"), box.alias("bounds"))
+    return aois.select("aoi_id", box.alias("bounds")).withColumn("crs", F.lit(target_crs))
 
 
 def clip_windows(aois: DataFrame, rasters: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("catalog", "statistics", "evaluation", "rasters", "regions")
+MODULES = ("catalog", "statistics", "evaluation", "rasters", "regions", "jobs", "geometry", "images")
 
 
 def load() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.functions.prefix import by_ordinal, shifted
 from rasterweave.functions.scalars import ISO_ANY, has_offset, is_uuid, let
+from rasterweave.session import checkpoint
 
 # Lifecycle states, legal transitions, commands with their recorded reasons.
 FORWARD = (
@@ -74,13 +75,6 @@ def _decide(state: Column, last: Column, to_state: Column, ts: Column) -> Column
     )
 
 
-def _split_by_size(events: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Events of ordinary jobs, and of jobs above ``limit`` events. Counting reads one column."""
-    large = events.groupBy("job_id").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    keys = large.select("job_id")
-    return events.join(keys, "job_id", "left_anti"), events.join(keys, "job_id", "left_semi")
-
-
 def _fold_small(events: DataFrame) -> DataFrame:
     ts_type = events.schema["ts"].dataType.simpleString()
     blank = F.struct(
@@ -159,12 +153,14 @@ def _advance_large(events: DataFrame) -> DataFrame:
             F.col("_next.to_state").alias("state"), F.col("_next.ts").alias("ts"),
             F.col("_next.seq").alias("seq"), F.lit(round_no).alias("revision"),
         )
-        state = state.join(found, "job_id", "left").select(
+        advanced = state.join(found, "job_id", "left").select(
             "job_id",
             F.when(F.col("_next").isNull(), F.col("_accepted"))
             .otherwise(F.concat("_accepted", F.array(taken)))
             .alias("_accepted"),
         )
+        # one small row per long job, read twice by the next round
+        state = checkpoint(advanced)
     blank = F.struct(
         F.lit(None).cast("string").alias("state"), F.lit(None).cast(ts_type).alias("ts"),
         F.lit(None).cast("long").alias("seq"), F.lit(-1).alias("revision"),
@@ -182,8 +178,13 @@ def apply_events(events: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
     finished), ``illegal`` (no such transition) or ``late`` (before the last accepted timestamp).
     """
     events = events.select("job_id", F.col("seq").cast("long").alias("seq"), "ts", "to_state")
-    small, large = _split_by_size(events, limit)
-    return _fold_small(small).unionByName(_advance_large(large))
+    # one aggregate over a single column tells whether any job is too long to fold
+    sizes = events.groupBy("job_id").agg(F.count("*").alias("_n"))
+    long_jobs = checkpoint(sizes.where(F.col("_n") > limit).select("job_id"))
+    if long_jobs.isEmpty():
+        return _fold_small(events)
+    folded = _fold_small(events.join(long_jobs, "job_id", "left_anti"))
+    return folded.unionByName(_advance_large(events.join(long_jobs, "job_id", "left_semi")))
 
 
 def current_states(outcomes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("catalog", "statistics", "evaluation", "rasters", "regions", "jobs", "geometry", "images")
+MODULES = ("catalog", "statistics", "evaluation", "rasters", "regions", "jobs", "geometry", "images", "streams")
 
 
 def load() -> dict:

@@ -126,7 +126,7 @@ f AS (SELECT doc_id, doc, json_type(doc) = 'OBJECT' AS obj, json_type(doc, '$.re
         CAST(json_array_length(doc, '$.transitions') AS BIGINT) AS n, json_extract_string(doc, '$.transitions[0].from_state') AS f0,
         json_type(doc, '$.transitions[0].from_state') AS f0t,
         json_extract_string(doc, '$.transitions[0].timestamp') AS t0, json_extract_string(doc, '$.transitions[1].to_state') AS s1,
-        json_extract_string(doc, concat('$.transitions[', CAST(json_array_length(doc, '$.transitions') AS BIGINT) - 1, '].to_state')) AS sl,
+        json_extract_string(doc, concat('$.transitions[', greatest(coalesce(CAST(json_array_length(doc, '$.transitions') AS BIGINT), 1) - 1, 0), '].to_state')) AS sl,
         json_type(doc, '$.request.aoi') AS aoi, json_type(doc, '$.request.metadata') AS md FROM job_docs),
 g AS (SELECT *, obj AND rt IS NOT NULL AS full_doc,
         CASE WHEN n > 0 AND t0 NOT LIKE '%+00:00' THEN 'transition_timestamp_naive' WHEN s1 = 'resting' THEN 'transition_unknown_target' END AS ti FROM f)

@@ -141,15 +141,26 @@ def outline_areas(v):
     )
 
 
-@query("S-8 A-21 G-2")
+@query("S-8 A-21 G-2", "grid", f"""
+WITH RECURSIVE {_AFTER}, f AS (
+  SELECT r.scene_id, region, r.class_id, round(avg(confidence), 4) AS c FROM regions r
+  JOIN grid g ON g.scene_id = r.scene_id AND g.row_idx = r.row_idx AND g.col_idx = r.col_idx GROUP BY 1, 2, 3)
+SELECT scene_id, class_id, count(*) AS features, round(sum(c), 4) AS confidence, 'EPSG:4326' AS crs FROM f GROUP BY 1, 2""")
 def feature_lines(v):
+    """GeoJSON features of all regions, read back and counted per class."""
     regions = _regions(v, ("confidence",))
     rasters = _scene_rasters(v)
     runs = K.outline_runs(K.outline_edges(regions))
     areas = K.geographic_areas(K.region_measures(regions, conf="confidence"), runs, rasters)
     shapes = K.polygons(K.outline_rings(runs), rasters)
     features = shapes.join(areas, ["scene_id", "region_id"]).join(rasters.select("scene_id", "crs"), "scene_id")
-    return sinks.feature_lines(features)
+    schema = "type STRING, properties STRUCT<class_id: INT, area_m2: DOUBLE, mean_confidence: DOUBLE, crs: STRING>"
+    lines = sinks.feature_lines(features).select("scene_id", F.from_json("doc", schema).alias("d"))
+    return lines.where("d.type = 'Feature' AND d.properties.area_m2 > 0").groupBy(
+        "scene_id", F.col("d.properties.class_id").alias("class_id"), F.col("d.properties.crs").alias("crs")
+    ).agg(
+        F.count("*").alias("features"), F.round(F.sum(F.round("d.properties.mean_confidence", 4)), 4).alias("confidence")
+    )
 
 
 @query("S-9 A-21", "grid", f"""

@@ -26,15 +26,20 @@ def get_spark(app_name: str = "rasterweave", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's shared checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder, the one named by ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``. A private folder is made only where
-    the session names none, which is the case in single-machine tests.
+    A private folder is made only where the session names none, which is the case in
+    single-machine tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

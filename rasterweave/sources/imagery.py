@@ -10,7 +10,6 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,23 +82,38 @@ class RowGroup(InputPartition):
     group: int
 
 
+def _open(path: str):
+    """File system and path of a location, local or with a scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class _BlockReader(DataSourceReader):
     def __init__(self, path: str, columns: list[str]):
         self.path, self.columns = path, columns
 
     def partitions(self) -> list[InputPartition]:
+        """One partition per Parquet row group; only footers are read here."""
         import pyarrow.parquet as pq
-
-        root = Path(self.path)
-        files = [root] if root.is_file() else sorted(root.glob("*.parquet"))
-        return [RowGroup(str(f), g) for f in files for g in range(pq.ParquetFile(f).num_row_groups)]
+        from pyarrow import fs
+
+        store, path = _open(self.path)
+        if store.get_file_info(path).type == fs.FileType.File:
+            files = [path]
+        else:
+            listed = store.get_file_info(fs.FileSelector(path, recursive=True))
+            files = sorted(f.path for f in listed if f.path.endswith(".parquet"))
+        return [
+            RowGroup(f, g) for f in files for g in range(pq.ParquetFile(f, filesystem=store).num_row_groups)
+        ]
 
     def read(self, partition: RowGroup) -> Iterator:
         import pyarrow.parquet as pq
 
-        # one row group at a time, column by column as asked for; footers alone reach the driver
-        source = pq.ParquetFile(partition.file)
-        yield from source.read_row_group(partition.group, columns=self.columns).to_batches(max_chunksize=4096)
+        store, _ = _open(self.path)
+        source = pq.ParquetFile(partition.file, filesystem=store)
+        yield from source.iter_batches(4096, row_groups=[partition.group], columns=self.columns)
 
 
 class RasterBlockSource(DataSource):

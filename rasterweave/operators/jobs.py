@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.functions.prefix import by_ordinal, shifted
-from rasterweave.functions.scalars import ISO_ANY, has_offset, is_uuid, let
+from rasterweave.functions.scalars import ISO_ANY, has_offset, is_json_integer, is_uuid, let
 from rasterweave.session import checkpoint
 
 # Lifecycle states, legal transitions, commands with their recorded reasons.
@@ -389,6 +389,8 @@ def _described(documents: DataFrame, document: str) -> DataFrame:
                     _members(_get(doc, "$.request"), _REQUEST_MEMBERS, with_text=False).alias("r"),
                     F.transform(items, lambda i: _members(i, TRANSITION_FIELDS)).alias("t"),
                     revision.alias("n"),
+                    # the parsed value cannot tell 1.0 from 1, the text can
+                    is_json_integer(F.get_json_object(F.col(document), "$.revision"), 0).alias("digits"),
                 )
             )
         ).alias("_x"),
@@ -396,7 +398,7 @@ def _described(documents: DataFrame, document: str) -> DataFrame:
     return rows.select(
         *documents.columns, F.col("_x.d").alias("_d"), F.col("_x.r").alias("_r"), F.col("_x.t").alias("_t"),
         F.col("_x.n").alias("_n"),
-        F.coalesce((F.col("_x.d.revision_kind") == "integer") & (F.col("_x.n") >= 0), F.lit(False)).alias("_n_ok"),
+        F.coalesce((F.col("_x.d.revision_kind") == "integer") & F.col("_x.digits"), F.lit(False)).alias("_n_ok"),
     )
 
 

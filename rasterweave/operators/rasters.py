@@ -275,12 +275,11 @@ def mosaic(
 
 def full_grid(rasters: DataFrame) -> DataFrame:
     """Every pixel position of every raster."""
-    rows = rasters.select(
-        "scene_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).cast("long").alias("row_idx")
-    )
-    return rows.select(
-        "scene_id", "row_idx", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).cast("long").alias("col_idx")
-    )
+    def positions(size: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(size).cast("long") - 1))
+
+    rows = rasters.select("scene_id", "width", positions("height").alias("row_idx"))
+    return rows.select("scene_id", "row_idx", positions("width").alias("col_idx"))
 
 
 # ------------------------------------------------------------------ summaries

@@ -76,11 +76,12 @@ PRODUCTS = {"mask": ("smallint", 0), "confidence": ("float", 0.0), "change": ("s
 
 def raster_blocks(blocks: DataFrame, products: dict[str, str]) -> DataFrame:
     """Cast block arrays for storage: ``{array column: product}``; NULL becomes no-data."""
-    columns = {}
-    for column, product in products.items():
+
+    def stored(column: str, product: str) -> Column:
         kind, nodata = PRODUCTS[product]
-        columns[column] = F.transform(column, lambda v, k=kind, n=nodata: with_nodata(v, n, k))
-    return blocks.withColumns(columns)
+        return F.transform(column, lambda v: with_nodata(v, nodata, kind))
+
+    return blocks.withColumns({column: stored(column, product) for column, product in products.items()})
 
 
 def write_rasters(blocks: DataFrame, path: str, products: dict[str, str], mode: str = "errorifexists") -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.functions.prefix import by_ordinal, shifted
-from rasterweave.functions.scalars import ISO_ANY, has_offset, is_json_integer, is_uuid, let
+from rasterweave.functions.scalars import ISO_ANY, has_offset, is_json_integer, is_uuid
 from rasterweave.session import checkpoint
 
 # Lifecycle states, legal transitions, commands with their recorded reasons.
@@ -291,52 +291,43 @@ def create_once(creations: DataFrame, existing: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ document rules
 
 
-def _get(document: Column, path: str) -> Column:
-    return F.try_variant_get(document, path, "variant")
-
-
 def _kind(value: Column) -> Column:
-    """JSON type of a variant value: string, integer, number, boolean, object, array or null."""
-
-    def named(name: Column) -> Column:
-        return (
-            F.when(name == "STRING", "string")
-            .when(name.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$"), "integer")
-            .when(name == "BOOLEAN", "boolean")
-            .when(name.startswith("OBJECT"), "object")
-            .when(name.startswith("ARRAY"), "array")
-            .when(name == "VOID", "null")
-            .when(name.isNotNull(), "number")
-        )
-
-    return let(F.schema_of_variant(value), named)
-
-
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+    """JSON type of a variant value by the head of its schema text; NULL when absent."""
+    # Heads of variant schema texts; every other head is a number
+    heads = {"ST": "string", "OB": "object", "AR": "array", "BO": "boolean", "VO": "null"}
+    head = F.substring(F.schema_of_variant(value), 1, 2)
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in heads.items() for x in pair]), head)
+    return F.when(value.isNotNull(), F.coalesce(named, F.lit("number")))
 
 
 def _is_iso(text: Column) -> Column:
     return text.rlike(ISO_ANY) & F.try_to_timestamp(text).isNotNull()
 
 
-def _lacks(keys: Column, required: tuple[str, ...]) -> Column:
-    return F.size(F.array_except(F.array(*[F.lit(f) for f in required]), keys)) > 0
+def _members(
+    value: Column, names: tuple[str, ...], texts: tuple[str, ...] = (), kinds: dict[str, Column] | None = None
+) -> Column:
+    """Struct describing a variant: its kind, the kind of each member and the text of some.
 
-
-def _keys(value: Column) -> Column:
-    return F.json_object_keys(F.to_json(value))
+    ``kinds`` supplies member kinds that are already known.
+    """
+    known = kinds or {}
+    return F.struct(
+        _kind(value).alias("kind"),
+        *[
+            known.get(name, _kind(F.try_variant_get(value, f"$.{name}", "variant"))).alias(f"{name}_kind")
+            for name in names
+        ],
+        *[F.try_variant_get(value, f"$.{name}", "string").alias(f"{name}_text") for name in texts],
+    )
 
 
-def _members(value: Column, names: tuple[str, ...], with_text: bool = True) -> Column:
-    """Struct describing a variant object: its kind, its keys, and kind and text per member."""
-    fields = [_kind(value).alias("kind"), _keys(value).alias("keys")]
-    for name in names:
-        member = _get(value, f"$.{name}")
-        fields.append(_kind(member).alias(f"{name}_kind"))
-        if with_text:
-            fields.append(_text(member).alias(f"{name}_text"))
-    return F.struct(*fields)
+def _lacks(described: Column, names: tuple[str, ...]) -> Column:
+    """True when one of the named members is absent (a JSON null is present)."""
+    missing = described[f"{names[0]}_kind"].isNull()
+    for name in names[1:]:
+        missing = missing | described[f"{name}_kind"].isNull()
+    return missing
 
 
 def _transition_problem(item: Column) -> Column:
@@ -344,7 +335,7 @@ def _transition_problem(item: Column) -> Column:
     ts_text, from_text = item["timestamp_text"], item["from_state_text"]
     return (
         F.when(item["kind"] != "object", "transition_not_object")
-        .when(_lacks(item["keys"], TRANSITION_FIELDS), "transition_missing_fields")
+        .when(_lacks(item, TRANSITION_FIELDS), "transition_missing_fields")
         .when(~item["from_state_kind"].isin("string", "null"), "transition_from_state_type")
         .when(item["to_state_kind"] != "string", "transition_to_state_type")
         .when(item["timestamp_kind"] != "string", "transition_timestamp_type")
@@ -360,7 +351,7 @@ def _request_problem(request: Column) -> Column:
     """First failed rule of a described request."""
     return (
         F.when(request["kind"] != "object", "request_not_object")
-        .when(_lacks(request["keys"], REQUEST_FIELDS), "request_missing_fields")
+        .when(_lacks(request, REQUEST_FIELDS), "request_missing_fields")
         .when(request["aoi_kind"] != "object", "aoi_not_object")
         .when(request["imagery_source_kind"] != "object", "imagery_source_not_object")
         .when(~F.coalesce(request["metadata_kind"], F.lit("null")).isin("object", "null"), "metadata_not_object")
@@ -378,27 +369,26 @@ def _described(documents: DataFrame, document: str) -> DataFrame:
     """
     parsed = documents.select("*", F.explode(F.array(F.try_parse_json(F.col(document)))).alias("_doc"))
     doc = F.col("_doc")
-    revision = F.try_variant_get(doc, "$.revision", "decimal(38,0)")
     items = F.try_variant_get(doc, "$.transitions", "array<variant>")
-    rows = parsed.select(
-        *documents.columns,
-        F.explode(
-            F.array(
-                F.struct(
-                    _members(doc, JOB_FIELDS).alias("d"),
-                    _members(_get(doc, "$.request"), _REQUEST_MEMBERS, with_text=False).alias("r"),
-                    F.transform(items, lambda i: _members(i, TRANSITION_FIELDS)).alias("t"),
-                    revision.alias("n"),
-                    # the parsed value cannot tell 1.0 from 1, the text can
-                    is_json_integer(F.get_json_object(F.col(document), "$.revision"), 0).alias("digits"),
-                )
-            )
-        ).alias("_x"),
+    request = F.try_variant_get(doc, "$.request", "variant")
+    present = F.try_variant_get(doc, "$.transitions", "variant").isNotNull()
+    # naming the type of a whole history would walk all of it
+    history = F.when(items.isNotNull(), "array").when(present, "other")
+    described = F.struct(
+        _members(
+            doc, JOB_FIELDS, ("job_id", "state", "created_at", "updated_at"), {"transitions": history}
+        ).alias("d"),
+        _members(request, _REQUEST_MEMBERS).alias("r"),
+        F.transform(items, lambda i: _members(i, TRANSITION_FIELDS, ("from_state", "to_state", "timestamp"))).alias("t"),
+        # the parsed value cannot tell 1.0 from 1, the text can
+        F.get_json_object(F.col(document), "$.revision").alias("n"),
     )
+    rows = parsed.select(*documents.columns, F.explode(F.array(described)).alias("_x"))
+    digits = (F.col("_x.d.revision_kind") == "number") & is_json_integer(F.col("_x.n"), 0)
     return rows.select(
         *documents.columns, F.col("_x.d").alias("_d"), F.col("_x.r").alias("_r"), F.col("_x.t").alias("_t"),
-        F.col("_x.n").alias("_n"),
-        F.coalesce((F.col("_x.d.revision_kind") == "integer") & F.col("_x.digits"), F.lit(False)).alias("_n_ok"),
+        F.coalesce(digits, F.lit(False)).alias("_n_ok"),
+        F.when(digits, F.col("_x.n").try_cast("decimal(38,0)")).alias("_n"),
     )
 
 
@@ -413,7 +403,7 @@ def validate_documents(documents: DataFrame, document: str = "doc") -> DataFrame
     rows = _described(documents, document).select(
         "*",
         is_object.alias("_object"),
-        (is_object & ~_lacks(d["keys"], JOB_FIELDS)).alias("_full"),
+        (is_object & ~_lacks(d, JOB_FIELDS)).alias("_full"),
         F.filter(F.transform(items, _transition_problem), lambda p: p.isNotNull()).alias("_bad"),
     )
     full = F.col("_full")
@@ -452,7 +442,7 @@ def validate_requests(payloads: DataFrame, payload: str = "payload") -> DataFram
     parsed = payloads.select("*", F.explode(F.array(F.try_parse_json(F.col(payload)))).alias("_doc"))
     rows = parsed.select(
         *payloads.columns,
-        F.explode(F.array(_members(F.col("_doc"), _REQUEST_MEMBERS, with_text=False))).alias("_r"),
+        F.explode(F.array(_members(F.col("_doc"), _REQUEST_MEMBERS))).alias("_r"),
     )
     is_object = F.coalesce(F.col("_r.kind") == "object", F.lit(False))
     problem = F.when(~is_object, "not_object").otherwise(_request_problem(F.col("_r")))
@@ -465,7 +455,7 @@ def validate_responses(payloads: DataFrame, payload: str = "payload") -> DataFra
     id_ok = F.coalesce(d["job_id_kind"] == "string", F.lit(False)) & is_uuid(d["job_id_text"])
     problem = (
         F.when(~F.coalesce(d["kind"] == "object", F.lit(False)), "not_object")
-        .when(_lacks(d["keys"], JOB_FIELDS), "missing_fields")
+        .when(_lacks(d, JOB_FIELDS), "missing_fields")
         .when(~id_ok, "job_id_not_uuid")
         .when(d["state_kind"] != "string", "state_not_string")
         .when(~F.col("_n_ok"), "revision_invalid")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.functions.scalars import ignored, normalise_domain, safe_divide
 from rasterweave.operators.catalog import DOMAINS
-from rasterweave.taxonomy import CLASS_IDS, IGNORE_ID, class_name, each_class
+from rasterweave.taxonomy import CLASS_IDS, IGNORE_ID, class_name
 
 SCALARS = (
     "pixel_accuracy",
@@ -103,14 +103,32 @@ def domain_confusion(per_sample: DataFrame, samples: DataFrame, with_overall: bo
 
 
 def full_matrix(matrix: DataFrame, by: Sequence[str] = (), class_ids: Sequence[int] = CLASS_IDS) -> DataFrame:
-    """Matrix with every cell of every group, zero where nothing was counted."""
-    groups = matrix.select(*by).distinct() if by else matrix.sparkSession.range(1).select()
-    cells = groups.select("*", each_class(tuple(class_ids)).alias("target_id")).select(
-        "*", each_class(tuple(class_ids)).alias("pred_id")
+    """Matrix with every cell of every group, zero where nothing was counted.
+
+    A group gathers at most classes squared counters into a map, so the matrix, and the pixels
+    behind it, are read once.
+    """
+    cell = F.struct("target_id", "pred_id")
+    filled = matrix.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct(cell.alias("cell"), F.col("pixels")))).alias("_counts")
+    )
+    cells = F.array(
+        *[
+            F.struct(F.lit(t).alias("target_id"), F.lit(p).alias("pred_id"))
+            for t in class_ids
+            for p in class_ids
+        ]
     )
-    return cells.join(matrix, [*by, "target_id", "pred_id"], "left").select(
-        *by, "target_id", "pred_id", F.coalesce("pixels", F.lit(0).cast("long")).alias("pixels")
+    zero = F.lit(0).cast("long")
+    rows = F.transform(
+        cells,
+        lambda c: F.struct(
+            c["target_id"].alias("target_id"),
+            c["pred_id"].alias("pred_id"),
+            F.coalesce(F.try_element_at("_counts", c), zero).alias("pixels"),
+        ),
     )
+    return filled.select(*by, F.inline(rows))
 
 
 def pivot_matrix(matrix: DataFrame, by: Sequence[str] = (), class_ids: Sequence[int] = CLASS_IDS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rasterweave.functions.prefix import by_ordinal, first_rows, global_index, running
 from rasterweave.functions.scalars import clip, unit_draw
 from rasterweave.operators.statistics import class_frequencies
+from rasterweave.session import checkpoint
 
 STRATEGIES = ("uniform", "class_balanced", "domain_balanced", "class_domain_balanced")
 VARIANTS = ("sample_frequency", "pixel_frequency")
@@ -77,6 +78,8 @@ def sampling_weights(
     over the samples has no join besides the one with the manifest.
     """
     _check(strategy, class_power, domain_power, min_weight, max_weight, variant)
+    # the weights, the class rarity and the mean all read the statistics: compute them once
+    stats = checkpoint(stats)
     rows = samples.select("sample_id", "domain").join(
         stats.select("sample_id", "present_classes"), "sample_id"
     )
@@ -130,6 +133,7 @@ def draw_with_replacement(
     """
     if buckets <= 0:
         raise ValueError("buckets must be positive")
+    intervals = checkpoint(intervals)
     total = intervals.agg(F.max("hi")).scalar()
     width = F.greatest(F.ceil(total / F.lit(buckets)), F.lit(1))
     sized = intervals.withColumn("_w", width)
@@ -147,7 +151,7 @@ def weighted_sample(
     """``n`` draws with replacement: ``draw_id, sample_id``; the same seed gives the same draws."""
     if n <= 0:
         raise ValueError("n must be positive")
-    intervals = weight_intervals(weights, key=key)
+    intervals = checkpoint(weight_intervals(weights, key=key))
     total = intervals.agg(F.max("hi")).scalar()
     draws = spark.range(n).withColumnRenamed("id", "draw_id")
     draws = draws.withColumn("position", F.pmod(F.xxhash64(F.lit(seed), F.col("draw_id")), total))

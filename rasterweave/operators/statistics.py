@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.functions.scalars import ratio_or_zero
+from rasterweave.session import checkpoint
 from rasterweave.taxonomy import CLASS_IDS, IGNORE_ID, each_class
 
 
@@ -90,34 +91,34 @@ def dataset_totals(samples: DataFrame, stats: DataFrame) -> DataFrame:
     return labelled.select(F.lit(samples.agg(F.count("*")).scalar()).alias("total_samples"), "*")
 
 
-def class_totals(stats: DataFrame) -> DataFrame:
-    """``class_id, pixels, samples`` for every class, present or not."""
+def _class_row(stats: DataFrame) -> DataFrame:
+    """One row: valid pixels, labelled samples and an array of ``class_id, pixels, samples``."""
     sums = stats.agg(
+        F.sum("valid_pixels").alias("valid"),
+        F.count("*").alias("labelled"),
         *[F.coalesce(F.sum(f"class_{c}"), F.lit(0)).alias(f"p_{c}") for c in CLASS_IDS],
         *[F.count_if(F.col(f"class_{c}") > 0).alias(f"s_{c}") for c in CLASS_IDS],
     )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("class_id"),
-                F.col(f"p_{c}").alias("pixels"),
-                F.col(f"s_{c}").alias("samples"),
-            )
-            for c in CLASS_IDS
-        ]
-    )
-    return sums.select(F.inline(rows))
+    entries = [
+        F.struct(F.lit(c).alias("class_id"), F.col(f"p_{c}").alias("pixels"), F.col(f"s_{c}").alias("samples"))
+        for c in CLASS_IDS
+    ]
+    return sums.select("valid", "labelled", F.array(*entries).alias("classes"))
+
+
+def class_totals(stats: DataFrame) -> DataFrame:
+    """``class_id, pixels, samples`` for every class, present or not."""
+    return _class_row(stats).select(F.inline("classes"))
 
 
 def class_frequencies(stats: DataFrame) -> DataFrame:
     """Pixel share of the valid pixels and sample share of the labelled samples, per class."""
-    totals = stats.agg(F.sum("valid_pixels").alias("v"), F.count("*").alias("n"))
-    return class_totals(stats).select(
+    return _class_row(stats).select("valid", "labelled", F.inline("classes")).select(
         "class_id",
         "pixels",
         "samples",
-        ratio_or_zero(F.col("pixels"), totals.select("v").scalar()).alias("pixel_frequency"),
-        ratio_or_zero(F.col("samples"), totals.select("n").scalar()).alias("sample_frequency"),
+        ratio_or_zero(F.col("pixels"), F.col("valid")).alias("pixel_frequency"),
+        ratio_or_zero(F.col("samples"), F.col("labelled")).alias("sample_frequency"),
     )
 
 
@@ -136,6 +137,8 @@ def statistics_report(samples: DataFrame, stats: DataFrame) -> DataFrame:
         entries = F.sort_array(F.collect_list(F.struct(F.col("class_id").cast("string"), F.col(column))))
         return F.map_from_entries(entries)
 
+    # one pass over the pixels, however many parts of the report read the result
+    stats = checkpoint(stats)
     per_class = class_frequencies(stats).agg(
         as_map("pixels").alias("class_pixel_counts"),
         as_map("samples").alias("class_sample_counts"),

@@ -6,7 +6,7 @@ from rasterweave.operators import evaluation as E
 from rasterweave.operators import experiments as X
 from rasterweave.operators import losses as LO
 from rasterweave.operators import statistics as ST
-from rasterweave.operators.extensions import grouped_metrics
+from rasterweave.operators.extensions import build_loss, grouped_metrics
 from rasterweave.plans.registry import query
 from rasterweave.sources.documents import strict_json
 from rasterweave.taxonomy import internal_index
@@ -185,7 +185,7 @@ def loss_terms(v):
     return _rounded(LO.loss_terms(v.logits), ["cross_entropy", "dice", "focal", "tversky"])
 
 
-@query("A-26 A-27 A-28 A-29 A-30", "logits label_pixels", f"""
+@query("A-26 A-27 A-28 A-29 A-30 U-4", "logits label_pixels", f"""
 WITH {_PROBS}, {_WEIGHTS}, cw AS (SELECT class_id, inverse_frequency / avg(inverse_frequency) OVER () AS w FROM w),
 tw AS (SELECT t.*, w FROM t JOIN cw ON target_id = class_id),
 s AS (SELECT k, any_value(w) AS w, sum(p[k]) AS ps, sum(CASE WHEN target_id = k THEN p[k] ELSE 0 END) AS tp,
@@ -205,7 +205,7 @@ def weighted_losses(v):
     terms = LO.loss_terms(v.logits, weights=weights)
     config = LO.LossConfig()
     named = F.array(
-        *[F.struct(F.lit(n).alias("name"), LO.COMPOSITES[n](config).alias("loss")) for n in LO.LOSSES]
+        *[F.struct(F.lit(n).alias("name"), build_loss(n, config).alias("loss")) for n in LO.LOSSES]
     )
     return _rounded(terms.select("valid_pixels", F.inline(named)).select("name", "valid_pixels", "loss"), ["loss"])
 

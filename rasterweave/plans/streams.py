@@ -1,5 +1,7 @@
 """Queries that run a stream over stored tables, score blocks or read through a data source."""
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -8,9 +10,12 @@ from rasterweave.operators import rasters as R
 from rasterweave.operators.evaluation import confusion
 from rasterweave.operators.extensions import score_blocks
 from rasterweave.plans.jobs import _RUN
+from rasterweave.plans.rasters import _MOSAIC
 from rasterweave.plans.registry import query
 from rasterweave.plans.views import Views
 from rasterweave.sources.imagery import register
+from rasterweave.session import checkpoint_folder
+from rasterweave.streaming.imagery import start_scoring
 from rasterweave.streaming.jobs import job_outcomes as streaming_outcomes
 from rasterweave.streaming.tables import run_to_table, stream_table, use_rocksdb
 
@@ -61,6 +66,26 @@ def streaming_throughput(v):
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("ST-5", "tile_preds grid", f"WITH {_MOSAIC} SELECT * FROM mosaic")
+def streaming_mosaic(v):
+    """Arriving tile predictions merged into a stored mosaic, batch by batch."""
+    base = f"{checkpoint_folder(v.spark)}/streams/{uuid.uuid4()}"
+    schema = "scene_id BIGINT, row_idx BIGINT, col_idx BIGINT, pred_id INT, conf DOUBLE"
+    versions = []
+
+    def load():
+        return v.spark.read.schema(schema).parquet(versions[-1]) if versions else v.spark.createDataFrame([], schema)
+
+    def store(merged, batch_id):
+        untouched = load().join(merged.select("scene_id").distinct(), "scene_id", "left_anti")
+        merged.unionByName(untouched).write.mode("overwrite").parquet(f"{base}/{batch_id}")
+        versions.append(f"{base}/{batch_id}")
+
+    tiles = _StreamViews(v.spark, v.folder).tile_preds
+    start_scoring(tiles, lambda batch: batch, load, store, f"{base}/progress").awaitTermination()
+    return load()
+
+
 @query("U-1", "grid", """
 SELECT scene_id, row_idx, col_idx, CAST(1 + (after_id * 3) % 7 AS INT) AS pred_id, round(confidence * 0.5, 6) AS conf FROM grid""")
 def scored_blocks(v):

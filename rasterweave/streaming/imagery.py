@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ def merge_increment(stored: DataFrame, scored: DataFrame) -> DataFrame:
 def start_scoring(
     tiles: DataFrame,
     score: Callable[[DataFrame], DataFrame],
-    load: Callable[[Sequence[str]], DataFrame],
+    load: Callable[[], DataFrame],
     store: Callable[[DataFrame, int], None],
     checkpoint_dir: str | None = None,
     **trigger,
@@ -37,6 +37,7 @@ def start_scoring(
     """Score each micro-batch of tile pixels and hand the merged mosaic to ``store``.
 
     ``load()`` returns the stored mosaic; ``score`` maps tile pixels to ``pred_id, conf``.
+    ``store`` receives the scenes the batch touched and replaces just those.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:

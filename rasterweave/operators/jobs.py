@@ -306,23 +306,30 @@ def _is_iso(text: Column) -> Column:
 
 def _members(
     value: Column, names: tuple[str, ...], texts: tuple[str, ...] = (), kinds: dict[str, Column] | None = None
-) -> Column:
-    """Struct describing a variant: its kind, the kind of each member and the text of some.
+) -> dict[str, Column]:
+    """Description of a variant: its kind, the kind of each member and the text of some.
 
     ``kinds`` supplies member kinds that are already known.
     """
     known = kinds or {}
-    return F.struct(
-        _kind(value).alias("kind"),
-        *[
-            known.get(name, _kind(F.try_variant_get(value, f"$.{name}", "variant"))).alias(f"{name}_kind")
-            for name in names
-        ],
-        *[F.try_variant_get(value, f"$.{name}", "string").alias(f"{name}_text") for name in texts],
-    )
+    described = {"kind": _kind(value)}
+    for name in names:
+        member = F.try_variant_get(value, f"$.{name}", "variant")
+        described[f"{name}_kind"] = known.get(name, _kind(member))
+    for name in texts:
+        described[f"{name}_text"] = F.try_variant_get(value, f"$.{name}", "string")
+    return described
+
+
+def _columns(described: dict[str, Column], prefix: str) -> list[Column]:
+    return [column.alias(prefix + name) for name, column in described.items()]
+
+
+def _read(described: dict[str, Column], prefix: str) -> dict[str, Column]:
+    return {name: F.col(prefix + name) for name in described}
 
 
-def _lacks(described: Column, names: tuple[str, ...]) -> Column:
+def _lacks(described: Column | dict[str, Column], names: tuple[str, ...]) -> Column:
     """True when one of the named members is absent (a JSON null is present)."""
     missing = described[f"{names[0]}_kind"].isNull()
     for name in names[1:]:
@@ -347,7 +354,7 @@ def _transition_problem(item: Column) -> Column:
     )
 
 
-def _request_problem(request: Column) -> Column:
+def _request_problem(request: dict[str, Column]) -> Column:
     """First failed rule of a described request."""
     return (
         F.when(request["kind"] != "object", "request_not_object")
@@ -361,35 +368,40 @@ def _request_problem(request: Column) -> Column:
 _REQUEST_MEMBERS = ("aoi", "imagery_source", "metadata")
 
 
-def _described(documents: DataFrame, document: str) -> DataFrame:
-    """Parse each document once and describe its members in columns ``_d``, ``_r`` and ``_t``.
+def _described(documents: DataFrame, document: str) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """Parse each document once and describe it, its request and its transitions.
 
-    The parsed value and the descriptions sit behind array generators of one element, which keeps
-    the optimizer from copying the parse into every rule that reads it.
+    Returns the rows and the columns describing document and request. The descriptions are plain
+    columns, which the rules read many times and the optimizer therefore keeps computed once.
     """
-    parsed = documents.select("*", F.explode(F.array(F.try_parse_json(F.col(document)))).alias("_doc"))
     doc = F.col("_doc")
     items = F.try_variant_get(doc, "$.transitions", "array<variant>")
     request = F.try_variant_get(doc, "$.request", "variant")
     present = F.try_variant_get(doc, "$.transitions", "variant").isNotNull()
     # naming the type of a whole history would walk all of it
     history = F.when(items.isNotNull(), "array").when(present, "other")
-    described = F.struct(
-        _members(
-            doc, JOB_FIELDS, ("job_id", "state", "created_at", "updated_at"), {"transitions": history}
-        ).alias("d"),
-        _members(request, _REQUEST_MEMBERS).alias("r"),
-        F.transform(items, lambda i: _members(i, TRANSITION_FIELDS, ("from_state", "to_state", "timestamp"))).alias("t"),
+    d = _members(doc, JOB_FIELDS, ("job_id", "state", "created_at", "updated_at"), {"transitions": history})
+    r = _members(request, _REQUEST_MEMBERS)
+
+    def transition(item: Column) -> Column:
+        return F.struct(*_columns(_members(item, TRANSITION_FIELDS, ("from_state", "to_state", "timestamp")), ""))
+
+    rows = documents.select("*", F.try_parse_json(F.col(document)).alias("_doc")).select(
+        *documents.columns,
+        *_columns(d, "_d_"),
+        *_columns(r, "_r_"),
+        F.transform(items, transition).alias("_t"),
         # the parsed value cannot tell 1.0 from 1, the text can
-        F.get_json_object(F.col(document), "$.revision").alias("n"),
+        F.get_json_object(F.col(document), "$.revision").alias("_n_text"),
     )
-    rows = parsed.select(*documents.columns, F.explode(F.array(described)).alias("_x"))
-    digits = (F.col("_x.d.revision_kind") == "number") & is_json_integer(F.col("_x.n"), 0)
-    return rows.select(
-        *documents.columns, F.col("_x.d").alias("_d"), F.col("_x.r").alias("_r"), F.col("_x.t").alias("_t"),
-        F.coalesce(digits, F.lit(False)).alias("_n_ok"),
-        F.when(digits, F.col("_x.n").try_cast("decimal(38,0)")).alias("_n"),
+    digits = (F.col("_d_revision_kind") == "number") & is_json_integer(F.col("_n_text"), 0)
+    rows = rows.withColumns(
+        {
+            "_n_ok": F.coalesce(digits, F.lit(False)),
+            "_n": F.when(digits, F.col("_n_text").try_cast("decimal(38,0)")),
+        }
     )
+    return rows, _read(d, "_d_"), _read(r, "_r_")
 
 
 def validate_documents(documents: DataFrame, document: str = "doc") -> DataFrame:
@@ -398,9 +410,10 @@ def validate_documents(documents: DataFrame, document: str = "doc") -> DataFrame
     The first code is the one a reader that stops at the first failure would report. Every rule is
     a column expression over the parsed document; no document leaves its row.
     """
-    d, items = F.col("_d"), F.col("_t")
+    described, d, r = _described(documents, document)
+    items = F.col("_t")
     is_object = F.coalesce(d["kind"] == "object", F.lit(False))
-    rows = _described(documents, document).select(
+    rows = described.select(
         "*",
         is_object.alias("_object"),
         (is_object & ~_lacks(d, JOB_FIELDS)).alias("_full"),
@@ -432,26 +445,25 @@ def validate_documents(documents: DataFrame, document: str = "doc") -> DataFrame
         F.when(filled & (first["to_state_text"] != "queued"), "first_to_state"),
         F.when(filled & (last["to_state_text"] != F.coalesce(d["state_text"], F.lit(""))), "last_to_state"),
         F.when(filled & F.col("_n_ok") & (F.col("_n") != F.size(items) - 1), "revision_mismatch"),
-        F.when(full, _request_problem(F.col("_r"))),
+        F.when(full, _request_problem(r)),
     ]
     return rows.select(*documents.columns, F.array_compact(F.array(*codes)).alias("errors"))
 
 
 def validate_requests(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``error``: first failed rule of a job creation request, NULL when it is fine."""
-    parsed = payloads.select("*", F.explode(F.array(F.try_parse_json(F.col(payload)))).alias("_doc"))
-    rows = parsed.select(
-        *payloads.columns,
-        F.explode(F.array(_members(F.col("_doc"), _REQUEST_MEMBERS))).alias("_r"),
+    described = _members(F.col("_doc"), _REQUEST_MEMBERS)
+    rows = payloads.select("*", F.try_parse_json(F.col(payload)).alias("_doc")).select(
+        *payloads.columns, *_columns(described, "_r_")
     )
-    is_object = F.coalesce(F.col("_r.kind") == "object", F.lit(False))
-    problem = F.when(~is_object, "not_object").otherwise(_request_problem(F.col("_r")))
+    r = _read(described, "_r_")
+    problem = F.when(~F.coalesce(r["kind"] == "object", F.lit(False)), "not_object").otherwise(_request_problem(r))
     return rows.select(*payloads.columns, problem.alias("error"))
 
 
 def validate_responses(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``error``: first failed rule of a job response, NULL when it is fine."""
-    d, r = F.col("_d"), F.col("_r")
+    rows, d, r = _described(payloads, payload)
     id_ok = F.coalesce(d["job_id_kind"] == "string", F.lit(False)) & is_uuid(d["job_id_text"])
     problem = (
         F.when(~F.coalesce(d["kind"] == "object", F.lit(False)), "not_object")
@@ -470,7 +482,7 @@ def validate_responses(payloads: DataFrame, payload: str = "payload") -> DataFra
             )
         )
     )
-    return _described(payloads, payload).select(*payloads.columns, problem.alias("error"))
+    return rows.select(*payloads.columns, problem.alias("error"))
 
 
 def missing_keys(documents: DataFrame, required: tuple[str, ...], document: str = "doc") -> DataFrame:

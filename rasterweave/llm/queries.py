@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import quality
+from rasterweave.llm import bpe, quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,5 +27,17 @@ def op7_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op7_compression_quality,)}
+def op5_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and decoded text of every document, long ones joined from pieces, as digests."""
+    definition = bpe.tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"), definition)
+    return bpe.decode(encoded.select("doc_id", "ids"), definition).select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {q.__name__: q for q in (op5_tree_bpe, op7_compression_quality)}
 CHECKS: dict[str, str] = {}

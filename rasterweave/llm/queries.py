@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, quality
+from rasterweave.llm import bpe, quality, wavelet
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,5 +39,12 @@ def op5_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op5_tree_bpe, op7_compression_quality)}
+def op8_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, read back from wavelet matrix shards."""
+    definition = bpe.tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))
+    shards = wavelet.write_shards(_table(spark, folder, "documents").select("doc_id", "text"), definition)
+    return wavelet.digests(shards).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {q.__name__: q for q in (op5_tree_bpe, op7_compression_quality, op8_wavelet_shards)}
 CHECKS: dict[str, str] = {}

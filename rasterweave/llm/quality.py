@@ -99,8 +99,8 @@ def fit(
 ) -> CompressionModel:
     """Build the dictionaries and the calibration.
 
-    ``sample`` bounds the labelled texts taken of each class (those with the smallest hash of the
-    id), ``sample_chars`` the characters used of each while learning; scoring always reads whole
+    ``sample`` bounds the labelled ids taken of each class (those with the smallest hash; of rows
+    with the same id, the smallest text counts), ``sample_chars`` the characters used of each while learning; scoring always reads whole
     texts. Two thirds build the dictionary, the rest the calibration, in which the
     classes weigh as they do among all labelled texts. Rows without an id, text or
     label of 0 or 1 are not learnt from; an id labelled both ways or twice counts once, as its
@@ -111,15 +111,22 @@ def fit(
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.min(label_col).alias("_y"))
     )
-    texts = docs.where(F.length(text_col) > 0).select(
-        F.col(id_col).alias("_id"), F.substring(text_col, 1, sample_chars).alias("_t")
-    )
-    labelled = texts.join(known, "_id").withColumn("_h", F.xxhash64("_id"))
+    # ids alone are joined and chosen; of the texts, only the chosen ones move
+    ids = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("_id")).distinct()
+    labelled = ids.join(known, "_id").withColumn("_h", F.xxhash64("_id"))
     sizes = {r[0]: r[1] for r in labelled.groupBy("_y").count().collect()}
-    taken = {}
-    for y in (0, 1):
-        rows = labelled.where(F.col("_y") == y).orderBy("_h", "_id", "_t").select("_t").limit(sample).collect()
-        taken[y] = [r[0] for r in rows]
+    firsts = [labelled.where(F.col("_y") == y).orderBy("_h", "_id").limit(sample) for y in (0, 1)]
+    chosen = F.broadcast(firsts[0].unionByName(firsts[1]))  # at most two samples of ids
+    rows = (
+        docs.where(F.length(text_col) > 0)
+        .select(F.col(id_col).alias("_id"), F.substring(text_col, 1, sample_chars).alias("_t"))
+        .join(chosen, "_id")
+        .groupBy("_y", "_h", "_id")
+        .agg(F.min("_t").alias("_t"))
+        .collect()
+    )
+    rows.sort(key=lambda r: (r["_h"], str(r["_id"])))
+    taken = {y: [r["_t"] for r in rows if r["_y"] == y] for y in (0, 1)}
     build = {y: [t for i, t in enumerate(ts) if i % 3] for y, ts in taken.items()}
     good, bad = _dictionary(build[1], dictionary), _dictionary(build[0], dictionary)
     pair = _compressors(good, bad, level)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import drop_states, stored, worker_state
+from rasterweave.llm.common import boxed, drop_states, quoted, stored, worker_state
 
 IDS = np.dtype("<u4")
 #: characters of a piece; cached words of a worker; bytes that a window has on each side at least
@@ -161,15 +161,17 @@ def encode(
                 for i, start in enumerate(range(0, len(text), piece)):
                     yield pd.DataFrame({"_row": [row], "_i": [i], "_piece": [text[start : start + piece]]})
 
-    long = F.coalesce(F.length(text_col) > piece, F.lit(False))
-    short = docs.where(~long).withColumn(out, encoded(F.col(text_col)))
+    text = F.col(quoted(text_col))
+    long = F.coalesce(F.length(text) > piece, F.lit(False))
+    short = docs.where(~long).withColumn(out, encoded(text))
     # row numbers must not change when a task is repeated, so the long rows are written first
-    whole = stored(docs.where(long).withColumn("_row", F.monotonically_increasing_id()), "long")
-    most = whole.agg(F.max(F.length(text_col))).first()[0] or 0
+    whole = stored(boxed(docs.where(long)).withColumn("_row", F.monotonically_increasing_id()), "long")
+    inside = F.col(f"row.{quoted(text_col)}")
+    most = whole.agg(F.max(F.length(inside))).first()[0] or 0
     if not most:
         return short
     level = (
-        whole.select("_row", F.col(text_col).alias("_text"))
+        whole.select("_row", inside.alias("_text"))
         .mapInPandas(cut, "_row long, _i long, _piece string")
         .repartition("_row", "_i")
         .select("_row", "_i", encoded("_piece").alias("_ids"))
@@ -183,7 +185,7 @@ def encode(
         )
         count = -(-count // 2)
     ends = level.select("_row", F.col("_ids").alias(out))
-    return short.unionByName(whole.join(ends, "_row").drop("_row"))
+    return short.unionByName(whole.join(ends, "_row").select("row.*", out))
 
 
 def decode(rows: DataFrame, definition: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

@@ -28,6 +28,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark's parser takes it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def boxed(df: DataFrame, *without: str, name: str = "row") -> DataFrame:
+    """``df`` as one struct column, so that its columns' names cannot clash with helper columns."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns if c not in without]).alias(name))
+
+
 def worker_state(key: str, make: Callable[[], object]):
     """An object kept by a Python worker from task to task, such as a loaded tokenizer."""
     kept = sys.__dict__.setdefault("_rasterweave_state", {})

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, quality, wavelet
+from rasterweave.llm import bpe, quality, sharding, wavelet
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,21 @@ def op7_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op1_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 16 shards whose row counts differ by at most one."""
+    dealt = sharding.shuffle_into_shards(_table(spark, folder, "documents").select("doc_id", "text"), shards=16)
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return dealt.select(
+        "doc_id",
+        (F.octet_length(data) + 1).cast("long").alias("size"),
+        F.crc32(data).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op5_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, long ones joined from pieces, as digests."""
     definition = bpe.tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
@@ -46,5 +61,5 @@ def op8_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.digests(shards).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {q.__name__: q for q in (op5_tree_bpe, op7_compression_quality, op8_wavelet_shards)}
+QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op5_tree_bpe, op7_compression_quality, op8_wavelet_shards)}
 CHECKS: dict[str, str] = {}

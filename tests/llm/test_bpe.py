@@ -46,9 +46,9 @@ def test_joined_pieces(text, piece):
 def test_rows(spark):
     long = "".join(np.random.default_rng(1).choice(list("ab'!0 é\n"), 5000).tolist())
     texts = [None, "", " ", "a", "a", long, long, "x" * 3000, "é" * 777, " \n" * 500]
-    rows = spark.createDataFrame([(i, t, "old", 1) for i, t in enumerate(texts)], "doc_id long, text string, ids string, _i int")
+    rows = spark.createDataFrame([(i, t, "old", 1) for i, t in enumerate(texts)], "doc_id long, text string, ids string, _row int")
     got = bpe.decode(bpe.encode(rows, DEFINITION, piece=100), DEFINITION).collect()
-    assert len(got) == len(texts) and {r["_i"] for r in got} == {1}
+    assert len(got) == len(texts) and {r["_row"] for r in got} == {1}
     for r in got:
         text = texts[r["doc_id"]] or ""
         assert np.frombuffer(r["ids"], bpe.IDS).tolist() == ids(text)

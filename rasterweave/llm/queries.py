@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, quality, sharding, wavelet
+from rasterweave.llm import bpe, contamination, quality, sharding, wavelet
+from rasterweave.llm.common import LOWER, UPPER
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +43,11 @@ def op1_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_contained_benchmark_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item of which a document has three quarters of the shingles."""
+    return contamination.contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op5_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, long ones joined from pieces, as digests."""
     definition = bpe.tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
@@ -61,5 +67,17 @@ def op8_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.digests(shards).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op5_tree_bpe, op7_compression_quality, op8_wavelet_shards)}
-CHECKS: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op3_contained_benchmark_items, op5_tree_bpe, op7_compression_quality, op8_wavelet_shards)}
+#: macros of DuckDB texts: the words of a text, and its distinct five-word shingles
+_WORDS = "list_filter(regexp_split_to_array(translate({}, '" + UPPER + "', '" + LOWER + "'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_SHINGLES = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"""
+
+CHECKS: dict[str, str] = {
+    "op3_contained_benchmark_items": f"""
+WITH d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)),
+i AS (SELECT item_id, {_SHINGLES} AS l FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark)),
+k AS (SELECT item_id, len(l) AS q, unnest(l) AS s FROM i)
+SELECT doc_id, item_id, q AS n_item, count(*) AS n_shared, count(*) / q AS containment
+FROM d JOIN k USING (s) GROUP BY doc_id, item_id, q HAVING 100 * count(*) >= 75 * q""",
+}

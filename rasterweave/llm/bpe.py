@@ -26,7 +26,7 @@ from rasterweave.llm.common import boxed, drop_states, quoted, stored, worker_st
 
 IDS = np.dtype("<u4")
 #: characters of a piece; cached words of a worker; bytes that a window has on each side at least
-PIECE, CACHED, MARGIN = 32_768, 300_000, 64
+PIECE, CACHED, MARGIN = 32_768, 200_000, 64
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _SPACE_RUN = re.compile(r"\s ")
 

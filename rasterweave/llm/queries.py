@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, contamination, quality, sharding, wavelet
+from rasterweave.llm import bpe, contamination, lines, quality, sharding, wavelet
 from rasterweave.llm.common import LOWER, UPPER
 
 
@@ -67,7 +67,19 @@ def op8_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.digests(shards).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op3_contained_benchmark_items, op5_tree_bpe, op7_compression_quality, op8_wavelet_shards)}
+def op9_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that an earlier line of the corpus repeats."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    kept = lines.without_repeated_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")))
+    return kept.select(
+        "doc_id",
+        "n_lines",
+        F.length("text").cast("long").alias("n_chars"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
+
+
+QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op3_contained_benchmark_items, op5_tree_bpe, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines)}
 #: macros of DuckDB texts: the words of a text, and its distinct five-word shingles
 _WORDS = "list_filter(regexp_split_to_array(translate({}, '" + UPPER + "', '" + LOWER + "'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
@@ -80,4 +92,21 @@ i AS (SELECT item_id, {_SHINGLES} AS l FROM (SELECT item_id, {_WORDS.format('tex
 k AS (SELECT item_id, len(l) AS q, unnest(l) AS s FROM i)
 SELECT doc_id, item_id, q AS n_item, count(*) AS n_shared, count(*) / q AS containment
 FROM d JOIN k USING (s) GROUP BY doc_id, item_id, q HAVING 100 * count(*) >= 75 * q""",
+    "op9_repeated_lines": """
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+o AS (SELECT line, min((doc_id, no)) AS ord FROM l WHERE length(line) >= 40 GROUP BY line),
+h AS (SELECT *, length(line) AS n, line[1:length(line) // 2] AS a, line[length(line) // 2 + 1:] AS b FROM o),
+pairs AS (
+  SELECT x.line AS lx, y.line AS ly, x.ord AS ox, y.ord AS oy FROM h x JOIN h y ON x.n = y.n AND x.a = y.a AND x.line <> y.line
+  UNION ALL SELECT x.line, y.line, x.ord, y.ord FROM h x JOIN h y ON x.n = y.n AND x.b = y.b AND x.line <> y.line
+  UNION ALL SELECT x.line, y.line, x.ord, y.ord FROM h x JOIN h y ON x.n = y.n + 1 AND x.line[1:y.n // 2] = y.a
+  UNION ALL SELECT x.line, y.line, x.ord, y.ord FROM h x JOIN h y ON x.n = y.n + 1 AND right(x.line, y.n - y.n // 2) = y.b),
+same AS (SELECT *, greatest(length(lx), length(ly)) AS m,
+  coalesce(list_min(list_filter(range(1, length(ly) + 1), lambda i: lx[i] <> ly[i])) - 1, length(ly)) AS front,
+  coalesce(list_min(list_filter(range(1, length(ly) + 1), lambda i: lx[-i] <> ly[-i])) - 1, length(ly)) AS back FROM pairs),
+near AS (SELECT DISTINCT CASE WHEN ox < oy THEN ly ELSE lx END AS line FROM same WHERE front + back >= m - 1),
+k AS (SELECT l.doc_id, l.text, l.line, l.no, coalesce(length(l.line) >= 40 AND ((l.doc_id, l.no) > o.ord OR near.line IS NOT NULL), false) AS gone
+  FROM l LEFT JOIN o USING (line) LEFT JOIN near USING (line)),
+t AS (SELECT doc_id, count(*) AS n_lines, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text FROM k GROUP BY doc_id)
+SELECT doc_id, n_lines, length(text) AS n_chars, md5(text) AS text_md5 FROM t""",
 }

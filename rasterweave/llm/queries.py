@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, contamination, lines, quality, sharding, wavelet
+from rasterweave.llm import bpe, contamination, jaccard, lines, quality, sharding, wavelet
 from rasterweave.llm.common import LOWER, UPPER
 
 
@@ -18,6 +18,11 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op6_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of three quarters Jaccard similarity."""
+    return jaccard.linked_components(_table(spark, folder, "documents"))
+
+
 def op7_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document from good and bad compression dictionaries."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -79,7 +84,7 @@ def op9_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op3_contained_benchmark_items, op5_tree_bpe, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines)}
+QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op3_contained_benchmark_items, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines)}
 #: macros of DuckDB texts: the words of a text, and its distinct five-word shingles
 _WORDS = "list_filter(regexp_split_to_array(translate({}, '" + UPPER + "', '" + LOWER + "'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, contamination, jaccard, lines, quality, sharding, wavelet
+from rasterweave.llm import bpe, contamination, jaccard, lines, quality, sharding, suffix_tree, wavelet
 from rasterweave.llm.common import LOWER, UPPER
 
 
@@ -84,7 +84,17 @@ def op9_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op3_contained_benchmark_items, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines)}
+def op10_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under a suffix tree learnt from six sevenths of them."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    held = F.coalesce(_remainder(7) == 2, F.lit(False))
+    model = suffix_tree.fit(docs.where(~held))
+    return suffix_tree.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
+QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op3_contained_benchmark_items, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines, op10_suffix_tree_scores)}
 #: macros of DuckDB texts: the words of a text, and its distinct five-word shingles
 _WORDS = "list_filter(regexp_split_to_array(translate({}, '" + UPPER + "', '" + LOWER + "'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))

@@ -37,7 +37,7 @@ def tokenizer_text(path: str) -> str:
         return file.read()
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
@@ -60,7 +60,7 @@ class Codec:
         self.tokenizer.no_padding()
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
-        byte, vocab = _byte_of(), self.tokenizer.get_vocab(with_added_tokens=True)
+        byte, vocab = byte_of(), self.tokenizer.get_vocab(with_added_tokens=True)
         self.pieces = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.pieces[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterweave.llm.bpe import byte_of
 from rasterweave.llm.common import drop_states, fresh_folder, stored, worker_state
 
 MAGIC = b"WMTX0001"
@@ -31,34 +33,55 @@ MAGIC = b"WMTX0001"
 FRAME, SHARD, CACHED = 1 << 17, 2_000_000, 500_000
 
 
-class Words:
-    """A tokenizer that drops white space, with the ids of the words it has met.
+#: Latin letters, which are single characters in either case, then other characters but ' and <
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>-@\[-`{-~]*)")
 
-    No token reaches over ASCII white space there, so a text's ids are those of its words.
+
+class Words(dict):
+    """A tokenizer that drops white space, as a map from words it has met to their ids.
+
+    No token reaches over ASCII white space there, so a text's ids are those of its words. Nor does
+    one reach from letters to other characters, so the letters of a plain word go straight to the
+    merges.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+        self.byte = {b: c for c, b in byte_of().items()}
+
+    def _part(self, part: str) -> bytes:
+        if part not in self.parts:
+            mapped = "".join(map(self.byte.__getitem__, part.encode()))
+            self.parts[part] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return self.parts[part]
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        plain = _PLAIN.fullmatch(text)
+        if plain:
+            letters, rest = plain.groups()
+            ids = self._part(letters.lower()) + (self._part(rest) if rest else b"")
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        words = text.encode("utf-8", "surrogatepass").split()
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for word, e in zip(new, found):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        if len(self) > CACHED:
+            self.clear()
+            self.parts.clear()
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
 def words(definition: str) -> Words:
@@ -277,7 +300,12 @@ def read_documents(shards: DataFrame, id_type: str = "long") -> DataFrame:
         for key, start, ids in _documents(batches):
             yield pd.DataFrame({"key": pd.array([key], "Int64"), "start": [start], "ids": [ids.tobytes()]})
 
-    return shards.select("path", "start").mapInPandas(read, f"key {id_type}, start long, ids binary")
+    return _spread(shards).mapInPandas(read, f"key {id_type}, start long, ids binary")
+
+
+def _spread(shards: DataFrame) -> DataFrame:
+    """A few shards to a task, as a list of files is too small for Spark to spread by itself."""
+    return shards.select("path", "start").repartition(max(1, shards.count() // 4))
 
 
 def digests(shards: DataFrame) -> DataFrame:
@@ -290,7 +318,7 @@ def digests(shards: DataFrame) -> DataFrame:
                 keys, starts, sizes, sums = zip(*rows)
                 yield pd.DataFrame({"key": pd.array(keys, "Int64"), "start": starts, "n_tokens": sizes, "ids_crc32": sums})
 
-    return shards.select("path", "start").mapInPandas(read, "key long, start long, n_tokens long, ids_crc32 long")
+    return _spread(shards).mapInPandas(read, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def _documents(batches) -> Iterator[tuple]:

@@ -67,3 +67,9 @@ def test_query(spark):
         own = np.array([*ids(text), 1], "<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (key, at, len(own), zlib.crc32(own.tobytes()))
         at += len(own)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="aZéÀÿß×.,#_-|@`~^>&9'<", max_size=12))
+def test_plain_words(word):
+    assert np.frombuffer(OWN.encode(word), "<u4").tolist() == ids(word)

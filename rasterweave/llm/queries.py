@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, contamination, jaccard, lines, quality, sharding, suffix_tree, wavelet
+from rasterweave.llm import bpe, contamination, jaccard, lines, neighbours, quality, sharding, suffix_tree, wavelet
 from rasterweave.llm.common import LOWER, UPPER
 
 
@@ -48,6 +48,12 @@ def op1_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_one_bit_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    data = _table(spark, folder, "embeddings")
+    return neighbours.nearest(data, data.where("vec_id % 100 = 0"))
+
+
 def op3_contained_benchmark_items(spark: SparkSession, folder: str) -> DataFrame:
     """Every benchmark item of which a document has three quarters of the shingles."""
     return contamination.contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -94,7 +100,7 @@ def op10_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op3_contained_benchmark_items, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines, op10_suffix_tree_scores)}
+QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op2_one_bit_neighbours, op3_contained_benchmark_items, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines, op10_suffix_tree_scores)}
 #: macros of DuckDB texts: the words of a text, and its distinct five-word shingles
 _WORDS = "list_filter(regexp_split_to_array(translate({}, '" + UPPER + "', '" + LOWER + "'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, contamination, jaccard, lines, neighbours, quality, sharding, suffix_tree, wavelet
+from rasterweave.llm import bpe, contamination, hosts, jaccard, lines, neighbours, quality, sharding, suffix_tree, wavelet
 from rasterweave.llm.common import LOWER, UPPER
 
 
@@ -59,6 +59,15 @@ def op3_contained_benchmark_items(spark: SparkSession, folder: str) -> DataFrame
     return contamination.contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+#: fixed values: the url rules of the query
+RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op4_link_graph_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every url, by rule or by trust and distrust of its host."""
+    return hosts.judge(_table(spark, folder, "pages"), RULES).drop("url", "html")
+
+
 def op5_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, long ones joined from pieces, as digests."""
     definition = bpe.tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
@@ -100,7 +109,7 @@ def op10_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op2_one_bit_neighbours, op3_contained_benchmark_items, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines, op10_suffix_tree_scores)}
+QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op2_one_bit_neighbours, op3_contained_benchmark_items, op4_link_graph_filter, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines, op10_suffix_tree_scores)}
 #: macros of DuckDB texts: the words of a text, and its distinct five-word shingles
 _WORDS = "list_filter(regexp_split_to_array(translate({}, '" + UPPER + "', '" + LOWER + "'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))

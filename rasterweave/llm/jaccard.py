@@ -163,19 +163,35 @@ def _possible(percent: int, a: str, b: str) -> str:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, distance) of pairs of set ids, from the whole sets."""
+def _whole_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(sid, data): hashes of the wanted sets, made anew from their documents."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                sets = [shingle_set(t.as_py(), width) for t in batch["text"].slice(start, 500)]
+                sid = pa.array([set_id(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([sid, pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "data"])
+
+    ids = stored(wanted.join(classes, "sid").select("low").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return texts.join(ids, F.expr("doc <=> low"), "left_semi").select("text").mapInArrow(make, "sid long, data binary")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, linked, distance) of pairs of set ids, from the whole sets of their documents."""
 
     @F.pandas_udf("int")
     def overlap(x: pd.Series, y: pd.Series) -> pd.Series:
         pair = ((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y))
         return pd.Series([len(np.intersect1d(a, b, assume_unique=True)) for a, b in pair], dtype="int32")
 
-    left = sets.select(F.col("sid").alias("a"), F.col("data").alias("da"))
-    right = sets.select(F.col("sid").alias("b"), F.col("data").alias("db"))
-    both = pairs.join(left, "a").join(right, "b")
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sets = _whole_sets(texts, classes, ends, width)
+    both = pairs.join(sets.withColumnsRenamed({"sid": "a", "data": "da"}), "a").join(sets.withColumnsRenamed({"sid": "b", "data": "db"}), "b")
     size = F.expr("octet_length(da) div 8 + octet_length(db) div 8")
-    both = both.select("a", "b", size.alias("size"), overlap("da", "db").alias("o"))
+    both = both.select("a", "b", size.alias("size"), overlap("da", "db").alias("o")).distinct()  # rows may share an id
     linked = f"100 * o >= {percent} * (size - o)"
     return stored(both.selectExpr("a", "b", f"{linked} as linked", "1 - o / (size - o) as distance"), "verified")
 
@@ -192,7 +208,7 @@ def linked_components(
     """
     texts = docs.select(F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
     rows = stored(_sets(texts, width), "sets")
-    classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc").alias("low"))
+    classes = stored(rows.where("n > 0").groupBy("sid").agg(F.min("doc").alias("low")), "classes")
     regions = _regions(texts, width, percent)
 
     # pivot of each region: the member with the least hash
@@ -202,18 +218,15 @@ def linked_components(
 
     first = stored(pivots(regions, 0), "pivots")
     met = regions.alias("x").join(first.alias("p"), "h").where(f"x.sid <> p.sid and {_possible(percent, 'x', 'p')}")
-    star = stored(met.select(F.col("x.sid").alias("a"), F.col("p.sid").alias("b")).distinct(), "star")
+    star = met.select(F.col("x.sid").alias("a"), F.col("p.sid").alias("b")).distinct()
 
-    # whole sets of all members of regions where a link is possible
-    sizes = stored(regions.groupBy("h").agg(F.count("*").alias("m")).where("m > 2"), "sizes")
-    members = star.selectExpr("explode(array(a, b)) as sid").unionByName(regions.join(sizes, "h", "left_semi").select("sid")).distinct()
-    wanted = stored(members.join(classes, "sid").select("sid", "low"), "members")
-    sets = stored(_whole_sets(texts, wanted, width), "whole")
-    known = _verified(star, sets, percent)
+    verify = lambda pairs: _verified(pairs, texts, classes, width, percent)
+    known = verify(star)
     links = known.where("linked").select("a", "b")
 
     # members that their pivots did not connect
-    crowded = regions.join(sizes, "h").where("m > 2")
+    sizes = stored(regions.groupBy("h").agg(F.count("*").alias("m")).where("m > 2"), "sizes")
+    crowded = regions.join(sizes, "h")
     for turn in range(1, PIVOTS):
         parts = components(links)
         open_ = _unconnected(crowded.where(F.col("m") > crowd), parts)
@@ -221,7 +234,7 @@ def linked_components(
         more = open_.alias("x").join(next_.alias("p"), "h").where(f"x.sid <> p.sid and {_possible(percent, 'x', 'p')}")
         more = more.select(F.col("x.sid").alias("a"), F.col("p.sid").alias("b")).distinct()
         more = _apart(more, parts).join(known, ["a", "b"], "left_anti")
-        more = _verified(more, sets, percent)
+        more = verify(more)
         if more.isEmpty():
             break
         known = known.unionByName(more)
@@ -240,7 +253,7 @@ def linked_components(
         .distinct()
     )
     seen = known.select("a", "b").unionByName(known.selectExpr("b as a", "a as b"))
-    links = links.unionByName(_verified(rest.join(seen, ["a", "b"], "left_anti"), sets, percent).where("linked").select("a", "b"))
+    links = links.unionByName(verify(rest.join(seen, ["a", "b"], "left_anti")).where("linked").select("a", "b"))
 
     parts = components(links)
     lows = parts.join(classes, parts["id"] == classes["sid"]).select("sid", "component", "low")
@@ -252,22 +265,6 @@ def linked_components(
     return linked.unionByName(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _whole_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, data): hashes of the wanted sets, made anew from their documents."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch["text"]]
-            sid = pa.array([set_id(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([sid, pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "data"])
-
-    ids = wanted.select("low").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
-    docs = texts.join(ids, F.expr("doc <=> low"), "left_semi").select("text")
-    made = docs.mapInArrow(make, "sid long, data binary")
-    return made.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.max("data").alias("data"))
-
-
 def _unconnected(regions: DataFrame, parts: DataFrame) -> DataFrame:
     """Regions with members of different components, with each member's component ``part``."""
     placed = regions.join(parts.select(F.col("id").alias("sid"), F.col("component").alias("part")), "sid", "left")

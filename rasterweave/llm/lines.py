@@ -37,24 +37,16 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     )
 
 
-def _keys() -> Column:
-    """Index and probe keys of a line: (key, indexed, side, size of the other segment)."""
+def _segments() -> list[tuple[bool, int, Column, Column]]:
+    """Index and probe segments of a line: whether indexed, the side, its key and its size."""
     n = F.length("line")
     out = []
     for gap in (0, 1):  # how much longer the line is than the lines it looks for
         size = n - gap
         head, tail = F.floor(size / 2).cast("int"), (size - F.floor(size / 2)).cast("int")
         parts = ((0, F.substring(F.col("line"), F.lit(1), head), head), (1, F.substring(F.col("line"), n - tail + 1, tail), tail))
-        for side, part, length in parts:
-            out.append(
-                F.struct(
-                    F.xxhash64(F.lit(side), size, part).alias("key"),
-                    F.lit(gap == 0).alias("indexed"),
-                    F.lit(side).alias("side"),
-                    length.alias("same"),
-                )
-            )
-    return F.array(*out)
+        out += [(gap == 0, side, F.xxhash64(F.lit(side), size, part), length) for side, part, length in parts]
+    return out
 
 
 def _without_one(part: Column) -> Column:
@@ -77,17 +69,30 @@ def dropped_lines(
     empty table has no rows.
     """
     lines = _lines(docs, id_col, text_col, min_chars)
-    grouped = lines.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), F.min("line").alias("line"), F.count("*").alias("n"))
-    distinct = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "lines")
-    keyed = distinct.select("id", F.explode(_keys()).alias("k")).select("id", "k.*")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.max("indexed").alias("any")).where("m > 1 and any")
+    # lines travel as hashes and keys; their text only where a segment is shared
+    segments = _segments()
+    keys = [key.alias(f"k{i}") for i, (_, _, key, _) in enumerate(segments)]
+    names = [f"k{i}" for i in range(len(keys))]
+    firsts = lines.select("h1", "h2", "ord", F.length("line").alias("size"), *keys)
+    least = F.min(F.struct("ord", "size", *names)).alias("m")  # equal lines have equal keys
+    distinct = firsts.groupBy("h1", "h2").agg(least, F.count("*").alias("n")).select("h1", "h2", "n", "m.*")
+    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
+    each = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i).alias("k")) for i in range(len(keys))])
+    keyed = distinct.select("id", F.explode(each).alias("e")).select("id", "e.*")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("k").alias("first")).where("m > 1 and first < 2")
     shared = stored(keyed.join(sizes.select("key", "m"), "key"), "shared")
-    texts = distinct.select("id", "ord", "line")
+    wanted = distinct.join(shared.select("id").distinct(), "id").select("h1", "h2", "id", F.col("ord").alias("first"))
+    wanted = stored(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = lines.join(wanted, ["h1", "h2"]).where("ord = first").select("id", "ord", "line")
+    texts = stored(texts.dropDuplicates(["id"]), "texts")  # repeated rows have equal places
+    indexed, half = F.col("k") < 2, F.floor((F.length("line") - F.when(F.col("k") < 2, 0).otherwise(1)) / 2)
 
     # few lines: verify the pairs of an indexed and any other line
     few = shared.where(F.col("m") <= crowd)
     pairs = (
-        few.where("indexed").select("key", F.col("id").alias("a"))
+        few.where(indexed).select("key", F.col("id").alias("a"))
         .join(few.select("key", F.col("id").alias("b")), "key")
         .where("a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -100,9 +105,10 @@ def dropped_lines(
 
     # many lines: the other segment without one character
     many = shared.where(F.col("m") > crowd).join(texts, "id")
-    other = F.when(F.col("side") == 0, F.expr("substring(line, same + 1, length(line))")).otherwise(
-        F.expr("substring(line, 1, length(line) - same)")
+    other = F.when(F.col("k") % 2 == 0, F.expr("substring(line, cast(half as int) + 1, length(line))")).otherwise(
+        F.expr("substring(line, 1, cast(half as int) + if(k < 2, 0, 1))")
     )
+    many = many.withColumn("half", half).withColumn("indexed", indexed)
     # lines as long as those indexed show every place and the whole; longer ones only what is left of them
     parts = many.select("key", "indexed", "id", "ord", F.explode(_without_one(other)).alias("p"))
     parts = parts.where("indexed or p.place > 0")

@@ -90,11 +90,11 @@ def contained_items(
 
     found = texts.alias("t").join(_small(candidates).alias("c"), F.expr("t.doc <=> c.doc"))
     found = found.select(
-        F.col("t.doc").alias("doc"),
-        shingle_texts(native_words(F.col("t.t")), width).alias("own"),
-        F.expr("if(c.nulls, array_append(c.items, null), c.items)").alias("items"),
+        F.col("t.doc").alias("doc"), native_words(F.col("t.t")).alias("w"), F.expr("if(c.nulls, array_append(c.items, null), c.items)").alias("items")
     )
-    pairs = found.select("doc", "own", F.explode("items").alias("item")).alias("p")
+    # words are a column of their own, so that no shingle splits the text again
+    own = found.select("doc", shingle_texts(F.col("w"), width).alias("own"), "items")
+    pairs = own.select("doc", "own", F.explode("items").alias("item")).alias("p")
     verified = pairs.join(_small(known).alias("k"), F.expr("p.item <=> k.item")).select(
         F.col("p.doc").alias("doc_id"),
         F.col("p.item").alias("item_id"),

@@ -57,16 +57,16 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, n, sid) of every row of (doc, text)."""
+    """(doc, th, n, sid) of every row of (doc, text, th)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width) for t in batch["text"]]
             n = pa.array([len(s) for s in sets], pa.int64())
             sid = pa.array([set_id(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc"], n, sid], ["doc", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([batch["doc"], batch["th"], n, sid], ["doc", "th", "n", "sid"])
 
-    return docs.mapInArrow(make, f"doc {docs.schema['doc'].dataType.simpleString()}, n long, sid long")
+    return docs.mapInArrow(make, f"doc {docs.schema['doc'].dataType.simpleString()}, th long, n long, sid long")
 
 
 def _common(docs: DataFrame, width: int) -> tuple[bytes, bytes]:
@@ -199,15 +199,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int
 def linked_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, crowd: int = CROWD
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+    """(doc_id, n_shingles, component_id, text_hash, group_id) of every row of ``docs``.
 
     ``component_id`` is the smallest id among the documents reachable by links, the row's own
     included. Null, empty and blank texts have no shingles and no links. Repeated rows and rows with
     equal sets are linked with each other; a null id never is the smallest while there is another.
+    ``text_hash`` (Spark's ``xxhash64`` of the text) tells rows apart that share an id,
+    ``group_id`` tells components apart whose smallest ids are equal (NULL without shingles).
     Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
-    rows = stored(_sets(texts, width), "sets")
+    rows = stored(_sets(texts.withColumn("th", F.xxhash64("text")), width), "sets")
     classes = stored(rows.where("n > 0").groupBy("sid").agg(F.min("doc").alias("low")), "classes")
     regions = _regions(texts, width, percent)
 
@@ -258,11 +260,17 @@ def linked_components(
     parts = components(links)
     lows = parts.join(classes, parts["id"] == classes["sid"]).select("sid", "component", "low")
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    ends = lows.join(least, "component").select("sid", "component_id")
-    ends = stored(classes.join(ends, "sid", "left").select("sid", F.coalesce("component_id", "low").alias("component_id")), "ends")
-    linked = rows.where("n > 0").join(ends, "sid").select("doc", "n", "component_id")
-    alone = rows.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    ends = lows.join(least, "component").select("sid", "component_id", "component")
+    alone = F.col("component").isNull()
+    ends = classes.join(ends, "sid", "left").select(
+        "sid", F.when(alone, F.col("low")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "sid").alias("group")
+    )
+    ends = stored(ends, "ends")
+    linked = rows.where("n > 0").join(ends, "sid").select("doc", "n", "component_id", "th", "group")
+    empty = rows.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"), "th", F.lit(None).cast("long").alias("group"))
+    every = linked.unionByName(empty)
+    named = [F.col(a).alias(b) for a, b in (("doc", "doc_id"), ("n", "n_shingles"), ("component_id",) * 2, ("th", "text_hash"), ("group", "group_id"))]
+    return every.select(*named)
 
 
 def _unconnected(regions: DataFrame, parts: DataFrame) -> DataFrame:

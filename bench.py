@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -45,7 +46,8 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_spark(
-        "bench", master=f"local[{cpus}]", spark_sql_shuffle_partitions=str(cpus), spark_driver_memory="12g"
+        "bench", master=f"local[{cpus}]", spark_sql_shuffle_partitions=str(cpus), spark_driver_memory="12g",
+        spark_checkpoint_dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, times = load(), {}

@@ -40,20 +40,21 @@ def window_transform(t: Column, row_off: Column, col_off: Column) -> Column:
 
 
 def bounds(t: Column, width: Column, height: Column) -> Column:
-    """Struct ``minx, miny, maxx, maxy`` of a raster without rotation."""
-    x0, x1 = t["c"], t["c"] + t["a"] * width
-    y0, y1 = t["f"], t["f"] + t["e"] * height
+    """Struct ``minx, miny, maxx, maxy`` around the four corners of a raster."""
+    zero = F.lit(0.0)
+    corners = [to_world(t, col, row) for col in (zero, width) for row in (zero, height)]
+    xs, ys = [p["x"] for p in corners], [p["y"] for p in corners]
     return F.struct(
-        F.least(x0, x1).alias("minx"),
-        F.least(y0, y1).alias("miny"),
-        F.greatest(x0, x1).alias("maxx"),
-        F.greatest(y0, y1).alias("maxy"),
+        F.least(*xs).alias("minx"), F.least(*ys).alias("miny"), F.greatest(*xs).alias("maxx"), F.greatest(*ys).alias("maxy")
     )
 
 
+def pixel_area(t: Column) -> Column:
+    """Area of a pixel in squared units of the coordinate system."""
+    return F.abs(t["a"] * t["e"] - t["b"] * t["d"])
+
+
 def pixel_offset(inner: Column, outer: Column) -> Column:
     """Whole-pixel struct ``row_off, col_off`` of one grid inside another, half to even."""
-    return F.struct(
-        F.rint((inner["f"] - outer["f"]) / outer["e"]).cast("long").alias("row_off"),
-        F.rint((inner["c"] - outer["c"]) / outer["a"]).cast("long").alias("col_off"),
-    )
+    at = to_pixel(outer, inner["c"], inner["f"])
+    return F.struct(F.rint(at["row"]).cast("long").alias("row_off"), F.rint(at["col"]).cast("long").alias("col_off"))

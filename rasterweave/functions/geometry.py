@@ -244,32 +244,14 @@ def folds_back(s: Column, t: Column) -> Column:
     return (turn == 0) & (forward < 0)
 
 
-def crosses_itself(ring: Column) -> Column:
-    """Self-intersection of one ring, comparing its segments pairwise within the row.
-
-    Meant for rings of ordinary size; :func:`rasterweave.operators.spatial.self_intersections`
-    handles long rings with a grid join.
-    """
-
-    def over(parts: Column) -> Column:
-        n = F.size(parts)
-
-        def against_later(i: Column) -> Column:
-            later = F.when(i + 2 <= n, F.sequence(i + 2, n)).otherwise(F.array().cast("array<int>"))
-            following = F.element_at(parts, F.when(i == n, 1).otherwise(i + 1))
-
-            def of(s: Column) -> Column:
-                meets = F.exists(
-                    later,
-                    lambda j: ~((i == 1) & (j == n)) & let(F.element_at(parts, j), lambda t: segments_meet(s, t)),
-                )
-                return meets | let(following, lambda t: folds_back(s, t))
-
-            return let(F.element_at(parts, i), of)
-
-        return F.when(n > 0, F.exists(F.sequence(F.lit(1), n), against_later))
+def segments_cross(s: Column, t: Column) -> Column:
+    """True when two segments cross in their interiors; a common end or a touching end does not count."""
+    d1 = orientation(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"])
+    d2 = orientation(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"])
+    d3 = orientation(t["x1"], t["y1"], t["x2"], t["y2"], s["x1"], s["y1"])
+    d4 = orientation(t["x1"], t["y1"], t["x2"], t["y2"], s["x2"], s["y2"])
+    return (d1 * d2 < 0) & (d3 * d4 < 0)
 
-    return F.coalesce(let(segments(ring), over), F.lit(False))
 
 
 # ------------------------------------------------------------------ coordinate systems

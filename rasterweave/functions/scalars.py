@@ -104,7 +104,9 @@ def is_json_integer(raw: Column, minimum: int | None = None) -> Column:
     """True for the JSON text of an integer: not a boolean, string, fraction or NULL."""
     shape = raw.rlike(r"^-?(0|[1-9][0-9]*)$")
     if minimum is not None:
-        shape = shape & (F.try_to_number(raw, F.lit("S9999999999999999999")) >= minimum)
+        # beyond 18 characters the sign alone decides
+        large = F.when(F.length(raw) > 18, ~raw.startswith("-")).otherwise(raw.try_cast("long") >= minimum)
+        shape = shape & large
     return F.coalesce(shape, F.lit(False))
 
 

@@ -152,16 +152,15 @@ def directory_problems(paths: DataFrame, root: str) -> DataFrame:
     )
 
 
-def filter_manifest(samples: DataFrame, split: str | None = None, domain: str | None = None) -> DataFrame:
-    """Restrict a manifest; an unknown name is an error rather than an empty result."""
-    if split is not None and split not in SPLITS:
-        raise ValueError(f"unknown split {split!r}, expected one of {SPLITS}")
-    if domain is not None and domain not in DOMAINS:
-        raise ValueError(f"unknown domain {domain!r}, expected one of {DOMAINS}")
-    if split is not None:
-        samples = samples.where(F.col("split") == split)
-    if domain is not None:
-        samples = samples.where(F.col("domain") == domain)
+def filter_manifest(samples: DataFrame, **wanted: str | None) -> DataFrame:
+    """Restrict a manifest by ``split`` and ``domain``; a name that cannot occur is an error."""
+    legal = {"split": SPLITS, "domain": DOMAINS}
+    for column, value in wanted.items():
+        if value is None:
+            continue
+        if value not in legal[column]:
+            raise ValueError(f"{column} has no value {value!r}, only {', '.join(legal[column])}")
+        samples = samples.where(F.col(column) == value)
     return samples
 
 

@@ -136,14 +136,20 @@ def merge_levels(side: int, block: int) -> int:
     return max(0, math.ceil(math.log2(max(side, 1) / block)))
 
 
-def region_names(labelled: DataFrame, value: str, block: int, side: int) -> DataFrame:
+def longest_side(blocks: DataFrame) -> int:
+    """Rows or columns up to the end of the farthest block of any scene."""
+    ends = F.greatest(F.col("y_off") + F.col("height"), F.col("x_off") + F.col("width"))
+    return blocks.agg(F.max(ends)).first()[0] or 0
+
+
+def region_names(labelled: DataFrame, value: str, block: int) -> DataFrame:
     """``scene_id, label, region``: final ids of the block-local regions that change their id.
 
-    ``side`` is the longest raster side. Step ``k`` groups by super-blocks of ``block * 2**k``
+    Steps go on until one super-block covers the longest scene side in the data. Step ``k`` groups by super-blocks of ``block * 2**k``
     pixels and keeps only their rim; every step is checkpointed because its result is read twice.
     """
     rim = _border_pixels(labelled, value)
-    steps = []
+    side, steps = longest_side(labelled), []
     for level in range(1, merge_levels(side, block) + 1):
         span = block << level
         keyed = rim.withColumns(
@@ -175,7 +181,6 @@ def region_names(labelled: DataFrame, value: str, block: int, side: int) -> Data
 
 def label_regions(
     blocks: DataFrame,
-    side: int,
     block: int,
     value: str = "class_id",
     ignore_ids: Sequence[int] = (0,),
@@ -187,7 +192,7 @@ def label_regions(
     """
     # read by the merge below and by every later measure, so labelling runs once
     labelled = checkpoint(label_blocks(blocks, value, ignore_ids, keep))
-    names = region_names(labelled, value, block, side)
+    names = region_names(labelled, value, block)
     # a local id names a pixel of its own block, so renames are grouped per block: a handful each
     per_block = names.groupBy(
         "scene_id",
@@ -206,7 +211,6 @@ def label_regions(
 
 def regions_of_pixels(
     pixels: DataFrame,
-    side: int,
     block: int = 256,
     value: str = "class_id",
     ignore_ids: Sequence[int] = (0,),
@@ -214,7 +218,7 @@ def regions_of_pixels(
 ) -> DataFrame:
     """As :func:`label_regions` for a pixel table: adds ``region_id``, drops ignored pixels."""
     blocks = to_blocks(pixels, [value, *keep], block)
-    return region_pixels(label_regions(blocks, side, block, value, ignore_ids, keep), value, keep)
+    return region_pixels(label_regions(blocks, block, value, ignore_ids, keep), value, keep)
 
 
 def region_pixels(labelled: DataFrame, value: str = "class_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -249,7 +253,7 @@ def region_measures(regions: DataFrame, value: str = "class_id", conf: str | Non
 
 def planar_areas(measures: DataFrame, rasters: DataFrame) -> DataFrame:
     """Add ``area_m2`` for rasters in a projected system: pixels times the pixel area."""
-    scale = rasters.select("scene_id", F.abs(F.col("transform.a") * F.col("transform.e")).alias("_px"))
+    scale = rasters.select("scene_id", affine.pixel_area(F.col("transform")).alias("_px"))
     return measures.join(scale, "scene_id").withColumn("area_m2", F.col("pixels") * F.col("_px")).drop("_px")
 
 
@@ -543,30 +547,33 @@ def ring_areas(rings: DataFrame) -> DataFrame:
     )
 
 
-def polygons(rings: DataFrame, rasters: DataFrame, max_vertices: int = 1_000_000) -> DataFrame:
+def ring_parts(rings: DataFrame, rasters: DataFrame, size: int = 10_000) -> DataFrame:
+    """``scene_id, region_id, ring, part, points``: rings in world coordinates, cut into bounded parts.
+
+    The parts of a ring in order hold all its vertices once; the first vertex is not repeated at the
+    end. This is the form for regions of any size.
+    """
+    world = rings.join(rasters.select("scene_id", "transform"), "scene_id")
+    place = F.struct("vertex", affine.to_world(F.col("transform"), F.col("x"), F.col("y")).alias("p"))
+    key = ["scene_id", "region_id", "ring", F.floor(F.col("vertex") / size).alias("part")]
+    parts = world.groupBy(*key).agg(F.array_sort(F.collect_list(place)).alias("_v"))
+    return parts.select("scene_id", "region_id", "ring", "part", F.col("_v.p").alias("points"))
+
+
+def polygons(rings: DataFrame, rasters: DataFrame) -> DataFrame:
     """``scene_id, region_id, rings`` in world coordinates, the outer ring first, rings closed.
 
-    One polygon is one value and has to fit a row; :func:`oversize_vertices` returns the vertices
-    of the regions above ``max_vertices``, which stay a table.
+    Every region is one value with all its vertices, as a GeoJSON feature has to be; where regions
+    may not fit a row, :func:`ring_parts` holds the same outlines.
     """
     key = ["scene_id", "region_id"]
-    fitting = rings.where(F.col("region_vertices") <= max_vertices)
-    world = fitting.join(rasters.select("scene_id", "transform"), "scene_id").select(
-        *key, "ring", "vertex", affine.to_world(F.col("transform"), F.col("x"), F.col("y")).alias("p"),
-        (F.col("x") * F.col("to_y") - F.col("to_x") * F.col("y")).alias("_cross"),
-    )
-    ordered = world.groupBy(*key, "ring").agg(
-        (F.sum("_cross") < 0).alias("_hole"),
-        F.array_sort(F.collect_list(F.struct("vertex", "p"))).alias("_v"),
+    parts = ring_parts(rings, rasters).groupBy(*key, "ring").agg(
+        F.flatten(F.array_sort(F.collect_list(F.struct("part", "points")))["points"]).alias("_points")
     )
-    closed = ordered.select(*key, "ring", "_hole", G.close_ring(F.col("_v.p")).alias("_ring"))
+    holes = ring_areas(rings).select(*key, "ring", (F.col("area") < 0).alias("_hole"))
+    closed = parts.join(holes, [*key, "ring"]).select(*key, "ring", "_hole", G.close_ring(F.col("_points")).alias("_ring"))
     return closed.groupBy(*key).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_hole", "ring", "_ring"))), lambda r: r["_ring"]
         ).alias("rings")
     )
-
-
-def oversize_vertices(rings: DataFrame, max_vertices: int = 1_000_000) -> DataFrame:
-    """Ordered vertices of the regions that :func:`polygons` leaves out."""
-    return rings.where(F.col("region_vertices") > max_vertices)

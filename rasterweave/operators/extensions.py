@@ -48,20 +48,22 @@ def grouped_metrics(pixels: DataFrame, metrics: dict[str, Column], by: Sequence[
     return pixels.groupBy(*by).agg(*[m.alias(name) for name, m in metrics.items()])
 
 
-_LOSSES: dict[str, Callable] = dict(losses.COMPOSITES)
+_LOSSES: dict[str, Callable[[losses.LossSpec], Column]] = {}
 
 
-def register_loss(name: str, build: Callable[[losses.LossConfig], Column]) -> None:
+def register_loss(name: str, build: Callable[[losses.LossSpec], Column]) -> None:
     """Register a loss as an expression over the columns of ``losses.loss_terms``."""
-    if name in _LOSSES:
+    if name in losses.RECIPES or name in _LOSSES:
         raise ValueError(f"loss {name!r} is already registered")
     _LOSSES[name] = build
 
 
-def build_loss(name: str, config: losses.LossConfig) -> Column:
-    if name not in _LOSSES:
-        raise ValueError(f"unknown loss {name!r}")
-    return _LOSSES[name](config)
+def build_loss(name: str, spec: losses.LossSpec | None = None) -> Column:
+    """A registered loss, or a built-in one with the numbers of ``spec``."""
+    spec = spec or losses.loss_spec()
+    if name in _LOSSES:
+        return _LOSSES[name](spec)
+    return losses.combined(losses.loss_spec(name, spec.class_ids, spec.ignore_id, **spec.numbers))
 
 
 def observed(df: DataFrame, name: str, *measures: Column) -> DataFrame:

@@ -45,10 +45,11 @@ def raster_metadata(rasters: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ blocks
 
 
-def to_blocks(pixels: DataFrame, values: Sequence[str], size: int = BLOCK) -> DataFrame:
+def to_blocks(pixels: DataFrame, values: Sequence[str], size: int = BLOCK, rasters: DataFrame | None = None) -> DataFrame:
     """Gather pixels into blocks. Absent pixels become NULL elements.
 
-    A group holds at most ``size * size`` pixels, however large the scene; duplicates of one
+    Blocks end where ``rasters`` (``scene_id, height, width``) says that the scene ends; without it
+    they end at the last pixel present, which only suits layers without gaps at the edge. A group holds at most ``size * size`` pixels, however large the scene; duplicates of one
     position violate the raster model and are rejected.
     """
     if size <= 0:
@@ -69,6 +70,16 @@ def to_blocks(pixels: DataFrame, values: Sequence[str], size: int = BLOCK) -> Da
             F.collect_list("_p").alias("_cells"),
         )
     )
+    if rasters is not None:
+        ends = rasters.select("scene_id", F.col("height").alias("_rh"), F.col("width").alias("_rw"))
+        beyond = F.raise_error(F.lit("a pixel lies outside its raster")).cast("int")
+        height, width = (F.least(F.lit(size), F.col(n) - F.col(b) * size) for n, b in (("_rh", "block_row"), ("_rw", "block_col")))
+        grouped = grouped.join(ends, "scene_id").withColumns(
+            {
+                "height": F.when(F.col("height") > height, beyond).otherwise(height.cast("int")),
+                "width": F.when(F.col("width") > width, beyond).otherwise(width.cast("int")),
+            }
+        )
     cells_in_block = F.col("height") * F.col("width")
     positions = F.transform(
         F.sequence(F.lit(0), cells_in_block - 1),
@@ -163,15 +174,32 @@ def alignment_problems(left: DataFrame, right: DataFrame) -> DataFrame:
     ).where("problem IS NOT NULL")
 
 
-def join_pixels(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Equi-join two pixel tables of the same grid."""
-    return left.join(right, list(PIXEL_KEY), how)
+def join_pixels(left: DataFrame, right: DataFrame, how: str = "aligned") -> DataFrame:
+    """Equi-join two pixel tables of the same grid.
+
+    ``aligned`` fails the job for a pixel that only one side has; other values of ``how`` are Spark's.
+    """
+    if how != "aligned":
+        return left.join(right, list(PIXEL_KEY), how)
+    both = left.withColumn("_own", F.lit(True)).join(right.withColumn("_other", F.lit(True)), list(PIXEL_KEY), "full")
+    return both.where(F.when(F.col("_own") & F.col("_other"), True).otherwise(_unaligned())).drop("_own", "_other")
 
 
 def join_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join two block tables of the same grid: one shuffled row per block instead of per pixel."""
-    geometry = [*BLOCK_KEY, "y_off", "x_off", "height", "width"]
-    return left.join(right, geometry)
+    """Join two block tables of the same grid: one shuffled row per block instead of per pixel.
+
+    Blocks of one side only, or of different extent, fail the job; build sparse layers with the
+    raster sizes, see :func:`to_blocks`.
+    """
+    extent = ("y_off", "x_off", "height", "width")
+    other = right.withColumn("_other", F.struct(*extent)).drop(*extent)
+    both = left.withColumn("_own", F.struct(*extent)).join(other, list(BLOCK_KEY), "full")
+    same = F.coalesce(F.col("_own") == F.col("_other"), F.lit(False))
+    return both.where(F.when(same, True).otherwise(_unaligned())).drop("_own", "_other")
+
+
+def _unaligned() -> Column:
+    return F.raise_error(F.lit("layers are not aligned")).cast("boolean")
 
 
 # ------------------------------------------------------------------ tiles

@@ -21,17 +21,6 @@ def unmatched_samples(sample_ids: DataFrame, stats: DataFrame) -> DataFrame:
     return sample_ids.join(stats, "sample_id", "left_anti").select("sample_id")
 
 
-def _check(strategy, class_power, domain_power, min_weight, max_weight, variant) -> None:
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if variant not in VARIANTS:
-        raise ValueError(f"unknown variant {variant!r}")
-    if class_power < 0 or domain_power < 0:
-        raise ValueError("powers must not be negative")
-    if not 0 < min_weight <= max_weight:
-        raise ValueError("0 < min_weight <= max_weight is required")
-
-
 def _as_map(df: DataFrame, key: str, value: str) -> Column:
     """Scalar subquery holding a small keyed table (classes or domains) as a map."""
     return df.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
@@ -77,7 +66,15 @@ def sampling_weights(
     Class and domain tables have at most seven and two rows and enter as scalar maps: the plan
     over the samples has no join besides the one with the manifest.
     """
-    _check(strategy, class_power, domain_power, min_weight, max_weight, variant)
+    limits = {
+        "strategy": strategy in STRATEGIES,
+        "variant": variant in VARIANTS,
+        "class_power": class_power >= 0,
+        "domain_power": domain_power >= 0,
+        "min_weight": 0 < min_weight <= max_weight,
+    }
+    if not all(limits.values()):
+        raise ValueError("out of range: " + ", ".join(name for name, fits in limits.items() if not fits))
     # the weights, the class rarity and the mean all read the statistics: compute them once
     stats = checkpoint(stats)
     rows = samples.select("sample_id", "domain").join(

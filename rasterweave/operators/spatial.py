@@ -11,8 +11,6 @@ from rasterweave.functions import geometry as G
 # Coordinate systems an AOI may use and the largest AOI in square metres.
 AOI_CRS = ("EPSG:4326", "EPSG:3857")
 MAX_AREA_M2 = 5_000_000.0
-# longest ring whose segments are compared inside one row
-INLINE_SEGMENTS = 128
 
 
 def parse_aois(texts: DataFrame, geojson: str = "geojson", crs: str = "crs") -> DataFrame:
@@ -27,15 +25,19 @@ def parse_aois(texts: DataFrame, geojson: str = "geojson", crs: str = "crs") ->
     )
 
 
-def self_intersections(aois: DataFrame) -> DataFrame:
-    """``aoi_id`` of rings that cross themselves, for rings of any length.
+def ring_crossings(aois: DataFrame) -> DataFrame:
+    """``aoi_id`` of polygons with a ring that meets itself or crosses another, for rings of any length.
 
-    Segments are placed in the cells of a square grid over their own ring (side: root of the
-    segment count) that they pass through, and only segments sharing a cell are compared.
+    Segments of the shell and the holes are placed in the cells of a square grid over their polygon
+    (side: root of the segment count) that they pass through, and only segments sharing a cell are
+    compared. Different rings may touch, but not cross.
     """
-    box = G.bounds(F.col("ring"))
-    side = F.ceil(F.sqrt(F.size("ring").cast("double"))).cast("int")
-    rows = aois.select("aoi_id", box.alias("b"), side.alias("g"), (F.size("ring") - 1).alias("n"),
+    rings = F.concat(F.array("ring"), F.coalesce("holes", F.array().cast(f"array<{G.RING}>")))
+    total = F.aggregate(rings, F.lit(1), lambda n, r: n + F.greatest(F.size(r), F.lit(0)))
+    cells = F.ceil(F.sqrt(total.cast("double"))).cast("int")
+    rows = aois.select("aoi_id", G.bounds(F.col("ring")).alias("b"), cells.alias("g"), rings.alias("rings"))
+    rows = rows.select("aoi_id", "b", "g", F.posexplode("rings").alias("r", "ring")).where(F.size("ring") > 1)
+    rows = rows.select("aoi_id", "b", "g", "r", (F.size("ring") - 1).alias("n"),
                        F.posexplode(G.segments(F.col("ring"))).alias("i", "s"))
     s, b, g = F.col("s"), F.col("b"), F.col("g")
     dx = F.greatest((b["maxx"] - b["minx"]) / g, F.lit(1e-300))
@@ -58,7 +60,7 @@ def self_intersections(aois: DataFrame) -> DataFrame:
     low, high = F.least(y_a, y_b), F.greatest(y_a, y_b)
     # one cell of slack on both sides absorbs rounding
     rows = rows.select(
-        "aoi_id", "i", "n", "s", "cx",
+        "aoi_id", "r", "i", "n", "s", "cx",
         F.explode(
             F.sequence(
                 F.greatest(cell(low, b["miny"], dy) - 1, F.lit(0)),
@@ -68,32 +70,31 @@ def self_intersections(aois: DataFrame) -> DataFrame:
     )
     a, c = rows.alias("a"), rows.alias("c")
     same = [F.col(f"a.{k}") == F.col(f"c.{k}") for k in ("aoi_id", "cx", "cy")]
-    pairs = a.join(c, [*same, F.col("a.i") < F.col("c.i")])
+    pairs = a.join(c, [*same, F.struct("a.r", "a.i") < F.struct("c.r", "c.i")])
     following = F.col("c.i") == F.col("a.i") + 1
     closing = (F.col("a.i") == 0) & (F.col("c.i") == F.col("a.n") - 1)
     bad = (
-        F.when(following, G.folds_back(F.col("a.s"), F.col("c.s")))
+        F.when(F.col("a.r") != F.col("c.r"), G.segments_cross(F.col("a.s"), F.col("c.s")))
+        .when(following, G.folds_back(F.col("a.s"), F.col("c.s")))
         .when(closing, G.folds_back(F.col("c.s"), F.col("a.s")))
         .otherwise(G.segments_meet(F.col("a.s"), F.col("c.s")))
     )
     return pairs.where(bad).select(F.col("a.aoi_id").alias("aoi_id")).distinct()
 
 
-def validate_aois(aois: DataFrame, max_area: float = MAX_AREA_M2, inline: int = INLINE_SEGMENTS) -> DataFrame:
+def validate_aois(aois: DataFrame, max_area: float = MAX_AREA_M2) -> DataFrame:
     """Add ``area_m2`` and ``errors``, an ordered array of codes (empty for a usable AOI).
 
-    ``aois`` has ``aoi_id, type, crs, ring, holes``. Rings up to ``inline`` segments are tested
-    for self-intersection in place, longer ones through :func:`self_intersections`.
+    ``aois`` has ``aoi_id, type, crs, ring, holes``. Rings of any length go through
+    :func:`ring_crossings`; a hole that lies outside the shell is a self-intersection too.
     """
     size = F.coalesce(F.size("ring"), F.lit(0))
-    is_long = size - 1 > inline
-    long_bad = self_intersections(aois.where(is_long)).withColumn("_long_bad", F.lit(True))
-    rows = aois.join(long_bad, "aoi_id", "left")
+    crossed = ring_crossings(aois.where(size > 1)).withColumn("_crossed", F.lit(True))
+    rows = aois.join(crossed, "aoi_id", "left")
     polygon = F.coalesce(F.col("type") == "Polygon", F.lit(False))
     filled = polygon & (size > 0)
-    crossing = F.when(is_long, F.coalesce("_long_bad", F.lit(False))).otherwise(
-        G.crosses_itself(F.col("ring")) | F.exists("holes", G.crosses_itself)
-    )
+    outside = F.exists("holes", lambda h: (F.size(h) > 0) & ~F.exists(h, lambda p: G.contains(F.col("ring"), p["x"], p["y"])))
+    crossing = F.coalesce("_crossed", F.lit(False)) | F.coalesce(outside, F.lit(False))
     usable = filled & (size >= 4)
     known = F.coalesce(F.col("crs").isin(*AOI_CRS), F.lit(False))
     planar = F.when(usable, G.area(F.col("ring"), F.col("holes")))
@@ -107,7 +108,7 @@ def validate_aois(aois: DataFrame, max_area: float = MAX_AREA_M2, inline: int =
         F.when(~known, "unsupported_crs"),
         F.when(F.col("area_m2") > max_area, "too_large"),
     )
-    return rows.withColumn("errors", F.array_compact(codes)).drop("_long_bad")
+    return rows.withColumn("errors", F.array_compact(codes)).drop("_crossed")
 
 
 def _cells(box: Column, size: float) -> Column:

@@ -203,9 +203,8 @@ def weighted_losses(v):
     weights = LO.weight_array(LO.class_weights(counts, "inverse_frequency"))
     # one scan feeds every loss: the terms are computed once and combined per name
     terms = LO.loss_terms(v.logits, weights=weights)
-    config = LO.LossConfig()
     named = F.array(
-        *[F.struct(F.lit(n).alias("name"), build_loss(n, config).alias("loss")) for n in LO.LOSSES]
+        *[F.struct(F.lit(n).alias("name"), build_loss(n).alias("loss")) for n in LO.LOSSES]
     )
     return _rounded(terms.select("valid_pixels", F.inline(named)).select("name", "valid_pixels", "loss"), ["loss"])
 

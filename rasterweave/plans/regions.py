@@ -30,7 +30,7 @@ _CHANGED = _FILL.format(value="(CASE WHEN before_id <> 0 AND after_id <> 0 AND b
 
 def _regions(v, keep=()):
     pixels = v.grid.select(*R.PIXEL_KEY, F.col("after_id").alias("class_id"), *keep)
-    return K.regions_of_pixels(pixels, SCENE, BLOCK, keep=keep)
+    return K.regions_of_pixels(pixels, BLOCK, keep=keep)
 
 
 def _scene_rasters(v):
@@ -52,7 +52,7 @@ def connected_regions(v):
 
 @query("A-20", "grid", f"WITH RECURSIVE {_CHANGED} SELECT scene_id, count(DISTINCT region) AS regions, count(*) AS pixels FROM regions GROUP BY 1")
 def change_regions(v):
-    regions = K.regions_of_pixels(CH.change_mask(v.grid), SCENE, BLOCK)
+    regions = K.regions_of_pixels(CH.change_mask(v.grid), BLOCK)
     return K.region_measures(regions).groupBy("scene_id").agg(
         F.count("*").alias("regions"), F.sum("pixels").alias("pixels")
     )
@@ -167,7 +167,7 @@ def feature_lines(v):
 WITH RECURSIVE {_CHANGED}
 SELECT scene_id, count(DISTINCT region) AS features, true AS changed, true AS closed, round(count(*), 3) AS area FROM regions GROUP BY 1""")
 def change_lines(v):
-    regions = K.regions_of_pixels(CH.change_mask(v.grid), SCENE, BLOCK)
+    regions = K.regions_of_pixels(CH.change_mask(v.grid), BLOCK)
     identity = v.grid.select("scene_id").distinct().withColumn(
         "transform", affine.transform_of(1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
     )

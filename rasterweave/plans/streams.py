@@ -1,6 +1,4 @@
-"""Queries that run a stream over stored tables, score blocks or read through a data source."""
-
-import uuid
+"""Queries that run a stream over stored tables, score blocks or read stored imagery."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,11 +11,10 @@ from rasterweave.plans.jobs import _RUN
 from rasterweave.plans.rasters import _MOSAIC
 from rasterweave.plans.registry import query
 from rasterweave.plans.views import Views
-from rasterweave.sources.imagery import register
-from rasterweave.session import checkpoint_folder
-from rasterweave.streaming.imagery import start_scoring
+from rasterweave.sources.imagery import BlockImagery
+from rasterweave.streaming.imagery import read_mosaic, start_scoring
 from rasterweave.streaming.jobs import job_outcomes as streaming_outcomes
-from rasterweave.streaming.tables import run_to_table, stream_table, use_rocksdb
+from rasterweave.streaming.tables import rocksdb_session, run_to_latest, run_to_table, stream_folder, stream_table
 
 
 class _StreamViews(Views):
@@ -35,21 +32,13 @@ class _StreamViews(Views):
 SELECT target_id, pred_id, count(*) AS pixels FROM label_pixels WHERE target_id <> 0 GROUP BY ALL""")
 def streaming_confusion(v):
     """Matrix of a stream; the complete result has one row per class pair."""
-    pixels = _StreamViews(v.spark, v.folder).label_pixels
-    name = "matrix_" + str(abs(hash(v.folder)))
-    running = (
-        confusion(pixels).writeStream.format("memory").queryName(name).outputMode("complete")
-        .trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    return v.spark.table(name)
+    return run_to_latest(confusion(_StreamViews(v.spark, v.folder).label_pixels), ["target_id", "pred_id"])
 
 
 @query("ST-2", "job_events", f"""
 WITH RECURSIVE {_RUN} SELECT job_id, seq, ts, from_state, to_state, rejected IS NULL AS accepted, rejected, revision FROM run""")
 def streaming_job_outcomes(v):
-    use_rocksdb(v.spark)
-    events = _StreamViews(v.spark, v.folder).job_events
+    events = _StreamViews(rocksdb_session(v.spark), v.folder).job_events
     stream = events.withColumn("ts", F.col("ts").cast("timestamp"))
     rows = run_to_table(streaming_outcomes(stream))
     return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
@@ -58,32 +47,21 @@ def streaming_job_outcomes(v):
 @query("ST-6", "job_events", """
 SELECT date_trunc('hour', ts) AS window_start, count(*) AS attempts, count(*) FILTER (to_state = 'completed') AS completed,
        count(*) FILTER (to_state = 'failed') AS failed FROM job_events
-GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM job_events)""")
+GROUP BY 1""")
 def streaming_throughput(v):
-    """Windows that the watermark has closed."""
+    """All windows, those that may still grow included."""
     events = _StreamViews(v.spark, v.folder).job_events.withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = run_to_table(J.windowed_throughput(events))
+    rows = run_to_latest(J.windowed_throughput(events), ["window_start"])
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("ST-5", "tile_preds grid", f"WITH {_MOSAIC} SELECT * FROM mosaic")
 def streaming_mosaic(v):
     """Arriving tile predictions merged into a stored mosaic, batch by batch."""
-    base = f"{checkpoint_folder(v.spark)}/streams/{uuid.uuid4()}"
-    schema = "scene_id BIGINT, row_idx BIGINT, col_idx BIGINT, pred_id INT, conf DOUBLE"
-    versions = []
-
-    def load():
-        return v.spark.read.schema(schema).parquet(versions[-1]) if versions else v.spark.createDataFrame([], schema)
-
-    def store(merged, batch_id):
-        untouched = load().join(merged.select("scene_id").distinct(), "scene_id", "left_anti")
-        merged.unionByName(untouched).write.mode("overwrite").parquet(f"{base}/{batch_id}")
-        versions.append(f"{base}/{batch_id}")
-
+    base = stream_folder(v.spark)
     tiles = _StreamViews(v.spark, v.folder).tile_preds
-    start_scoring(tiles, lambda batch: batch, load, store, f"{base}/progress").awaitTermination()
-    return load()
+    start_scoring(tiles, lambda batch: batch, f"{base}/winners", f"{base}/progress").awaitTermination()
+    return read_mosaic(v.spark.range(0), f"{base}/winners")
 
 
 @query("U-1", "grid", """
@@ -102,9 +80,15 @@ def scored_blocks(v):
     return rows.where("conf IS NOT NULL AND NOT isnan(conf)").withColumn("conf", F.round("conf", 6))
 
 
-@query("S-5 U-6", "events", "SELECT event_id, user_id, value FROM events")
-def imagery_source_rows(v):
-    """Table read through the registered Python data source, one task per row group."""
-    register(v.spark)
-    schema = "event_id BIGINT, user_id BIGINT, value DOUBLE"
-    return v.spark.read.format("raster_blocks").schema(schema).load(f"{v.folder}/events.parquet")
+@query("S-5 U-6", "grid", """
+SELECT scene_id, row_idx - 2 AS row_idx, col_idx - 3 AS col_idx, after_id FROM grid
+WHERE row_idx BETWEEN 2 AND 6 AND col_idx BETWEEN 3 AND 9
+  AND scene_id IN (SELECT scene_id FROM grid GROUP BY scene_id HAVING max(row_idx) >= 6 AND max(col_idx) >= 9)""")
+def imagery_windows(v):
+    """The same window of every stored scene that holds it."""
+    scenes = v.grid.groupBy("scene_id").agg(
+        (F.max("row_idx") + 1).cast("int").alias("height"), (F.max("col_idx") + 1).cast("int").alias("width")
+    )
+    wide = scenes.where("height >= 7 AND width >= 10")
+    imagery = BlockImagery(wide, R.to_blocks(v.grid.select(*R.PIXEL_KEY, "after_id"), ["after_id"], 25), ("after_id",), 25)
+    return imagery.window(2, 3, 5, 7)

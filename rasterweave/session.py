@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,14 @@ def get_spark(app_name: str = "rasterweave", master: str | None = None, **conf:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's shared folder, the one named by ``spark.checkpoint.dir``.
 
-    A private folder is made only where the session names none, which is the case in
-    single-machine tests.
+    Executors of a cluster have to reach it, so it must be set there. A local master, where driver
+    and executor are one process, gets a private folder if none is set.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 

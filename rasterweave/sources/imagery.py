@@ -1,46 +1,22 @@
-"""Imagery providers and a block data source.
+"""Stored imagery: metadata, coverage, windows, tiles and acquisition times of a raster and a block table.
 
-A provider answers for metadata, coverage, windows, tiles and acquisition time of stored imagery.
-``BlockImagery`` is the built-in one; another store takes part by implementing the same methods,
-or by reading through the registered ``raster_blocks`` source.
+Another store takes part by giving the same two tables, however it reads them.
 """
 
 from __future__ import annotations
 
-from abc import ABC, abstractmethod
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rasterweave.functions.scalars import file_stem, timestamp_in_name
 from rasterweave.operators import rasters as R
 from rasterweave.operators.spatial import aoi_bounds_in, extent_intersects
 
 
-class ImageryProvider(ABC):
-    """Contract every imagery store fulfils; all answers are DataFrames."""
-
-    @abstractmethod
-    def metadata(self) -> DataFrame: ...
-
-    @abstractmethod
-    def coverage(self, aois: DataFrame, cell: float) -> DataFrame: ...
-
-    @abstractmethod
-    def window(self, row_off: int, col_off: int, height: int, width: int) -> DataFrame: ...
-
-    @abstractmethod
-    def tiles(self, size: int, overlap: int) -> DataFrame: ...
-
-    @abstractmethod
-    def timestamps(self) -> DataFrame: ...
-
-
 @dataclass
-class BlockImagery(ImageryProvider):
+class BlockImagery:
     """Imagery stored as a raster table and a block table."""
 
     rasters: DataFrame
@@ -74,61 +50,3 @@ class BlockImagery(ImageryProvider):
         return self.rasters.select(
             "scene_id", timestamp_in_name(file_stem(F.col("path")), F.col("modified")).alias("acquired_at")
         )
-
-
-@dataclass
-class RowGroup(InputPartition):
-    file: str
-    group: int
-
-
-def _open(path: str):
-    """File system and path of a location, local or with a scheme."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
-class _BlockReader(DataSourceReader):
-    def __init__(self, path: str, columns: list[str]):
-        self.path, self.columns = path, columns
-
-    def partitions(self) -> list[InputPartition]:
-        """One partition per Parquet row group; only footers are read here."""
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        store, path = _open(self.path)
-        if store.get_file_info(path).type == fs.FileType.File:
-            files = [path]
-        else:
-            listed = store.get_file_info(fs.FileSelector(path, recursive=True))
-            files = sorted(f.path for f in listed if f.path.endswith(".parquet"))
-        return [
-            RowGroup(f, g) for f in files for g in range(pq.ParquetFile(f, filesystem=store).num_row_groups)
-        ]
-
-    def read(self, partition: RowGroup) -> Iterator:
-        import pyarrow.parquet as pq
-
-        store, _ = _open(self.path)
-        source = pq.ParquetFile(partition.file, filesystem=store)
-        yield from source.iter_batches(4096, row_groups=[partition.group], columns=self.columns)
-
-
-class RasterBlockSource(DataSource):
-    """``spark.read.format("raster_blocks").schema(...).load(path)``: a task per row group."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "raster_blocks"
-
-    def schema(self) -> str:
-        raise ValueError("raster_blocks needs an explicit schema")
-
-    def reader(self, schema) -> DataSourceReader:
-        return _BlockReader(self.options["path"], schema.fieldNames())
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(RasterBlockSource)

@@ -17,7 +17,7 @@ def streaming_confusion(pixels: DataFrame) -> DataFrame:
 
 
 def start_metrics(
-    pixels: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint_dir: str | None = None, **trigger
+    pixels: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint_dir: str, **trigger
 ) -> StreamingQuery:
     """Call ``publish(metrics, batch_id)`` with the metrics so far after every micro-batch."""
 
@@ -25,9 +25,7 @@ def start_metrics(
         publish(summary_metrics(class_metrics(matrix)), batch_id)
 
     writer = streaming_confusion(pixels).writeStream.outputMode("complete").foreachBatch(run)
-    if checkpoint_dir:
-        writer = writer.option("checkpointLocation", checkpoint_dir)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return writer.option("checkpointLocation", checkpoint_dir).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def merge_matrices(*matrices: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rasterweave.session import checkpoint_folder
 
@@ -12,29 +13,41 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Select the state store that arbitrary stateful processing needs."""
-    if "RocksDB" not in (spark.conf.get(_PROVIDER, None) or ""):
-        spark.conf.set(_PROVIDER, ROCKSDB)
+def rocksdb_session(spark: SparkSession) -> SparkSession:
+    """A session with the state store that arbitrary stateful processing needs; others keep theirs."""
+    if "RocksDB" in (spark.conf.get(_PROVIDER, None) or ""):
+        return spark
+    own = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set(_PROVIDER, ROCKSDB)
+    return own
+
+
+def stream_folder(spark: SparkSession, name: str | None = None) -> str:
+    """Where a stream keeps rows and progress; with the same ``name`` it continues after a restart."""
+    return f"{checkpoint_folder(spark)}/streams/{name or uuid.uuid4()}"
 
 
 def stream_table(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stored table as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """A stored table as a stream of its files, whether it is one file or a folder of them."""
+    path = f"{folder}/{table}.parquet"
+    stored = spark.read.parquet(path)
+    reader = spark.readStream.schema(stored.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    if all(f.rstrip("/").endswith(f"/{table}.parquet") for f in stored.inputFiles()):  # a file, not a folder
+        return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str | None = None) -> DataFrame:
     """Process everything available and return the appended rows as a table.
 
-    Output and progress log live in the shared checkpoint folder, so a lost executor or a restart
-    continues where the stream stopped.
+    Output and progress log live in the shared checkpoint folder. A lost executor is made up for; a
+    restart continues where the stream stopped if it is given the same ``name``.
     """
-    spark = stream.sparkSession
-    base = f"{checkpoint_folder(spark)}/streams/{uuid.uuid4()}"
+    spark, base = stream.sparkSession, stream_folder(stream.sparkSession, name)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/rows")
@@ -45,3 +58,21 @@ def run_to_table(stream: DataFrame) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def run_to_latest(stream: DataFrame, keys: list[str], name: str | None = None) -> DataFrame:
+    """Process everything available and return the last version of each key of an aggregate.
+
+    Every batch stores the groups it changed under its own number, open windows included.
+    """
+    spark, base = stream.sparkSession, stream_folder(stream.sparkSession, name)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{base}/rows/n={batch_id}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{base}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(stream.schema.add("_batch", "long")).parquet(f"{base}/rows/*")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values])

@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 
 from rasterweave import get_spark
@@ -10,6 +12,7 @@ def spark():
         master="local[8]",
         spark_sql_shuffle_partitions="8",
         spark_driver_memory="8g",
+        spark_checkpoint_dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         spark_sql_streaming_stateStore_providerClass=(
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),

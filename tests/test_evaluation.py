@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
 from rasterweave.operators import evaluation as E
@@ -125,20 +126,20 @@ def test_loss_parameters():
     bad = (
         {"name": "x"}, {"class_ids": ()}, {"class_ids": (1, 1)}, {"class_ids": (0, 1)}, {"gamma": -1.0},
         {"smooth": math.inf}, {"tversky_alpha": 2.0}, {"tversky_alpha": 0.0, "tversky_beta": 0.0},
-        {"name": "ce_dice", "ce_weight": 0.0, "dice_weight": 0.0},
+        {"name": "ce_dice", "ce_weight": 0.0, "dice_weight": 0.0}, {"delta": 1.0}, {"ignore_id": 0.5},
     )
     for options in bad:
         with pytest.raises(ValueError):
-            LO.LossConfig(**options)
+            LO.loss_spec(**options)
 
 
 def test_weighted_loss_needs_weights(spark):
     rows = spark.createDataFrame([([1.0] * 7, 1)], "logits ARRAY<DOUBLE>, target_id INT")
     with pytest.raises(ValueError):
-        LO.loss(rows, LO.LossConfig("weighted_cross_entropy"))
-    assert LO.loss(rows, LO.LossConfig("ce_dice")).first().loss > 0
-    U.register_loss("double_dice", lambda c: 2 * LO.COMPOSITES["dice"](c))
-    doubled = LO.loss_terms(rows).select(U.build_loss("double_dice", LO.LossConfig()).alias("l"), "dice").first()
+        LO.loss(rows, LO.loss_spec("weighted_cross_entropy"))
+    assert LO.loss(rows, LO.loss_spec("ce_dice")).first().loss > 0
+    U.register_loss("double_dice", lambda spec: 2 * F.col("dice"))
+    doubled = LO.loss_terms(rows).select(U.build_loss("double_dice").alias("l"), "dice").first()
     assert doubled.l == 2 * doubled.dice
     with pytest.raises(ValueError):
         U.register_loss("dice", lambda c: None)

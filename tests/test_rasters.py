@@ -93,14 +93,14 @@ def test_change_golden(spark):
     s = CH.change_summary(pairs).first()
     assert (s.changed_pixels, s.total_valid_pixels, s.changed_fraction) == (2, 7, pytest.approx(2 / 7))
     assert CH.transition_map(CH.transitions(pairs)).first().transitions == {"1->2": 1, "2->1": 1}
-    regions = K.regions_of_pixels(CH.change_mask(pairs), side=3)
+    regions = K.regions_of_pixels(CH.change_mask(pairs))
     assert K.region_measures(regions).count() == 2
     same = CH.change_summary(CH.pair_dates(grid(spark, [[0]]), grid(spark, [[0]]))).first()
     assert same.changed_fraction == 0.0
 
 
 def test_vectors_golden(spark):
-    measures = K.region_measures(K.regions_of_pixels(grid(spark, BEFORE), side=3)).collect()
+    measures = K.region_measures(K.regions_of_pixels(grid(spark, BEFORE))).collect()
     assert sorted((r.class_id, r.pixels) for r in measures) == [(1, 3), (2, 4)]
 
 
@@ -138,7 +138,7 @@ def test_regions_against_flood_fill(spark, kind, block):
         "snake": snake(n),
         "full": [[1] * n] * n,
     }[kind]
-    got = K.regions_of_pixels(grid(spark, rows), side=n, block=block).collect()
+    got = K.regions_of_pixels(grid(spark, rows), block=block).collect()
     assert {(r.row_idx, r.col_idx): divmod(r.region_id, K.STRIDE) for r in got} == flood(rows)
 
 
@@ -151,7 +151,7 @@ def test_rings_close_and_measure(spark, limit):
         [1, 1, 1, 1, 2],
         [0, 2, 2, 2, 0],
     ]
-    regions = K.regions_of_pixels(grid(spark, rows), side=5, block=2)
+    regions = K.regions_of_pixels(grid(spark, rows), block=2)
     runs = K.outline_runs(K.outline_edges(regions))
     rings = K.outline_rings(runs, limit=limit)
     measures = {(r.region_id): r.pixels for r in K.region_measures(regions).collect()}
@@ -163,12 +163,11 @@ def test_rings_close_and_measure(spark, limit):
     assert sorted(areas[0]) == [-2.0, 17.0]
     shapes = {r.region_id: r.rings for r in K.polygons(rings, raster(spark, 5, 5, t=(1.0, 0, 0, 0, 1.0, 0))).collect()}
     assert all(ring[0] == ring[-1] for s in shapes.values() for ring in s)
-    assert K.oversize_vertices(rings, 4).select("region_id").distinct().count() >= 1
 
 
 def test_region_area_through_utm(spark):
     """One square of 0.001 degrees near (77, 28): its size follows from the ellipsoid."""
-    regions = K.regions_of_pixels(grid(spark, [[1]]), side=1)
+    regions = K.regions_of_pixels(grid(spark, [[1]]))
     runs = K.outline_runs(K.outline_edges(regions))
     got = K.geographic_areas(K.region_measures(regions), runs, raster(spark, 1, 1)).first()
     lat = np.radians(27.9995)
@@ -227,9 +226,41 @@ def test_long_ring_self_intersection(spark):
     crossed[100], crossed[103] = crossed[103], crossed[100]
     rows = [(i, "Polygon", "EPSG:3857", [*r, r[0]], []) for i, r in enumerate((circle, crossed))]
     df = spark.createDataFrame(rows, f"aoi_id LONG, type STRING, crs STRING, ring {G.RING}, holes ARRAY<{G.RING}>")
-    for inline in (128, 1000):
-        got = {r.aoi_id: r.errors for r in SP.validate_aois(df, inline=inline).collect()}
-        assert got == {0: [], 1: ["self_intersection"]}
+    got = {r.aoi_id: r.errors for r in SP.validate_aois(df).collect()}
+    assert got == {0: [], 1: ["self_intersection"]}
+
+
+def test_holes_of_short_and_long_shells(spark):
+    def circle(n, r, x=0.0):
+        p = [(x + r * float(np.cos(a)), r * float(np.sin(a))) for a in np.linspace(0, 2 * np.pi, n, endpoint=False)]
+        return [*p, p[0]]
+
+    bow = [(-1.0, -1.0), (1.0, 1.0), (1.0, -1.0), (-1.0, 1.0), (-1.0, -1.0)]
+    cases = [[circle(9, 2.0)], [bow], [circle(9, 2.0, 9.0)], [circle(9, 1.0, 30.0)], [circle(9, 1.0), circle(9, 1.0, 1.5)], [circle(9, 1.0, -3.0), circle(9, 1.0, 3.0)], []]
+    bad = [False, True, True, True, True, False, False]
+    rows = [(n * 10 + i, "Polygon", "EPSG:3857", circle(n, 10.0), holes) for n in (100, 200) for i, holes in enumerate(cases)]
+    df = spark.createDataFrame(rows, f"aoi_id LONG, type STRING, crs STRING, ring {G.RING}, holes ARRAY<{G.RING}>")
+    got = {r.aoi_id: r.errors for r in SP.validate_aois(df).collect()}
+    assert got == {n * 10 + i: ["self_intersection"] if b else [] for n in (100, 200) for i, b in enumerate(bad)}
+
+
+def test_layers_that_are_not_aligned(spark):
+    left, right = grid(spark, [[1, 2], [3, 4]]), grid(spark, [[5, 6]]).withColumnRenamed("class_id", "other")
+    with pytest.raises(Exception, match="not aligned"):
+        R.join_pixels(left, right).collect()
+    with pytest.raises(Exception, match="not aligned"):
+        R.join_blocks(R.to_blocks(left, ["class_id"], 4), R.to_blocks(right, ["other"], 4)).collect()
+    sizes = spark.createDataFrame([(1, 2, 2)], "scene_id LONG, height INT, width INT")
+    scene = left.first().scene_id
+    sizes = sizes.withColumn("scene_id", F.lit(scene).cast("long"))
+    both = R.join_blocks(R.to_blocks(left, ["class_id"], 4, sizes), R.to_blocks(right, ["other"], 4, sizes)).first()
+    assert both.class_id == [1, 2, 3, 4] and both.other == [5, 6, None, None]
+
+
+def test_rotated_transform(spark):
+    t = affine.transform_of(0.0, -10.0, 100.0, 10.0, 0.0, 200.0)
+    row = spark.range(1).select(affine.pixel_area(t).alias("area"), affine.bounds(t, F.lit(3), F.lit(2)).alias("b")).first()
+    assert row.area == 100 and tuple(row.b) == (80.0, 200.0, 100.0, 230.0)
 
 
 def test_parse_aois_closes_rings(spark):

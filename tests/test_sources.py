@@ -101,8 +101,6 @@ def test_provider(spark, tmp_path):
     assert source.tiles(2, 0).count() == 4 and source.metadata().count() == 1
     with pytest.raises(Exception, match="outside"):
         source.window(2, 2, 2, 2).collect()
-    with pytest.raises(TypeError):
-        imagery.ImageryProvider()
 
 
 def test_scoring_loads_the_model_once_per_task(spark):
@@ -137,7 +135,7 @@ def test_metric_stream_equals_batch(spark, tmp_path):
     write_parts(spark, rows, schema, str(tmp_path / "in"), 4)
     seen = []
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    SE.start_metrics(stream, lambda df, i: seen.append(df.first())).awaitTermination()
+    SE.start_metrics(stream, lambda df, i: seen.append(df.first()), str(tmp_path / "progress")).awaitTermination()
     whole = E.metrics(E.confusion(spark.createDataFrame(rows, schema))).first()
     assert len(seen) == 4 and list(seen[-1]) == pytest.approx(list(whole))
     halves = [E.confusion(spark.createDataFrame(part, schema)) for part in (rows[:150], rows[150:])]
@@ -147,17 +145,28 @@ def test_metric_stream_equals_batch(spark, tmp_path):
 def test_imagery_stream_merges_like_one_mosaic(spark, tmp_path):
     schema = "scene_id LONG, row_idx LONG, col_idx LONG, tile_ord INT, pred_id INT, conf DOUBLE"
     rows = [(1, r, c, t, 1 + (r + c + t) % 7, ((r * 7 + c * 3 + t * 5) % 11) / 11) for t in range(4) for r in range(4) for c in range(4)]
-    write_parts(spark, rows, schema, str(tmp_path / "in"), 4)
-    state = {"mosaic": spark.createDataFrame([], "scene_id LONG, row_idx LONG, col_idx LONG, pred_id INT, conf DOUBLE")}
-
-    def store(df, batch_id):
-        df.write.parquet(str(tmp_path / f"m{batch_id}"))
-        state["mosaic"] = spark.read.parquet(str(tmp_path / f"m{batch_id}"))
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    SI.start_scoring(stream, lambda df: df, lambda: state["mosaic"], store).awaitTermination()
+    for turn, order in enumerate((rows, rows[::-1])):
+        write_parts(spark, order, schema, str(tmp_path / f"in{turn}"), 4)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"in{turn}"))
+        SI.start_scoring(stream, lambda df: df, str(tmp_path / f"w{turn}"), str(tmp_path / f"p{turn}")).awaitTermination()
     whole = R.mosaic(spark.createDataFrame(rows, schema))
-    assert sorted(map(tuple, state["mosaic"].collect())) == sorted(map(tuple, whole.collect()))
+    for turn in (0, 1):
+        got = SI.read_mosaic(whole, str(tmp_path / f"w{turn}"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_streams_over_tables_of_several_files(spark, tmp_path):
+    from rasterweave.plans import load
+    from rasterweave.plans.views import TABLES
+
+    source = "/root/testdata/sf0.001"
+    for table in TABLES:
+        df = spark.read.parquet(f"{source}/{table}.parquet")
+        (df.repartition(3) if df.count() > 100 else df).write.parquet(str(tmp_path / f"{table}.parquet"))
+    queries = load()
+    for name in ("streaming_confusion", "streaming_job_outcomes", "streaming_throughput", "streaming_mosaic"):
+        got, expected = (sorted(map(str, queries[name](spark, d).collect())) for d in (str(tmp_path), source))
+        assert got == expected and got
 
 
 def test_run_stream_publishes_events(spark, tmp_path):

@@ -143,32 +143,41 @@ def draw_with_replacement(
 
 
 def weighted_sample(
-    spark: SparkSession, weights: DataFrame, n: int, seed: int, buckets: int = 1024, key: str = "sample_id"
+    spark: SparkSession, weights: DataFrame, n: int, seed: int, buckets: int = 1024, key: str = "sample_id",
+    draw: Column | None = None,
 ) -> DataFrame:
-    """``n`` draws with replacement: ``draw_id, sample_id``; the same seed gives the same draws."""
+    """``n`` draws with replacement: ``draw_id, sample_id``; the same seed gives the same draws.
+
+    ``draw`` replaces the hash of ``draw_id`` that falls on the total weight.
+    """
     if n <= 0:
         raise ValueError("n must be positive")
     intervals = checkpoint(weight_intervals(weights, key=key))
     total = intervals.agg(F.max("hi")).scalar()
     draws = spark.range(n).withColumnRenamed("id", "draw_id")
-    draws = draws.withColumn("position", F.pmod(F.xxhash64(F.lit(seed), F.col("draw_id")), total))
+    draws = draws.withColumn("position", F.pmod(F.xxhash64(F.lit(seed), F.col("draw_id")) if draw is None else draw, total))
     return draw_with_replacement(intervals, draws, buckets=buckets, key=key).select("draw_id", key)
 
 
-def uniform_sample(samples: DataFrame, seed: int, n: int | None = None, strategy: str = "uniform", key: str = "sample_id") -> DataFrame:
-    """A seeded permutation, or its first ``n`` rows. Only the uniform strategy may do without
-    replacement."""
+def uniform_sample(
+    samples: DataFrame, seed: int, n: int | None = None, strategy: str = "uniform", key: str = "sample_id", draw: Column | None = None
+) -> DataFrame:
+    """A seeded permutation with its ``position``, or its first ``n`` rows. Only the uniform strategy
+    may do without replacement. ``draw`` replaces the hash that rows are ordered by."""
     if strategy != "uniform":
         raise ValueError("sampling without replacement is only defined for the uniform strategy")
-    order = [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    order = [F.xxhash64(F.lit(seed), F.col(key)) if draw is None else draw, F.col(key)]
     indexed = global_index(samples, order, "position")
     return indexed if n is None else indexed.where(F.col("position") < n)
 
 
-def weighted_top(weights: DataFrame, n: int, seed: int, key: str = "sample_id") -> DataFrame:
-    """``n`` distinct samples, heavier ones more likely (exponential keys)."""
-    draw = F.greatest(unit_draw(seed, F.col(key)), F.lit(2.0**-60))
-    ordered = weights.withColumn("_key", -F.ln(draw) / F.col("weight"))
+def weighted_top(weights: DataFrame, n: int, seed: int, key: str = "sample_id", draw: Column | None = None) -> DataFrame:
+    """``n`` distinct samples, heavier ones more likely (exponential keys).
+
+    ``draw`` replaces the hashed draw from 0 to 1.
+    """
+    unit = F.greatest(unit_draw(seed, F.col(key)) if draw is None else draw, F.lit(2.0**-60))
+    ordered = weights.withColumn("_key", -F.ln(unit) / F.col("weight"))
     return first_rows(ordered, ["_key", key], n).drop("_key")
 
 

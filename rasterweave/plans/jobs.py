@@ -7,7 +7,11 @@ from rasterweave.operators import jobs as J
 from rasterweave.plans.registry import query
 from rasterweave.sources.documents import canonical_job
 
-_ALLOWED_SQL = ", ".join(f"'{a}>{b}'" for a, group in J.ALLOWED.items() for b in group)
+# fixed values: the legal steps, written out here as the check must not read them from the operator
+_ALLOWED_SQL = """'queued>preparing', 'queued>failed', 'queued>cancelled', 'preparing>fetching_imagery', 'preparing>failed',
+'preparing>cancelled', 'fetching_imagery>tiling', 'fetching_imagery>failed', 'fetching_imagery>cancelled', 'tiling>inference',
+'tiling>failed', 'tiling>cancelled', 'inference>postprocessing', 'inference>failed', 'inference>cancelled',
+'postprocessing>completed', 'postprocessing>failed', 'postprocessing>cancelled'"""
 _LEGAL = f"(concat(coalesce({{f}}, ''), '>', {{t}}) IN ('>queued', {_ALLOWED_SQL}))"
 
 _RUN = f"""

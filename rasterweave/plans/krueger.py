@@ -1,13 +1,10 @@
 """DuckDB text of the UTM projection, for checks only."""
 
-from rasterweave.functions.geometry import (
-    ECCENTRICITY,
-    KRUEGER,
-    RECTIFYING_RADIUS,
-    UTM_EASTING,
-    UTM_SCALE,
-    UTM_SOUTH,
-)
+# fixed values of the WGS 84 ellipsoid, its Krueger series and the UTM grid, apart from the code under check
+ECCENTRICITY = 0.0818191908426215
+RECTIFYING_RADIUS = 6367449.145823415
+KRUEGER = (8.377318206244698e-04, 7.608527773572307e-07, 1.197645503329453e-09, 2.429170607201359e-12, 5.711757677865804e-15, 1.491117731258390e-17)
+UTM_SCALE, UTM_EASTING, UTM_SOUTH = 0.9996, 500000.0, 10000000.0
 
 
 def utm_sql(lon: str, lat: str, epsg: str) -> str:

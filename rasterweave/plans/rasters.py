@@ -1,12 +1,17 @@
 """Queries over rasters, tiles, mosaics and change."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rasterweave.functions import affine
 from rasterweave.functions.tiles import tile_starts
 from rasterweave.operators import change as CH
 from rasterweave.operators import rasters as R
+from rasterweave.operators.extensions import observed, read_table, write_table
 from rasterweave.plans.registry import query
+from rasterweave.session import checkpoint_folder
+from rasterweave.sources.sinks import write_rasters
 from rasterweave.sources import sinks
 
 SCENE = 50
@@ -43,6 +48,30 @@ def block_round_trip(v):
     return rows.where("after_id IS NOT NULL")
 
 
+@query("S-10", "grid", """
+SELECT scene_id, row_idx, col_idx, CASE WHEN (row_idx + col_idx) % 7 = 0 THEN 0 ELSE after_id END AS after_id,
+       CAST(CAST(CASE WHEN (row_idx + col_idx) % 7 = 0 THEN 0 ELSE confidence END AS FLOAT) AS DOUBLE) AS confidence FROM grid""")
+def stored_rasters(v):
+    """Raster products written to the shared folder and read again, missing values as no-data."""
+    present = (F.col("row_idx") + F.col("col_idx")) % 7 != 0
+    pixels = v.grid.select(*R.PIXEL_KEY, *[F.when(present, F.col(c)).alias(c) for c in ("after_id", "confidence")])
+    sizes = v.grid.groupBy("scene_id").agg((F.max("row_idx") + 1).alias("height"), (F.max("col_idx") + 1).alias("width"))
+    blocks = R.to_blocks(pixels, ["after_id", "confidence"], 16, sizes)
+    path = f"{checkpoint_folder(v.spark)}/rasters-{uuid.uuid4()}"
+    write_rasters(blocks, path, {"after_id": "mask", "confidence": "confidence"})
+    rows = R.from_blocks(v.spark.read.parquet(path), ["after_id", "confidence"])
+    inside = rows.join(v.grid.select(*R.PIXEL_KEY), list(R.PIXEL_KEY))
+    return inside.withColumns({"after_id": F.col("after_id").cast("int"), "confidence": F.col("confidence").cast("double")})
+
+
+@query("U-5 U-7", "samples", "SELECT sample_id, split, domain FROM samples")
+def repository_round_trip(v):
+    """Rows stored and loaded through the repository functions, observed on the way."""
+    path = f"{checkpoint_folder(v.spark)}/samples-{uuid.uuid4()}"
+    write_table(observed(v.samples, "samples"), path, by=["split"])
+    return read_table(v.spark, path, v.samples.schema)
+
+
 @query("S-4 C-14", "grid", """
 SELECT scene_id, row_idx - 20 AS row_idx, col_idx - 3 AS col_idx, after_id FROM grid
 WHERE row_idx BETWEEN 20 AND 29 AND col_idx BETWEEN 3 AND 42""")

@@ -158,19 +158,27 @@ def draws_with_replacement(v):
     return SA.draw_with_replacement(intervals, draws, buckets=256)
 
 
-@query("L-5")
+@query("L-5", "", f"""
+WITH {_INTERVALS}, d AS (SELECT range AS draw_id, (range * 7919 * 104729) % (SELECT max(hi) FROM i) AS position FROM range(1000))
+SELECT draw_id, sample_id FROM d JOIN i ON position >= lo AND position < hi""")
 def weighted_sample(v):
-    return SA.weighted_sample(v.spark, _simple_weights(v), 1000, seed=7)
+    """Draws at arithmetic positions, which both engines can name."""
+    return SA.weighted_sample(v.spark, _simple_weights(v), 1000, seed=7, draw=F.col("draw_id") * 7919 * 104729)
 
 
-@query("L-6", "samples", "SELECT sample_id, split, domain FROM samples")
+@query("L-6", "samples", """
+SELECT *, row_number() OVER (ORDER BY (sample_id * 7919 + 4242) % 10007, sample_id) - 1 AS position FROM samples""")
 def uniform_permutation(v):
-    return SA.uniform_sample(v.samples, seed=7).drop("position")
+    """The order of an arithmetic draw, with gapless positions."""
+    return SA.uniform_sample(v.samples, seed=7, draw=(F.col("sample_id") * 7919 + 4242) % 10007)
 
 
-@query("L-7")
+@query("L-7", "", """
+SELECT p_partkey AS sample_id, 0.25 + p_size / 16.0 AS weight FROM part
+ORDER BY -ln(((p_partkey * 7919) % 10007 + 0.5) / 10007) / (0.25 + p_size / 16.0), p_partkey LIMIT 100""")
 def weighted_top(v):
-    return SA.weighted_top(_simple_weights(v), 100, seed=7)
+    """The hundred of a weighted draw from arithmetic numbers between 0 and 1."""
+    return SA.weighted_top(_simple_weights(v), 100, seed=7, draw=((F.col("sample_id") * 7919) % 10007 + 0.5) / 10007)
 
 
 @query("L-8", "samples", """

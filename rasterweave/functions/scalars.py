@@ -140,7 +140,11 @@ def softmax(logits: Column) -> Column:
     """Probabilities of an array of scores, stable for large scores."""
     top = F.array_max(logits)
     exps = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda s, x: s + x))
+
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(exps, shares)
 
 
 def log_sum_exp(logits: Column) -> Column:

@@ -115,6 +115,11 @@ def weight_intervals(weights: DataFrame, chunk_size: int = 65536, key: str = "sa
     return placed.select(key, (F.col("hi") - F.col("_units")).alias("lo"), "hi")
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Whole-number division, exact for positions that a double cannot hold."""
+    return F.call_function("div", a, b)
+
+
 def draw_with_replacement(
     intervals: DataFrame,
     draws: DataFrame,
@@ -135,9 +140,9 @@ def draw_with_replacement(
     width = F.greatest(F.ceil(total / F.lit(buckets)), F.lit(1))
     sized = intervals.withColumn("_w", width)
     listed = sized.withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_w")), F.floor((F.col("hi") - 1) / F.col("_w"))))
+        "_bucket", F.explode(F.sequence(_div(F.col("lo"), F.col("_w")), _div(F.col("hi") - 1, F.col("_w"))))
     ).drop("_w")
-    placed = draws.withColumn("_bucket", F.floor(F.col(position) / width))
+    placed = draws.withColumn("_bucket", _div(F.col(position), width))
     inside = (F.col(position) >= F.col("lo")) & (F.col(position) < F.col("hi"))
     return placed.join(listed, "_bucket").where(inside).select(*draws.columns, key)
 

@@ -61,10 +61,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch["text"]]
-            n = pa.array([len(s) for s in sets], pa.int64())
-            sid = pa.array([set_id(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc"], batch["th"], n, sid], ["doc", "th", "n", "sid"])
+            n, sid = np.empty((2, batch.num_rows), np.int64)
+            for i, t in enumerate(batch["text"]):
+                s = shingle_set(t.as_py(), width)
+                n[i], sid[i] = len(s), set_id(s)
+            yield pa.RecordBatch.from_arrays([batch["doc"], batch["th"], pa.array(n), pa.array(sid)], ["doc", "th", "n", "sid"])
 
     return docs.mapInArrow(make, f"doc {docs.schema['doc'].dataType.simpleString()}, th long, n long, sid long")
 
@@ -101,7 +102,7 @@ def _regions(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         def flush():
             arrays = [np.concatenate(c) for c in zip(*cells)]
-            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "salt", "sid", "n", "i"])
+            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "sid", "place"])
 
         for batch in batches:
             for t in batch["text"]:
@@ -122,10 +123,11 @@ def _regions(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 m = len(s) - (percent * len(s) + 99) // 100 + 1
                 spread = 1 + c[:m] * SAMPLE // 10_000
                 # a common shingle's rows are kept whether or not they meet another in their task
-                salt = np.where(c[:m] > 0, 1 + np.uint64(sid & 0xFFFFFFFF).astype(np.int64) % spread, 0).astype(np.int32)
-                cells.append([s[:m].view(np.int64), salt, np.full(m, sid), np.full(m, len(s), np.int32), np.arange(m, dtype=np.int32)])
+                salt = np.where(c[:m] > 0, 1 + (sid & 0xFFFFFFFF) % spread, 0).clip(max=127)
+                place = salt << 56 | np.int64(len(s)) << 28 | np.arange(m)  # fewer bytes to shuffle than three columns
+                cells.append([s[:m].view(np.int64), np.full(m, sid), place])
                 held += m
-                if held > 200_000:
+                if held > 100_000:
                     yield flush()
                     cells, held = [], 0
         if cells:
@@ -141,17 +143,21 @@ def _regions(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
             h = batch["h"].to_numpy()
             same = h[1:] == h[:-1]
-            keep = np.concatenate([[joined], same]) | np.concatenate([same, [False]]) | (batch["salt"].to_numpy() > 0)
+            keep = np.concatenate([[joined], same]) | np.concatenate([same, [False]]) | (batch["place"].to_numpy() >> 56 > 0)
             joined = bool(same[-1]) if len(same) else joined
             last = batch.slice(len(h) - 1)
             keep[-1] = False
-            yield batch.filter(pa.array(keep)).select(["h", "sid", "n", "i"])
-        if last is not None and (joined or last["salt"][0].as_py() > 0):
-            yield last.select(["h", "sid", "n", "i"])
-
-    rows = docs.select("text").mapInArrow(sign, "h long, salt int, sid long, n int, i int")
-    rows = rows.repartition("h", "salt").sortWithinPartitions("h")
-    return stored(rows.mapInArrow(several, "h long, sid long, n int, i int"), "regions")
+            yield batch.filter(pa.array(keep))
+        if last is not None and (joined or last["place"][0].as_py() >> 56 > 0):
+            yield last
+
+    names = "h long, sid long, place long"
+    rows = docs.select("text").mapInArrow(sign, names).repartition("h", F.shiftright("place", 56)).sortWithinPartitions("h")
+    low = F.lit((1 << 28) - 1)
+    unpacked = rows.mapInArrow(several, names).select(
+        "h", "sid", F.shiftright("place", 28).bitwiseAND(low).cast("int").alias("n"), F.col("place").bitwiseAND(low).cast("int").alias("i")
+    )
+    return stored(unpacked, "regions")
 
 
 def _possible(percent: int, a: str, b: str) -> str:

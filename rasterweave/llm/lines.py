@@ -1,7 +1,7 @@
-"""Line deduplication over a corpus: equal lines and lines one edit apart.
+"""Line deduplication over a corpus: equal lines and lines few edits apart.
 
 A line is dropped if an earlier line is equal to it or one edit (a character inserted, deleted or
-replaced) away. Lines are ordered by document id, hash of the text and line number. Shorter lines
+replaced) away; with ``every``, as many edits as the longer line has times ``every`` characters. Lines are ordered by document id, hash of the text and line number. Shorter lines
 than ``min_chars`` never count, as such lines repeat by chance.
 
 Equal lines are grouped by a 128-bit hash first. For the rest, a line is cut into threshold-plus-one,
@@ -13,10 +13,17 @@ smaller length can share. Pairs that meet are verified by Spark's banded ``leven
 Where many lines share a segment, their pairs are never listed: the other segment is keyed once more
 by what is left of it without one character. Lines that share such a key at the same place are one
 edit apart by construction, so the first of them decides for all.
+
+With ``every``, k edits leave k + 1 runs of the longer line as they are, the longest of which has a
+known least length. Each line is keyed by the least hash of its grams in every window of that
+length, so two lines with such a run share a key; no pair is missed. Lines meet by key and class of
+length, where crowded after the pairs with the first line, and all pairs left are verified.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +31,8 @@ from rasterweave.llm.common import quoted, stored
 
 #: largest group whose pairs are verified one by one; rows of a table that is broadcast at most
 CROWD, BROADCAST_ROWS = 32, 200_000
+#: longer lines are keyed in pieces of so many characters
+PIECE = 4096
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -59,16 +68,8 @@ def _without_one(part: Column) -> Column:
     return F.concat(whole, F.when(F.length(part) > 0, each).otherwise(F.array_remove(whole, whole[0])))
 
 
-def dropped_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, crowd: int = CROWD
-) -> DataFrame:
-    """(doc, th, no) of every dropped line; ``th`` is the text's hash, ``no`` counts from 0.
-
-    Null and empty texts have no lines that count. Null ids come first. Repeated rows (same id and
-    text) are one document: what is dropped of one is dropped of all. Other columns are not read; an
-    empty table has no rows.
-    """
-    lines = _lines(docs, id_col, text_col, min_chars)
+def _near_by_one(lines: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct lines, and (id) of those one edit away from an earlier one."""
     # lines travel as hashes and keys; their text only where a segment is shared
     segments = _segments()
     keys = [key.alias(f"k{i}") for i, (_, _, key, _) in enumerate(segments)]
@@ -121,7 +122,88 @@ def dropped_lines(
     grown = longer.join(shorter, ["key", "rest"]).select(
         F.when(F.col("so") < F.col("lo"), F.col("long")).otherwise(F.col("short")).alias("id")
     )
-    near_ids = by_pairs.unionByName(by_place).unionByName(grown).distinct()
+    return distinct, by_pairs.unionByName(by_place).unionByName(grown).distinct()
+
+
+def _run(min_chars: int, every: int) -> int:
+    """Least length of the longest run that lines within max(1, length // every) edits share."""
+    least = lambda n: -(((k := max(1, n // every)) - n) // (k + 1))
+    return min(least(n) for n in (min_chars, every * max(2, -(-min_chars // every))))
+
+
+def _doubled(step: int):
+    """Minima of an array and itself, ``step`` places on; a lambda's variable is computed only once."""
+    return lambda h: F.zip_with(h, F.slice(h, step + 1, F.greatest(F.size(h), F.lit(1))), lambda x, y: F.least(x, y))
+
+
+def _run_keys(line: Column, run: int) -> Column:
+    """The least hash of the grams in every window of ``run`` characters, each once."""
+    width = 1
+    while width * 2 <= run * 2 // 5:
+        width *= 2
+    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{run - width + 1}}}))"), F.lit(1))
+    least, step = F.transform(grams, lambda g: F.xxhash64(g)), 1
+    while step < width:  # shifted onto itself, a window doubles; at the end windows are shorter
+        least = F.transform(F.array(least), _doubled(step))[0]
+        step *= 2
+    return F.array_distinct(least)
+
+
+def _near_by_share(lines: DataFrame, distinct: DataFrame, min_chars: int, every: int, crowd: int) -> DataFrame:
+    """(id) of the distinct lines within ``size // every`` edits, at least one, of one with a smaller id."""
+    run = _run(min_chars, every)
+    firsts = distinct.select("h1", "h2", "id", "size", F.col("ord").alias("first"))
+    texts = lines.join(firsts, ["h1", "h2"]).where("ord = first").select("id", "size", "line")
+    texts = stored(texts.dropDuplicates(["id"]), "texts")  # repeated rows have equal places
+    starts = F.sequence(F.lit(0), F.floor((F.col("size") - 1) / PIECE).cast("int"))
+    pieces = texts.select("id", "size", F.explode(F.transform(starts, lambda i: F.substring(F.col("line"), i * PIECE + 1, F.lit(PIECE + run - 1)))).alias("piece"))
+    keys = pieces.select("id", "size", F.explode(_run_keys(F.col("piece"), run)).alias("key"))
+    # sizes of a pair are in the same or the next class
+    width = -math.log(1 - max(1 / every, 1 / min_chars)) * 1.0001
+    keys = keys.withColumn("class", F.floor(F.log("size") / width))
+    counts = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = stored(keys.join(counts.select("key"), "key"), "shared")
+    allowed = f"greatest(1, greatest(sa, sb) div {every})"
+    a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    near = lambda pairs: pairs.distinct().join(a, "a").join(b, "b").where(
+        F.expr(f"levenshtein(la, lb, cast({allowed} as int)) >= 0")
+    ).select(F.col("b").alias("id"))
+    ends = [F.col("id").alias(x) for x in "ab"], [F.col("size").alias(f"s{x}") for x in "ab"]
+    first, second = (shared.select("key", "class", ends[0][i], ends[1][i]) for i in (0, 1))
+    close = f"a < b and abs(sa - sb) <= {allowed}"
+
+    # crowded keys: the first line decides for those near it, which then need no more pairs
+    pivots = shared.groupBy("key", "class").agg(F.min("id").alias("a"), F.min_by("size", "id").alias("sa"), F.count("*").alias("m"))
+    pivots = pivots.where(F.col("m") > crowd).drop("m")
+    decided = stored(near(pivots.join(second, ["key", "class"]).where(close).select("a", "sa", "b", "sb")).distinct(), "decided")
+    open_ = second.join(decided.select(F.col("id").alias("b")), "b", "left_anti")
+    probes = open_.withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])))
+    pairs = first.join(probes, ["key", "class"]).where(close).select("a", "sa", "b", "sb")
+    return decided.unionByName(near(pairs)).distinct()
+
+
+def dropped_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, crowd: int = CROWD, every: int | None = None
+) -> DataFrame:
+    """(doc, th, no) of every dropped line; ``th`` is the text's hash, ``no`` counts from 0.
+
+    Null and empty texts have no lines that count. Null ids come first. Repeated rows (same id and
+    text) are one document: what is dropped of one is dropped of all. Other columns are not read; an
+    empty table has no rows. ``every`` characters of the longer line allow one edit each, and any
+    line one edit; without it one edit is allowed whatever the length.
+    """
+    if every is not None and every < 2:
+        raise ValueError("every must be 2 or more")
+    lines = _lines(docs, id_col, text_col, min_chars)
+    if every is None:
+        distinct, near_ids = _near_by_one(lines, crowd)
+    else:
+        firsts = lines.select("h1", "h2", "ord", F.length("line").alias("size"))
+        least = F.min(F.struct("ord", "size")).alias("m")
+        distinct = firsts.groupBy("h1", "h2").agg(least, F.count("*").alias("n")).select("h1", "h2", "n", "m.*")
+        # ids in the order of the lines
+        distinct = stored(distinct.orderBy("ord").withColumn("id", F.monotonically_increasing_id()), "lines")
+        near_ids = _near_by_share(lines, distinct, min_chars, every, crowd)
 
     marked = distinct.join(near_ids.withColumn("near", F.lit(True)), "id", "left").where("n > 1 or near")
     marked = stored(marked.select("h1", "h2", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "marked")
@@ -131,14 +213,14 @@ def dropped_lines(
 
 
 def without_repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, crowd: int = CROWD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, crowd: int = CROWD, every: int | None = None
 ) -> DataFrame:
     """``docs`` with ``text_col`` less its dropped lines, see :func:`dropped_lines`.
 
     Every row stays, with its other columns; a text that loses all lines becomes empty, a null text
     stays null.
     """
-    drops = dropped_lines(docs, id_col, text_col, min_chars, crowd).groupBy("doc", "th").agg(F.collect_set("no").alias("gone"))
+    drops = dropped_lines(docs, id_col, text_col, min_chars, crowd, every).groupBy("doc", "th").agg(F.collect_set("no").alias("gone"))
     drops = stored(drops, "drops")
     if drops.count() <= BROADCAST_ROWS:
         drops = F.broadcast(drops)

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from rasterweave.llm import lines
 
 
@@ -44,6 +45,49 @@ def test_against_all_pairs(spark, crowd):
     assert len(gone) > 50
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("crowd, every, piece", [(0, 8, 4096), (2, 4, 16), (32, 6, 4096)])
+def test_edits_by_length_against_all_pairs(spark, monkeypatch, crowd, every, piece):
+    monkeypatch.setattr(lines, "PIECE", piece)
+    rng = random.Random(every)
+    base = ["".join(rng.choices("abcdé 𝄞", k=n)) for n in (8, 15, 16, 17, 31, 40, 64, 65)]
+    docs = []
+    for d in range(40):
+        out = []
+        for _ in range(4):
+            line = list(rng.choice(base))
+            for _ in range(rng.randrange(len(line) // every + 3)):
+                i = rng.randrange(len(line))
+                line[i : i + rng.choice((0, 1))] = rng.choice(("", "x", "é"))
+            out.append("".join(line))
+        docs.append((d, "\n".join(out)))
+    at = [((d, i), x) for d, t in docs for i, x in enumerate(t.split("\n")) if len(x) >= 8]
+    near = lambda x, y: distance(x, y) <= max(1, max(len(x), len(y)) // every)
+    gone = {q for (p, x), (q, y) in itertools.combinations(at, 2) if near(x, y)}
+    one = {q for (p, x), (q, y) in itertools.combinations(at, 2) if edits(x, y) <= 1}
+    expected = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in docs}
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = lines.without_repeated_lines(table, min_chars=8, crowd=crowd, every=every)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == expected
+    assert len(one) + 5 < len(gone) < len(at) - 5
+
+
+def test_pipeline_drops_lines_with_a_replaced_word(spark):
+    line = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, line), (2, line.replace("word20", "other")), (3, line.replace("word2", "other"))]
+    got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: line, 2: "", 3: rows[2][1]}
+
+
 def test_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.without_repeated_lines(empty).count() == 0
+    assert lines.without_repeated_lines(empty, every=32).count() == 0

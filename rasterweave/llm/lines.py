@@ -2,7 +2,8 @@
 
 A line is dropped if an earlier line is equal to it or one edit (a character inserted, deleted or
 replaced) away; with ``every``, as many edits as the longer line has times ``every`` characters. Lines are ordered by document id, hash of the text and line number. Shorter lines
-than ``min_chars`` never count, as such lines repeat by chance.
+than ``min_chars`` are never compared by edits, and shorter ones than ``exact_chars`` (``min_chars``
+unless given) never count.
 
 Equal lines are grouped by a 128-bit hash first. For the rest, a line is cut into threshold-plus-one,
 that is two, segments: of two lines one edit apart, one segment is the same in both, at the start or
@@ -68,7 +69,7 @@ def _without_one(part: Column) -> Column:
     return F.concat(whole, F.when(F.length(part) > 0, each).otherwise(F.array_remove(whole, whole[0])))
 
 
-def _near_by_one(lines: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+def _near_by_one(lines: DataFrame, min_chars: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """The distinct lines, and (id) of those one edit away from an earlier one."""
     # lines travel as hashes and keys; their text only where a segment is shared
     segments = _segments()
@@ -79,7 +80,7 @@ def _near_by_one(lines: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     distinct = firsts.groupBy("h1", "h2").agg(least, F.count("*").alias("n")).select("h1", "h2", "n", "m.*")
     distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
     each = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i).alias("k")) for i in range(len(keys))])
-    keyed = distinct.select("id", F.explode(each).alias("e")).select("id", "e.*")
+    keyed = distinct.where(F.col("size") >= min_chars).select("id", F.explode(each).alias("e")).select("id", "e.*")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("k").alias("first")).where("m > 1 and first < 2")
     shared = stored(keyed.join(sizes.select("key", "m"), "key"), "shared")
     wanted = distinct.join(shared.select("id").distinct(), "id").select("h1", "h2", "id", F.col("ord").alias("first"))
@@ -152,7 +153,7 @@ def _run_keys(line: Column, run: int) -> Column:
 def _near_by_share(lines: DataFrame, distinct: DataFrame, min_chars: int, every: int, crowd: int) -> DataFrame:
     """(id) of the distinct lines within ``size // every`` edits, at least one, of one with a smaller id."""
     run = _run(min_chars, every)
-    firsts = distinct.select("h1", "h2", "id", "size", F.col("ord").alias("first"))
+    firsts = distinct.where(F.col("size") >= min_chars).select("h1", "h2", "id", "size", F.col("ord").alias("first"))
     texts = lines.join(firsts, ["h1", "h2"]).where("ord = first").select("id", "size", "line")
     texts = stored(texts.dropDuplicates(["id"]), "texts")  # repeated rows have equal places
     starts = F.sequence(F.lit(0), F.floor((F.col("size") - 1) / PIECE).cast("int"))
@@ -183,20 +184,22 @@ def _near_by_share(lines: DataFrame, distinct: DataFrame, min_chars: int, every:
 
 
 def dropped_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, crowd: int = CROWD, every: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, crowd: int = CROWD, every: int | None = None, exact_chars: int | None = None
 ) -> DataFrame:
     """(doc, th, no) of every dropped line; ``th`` is the text's hash, ``no`` counts from 0.
 
     Null and empty texts have no lines that count. Null ids come first. Repeated rows (same id and
     text) are one document: what is dropped of one is dropped of all. Other columns are not read; an
     empty table has no rows. ``every`` characters of the longer line allow one edit each, and any
-    line one edit; without it one edit is allowed whatever the length.
+    line one edit; without it one edit is allowed whatever the length. Equal lines of ``exact_chars``
+    to ``min_chars`` characters are dropped as well; empty lines never are.
     """
     if every is not None and every < 2:
         raise ValueError("every must be 2 or more")
-    lines = _lines(docs, id_col, text_col, min_chars)
+    least_chars = min_chars if exact_chars is None else max(1, min(exact_chars, min_chars))
+    lines = _lines(docs, id_col, text_col, least_chars)
     if every is None:
-        distinct, near_ids = _near_by_one(lines, crowd)
+        distinct, near_ids = _near_by_one(lines, min_chars, crowd)
     else:
         firsts = lines.select("h1", "h2", "ord", F.length("line").alias("size"))
         least = F.min(F.struct("ord", "size")).alias("m")
@@ -213,14 +216,14 @@ def dropped_lines(
 
 
 def without_repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, crowd: int = CROWD, every: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, crowd: int = CROWD, every: int | None = None, exact_chars: int | None = None
 ) -> DataFrame:
     """``docs`` with ``text_col`` less its dropped lines, see :func:`dropped_lines`.
 
     Every row stays, with its other columns; a text that loses all lines becomes empty, a null text
     stays null.
     """
-    drops = dropped_lines(docs, id_col, text_col, min_chars, crowd, every).groupBy("doc", "th").agg(F.collect_set("no").alias("gone"))
+    drops = dropped_lines(docs, id_col, text_col, min_chars, crowd, every, exact_chars).groupBy("doc", "th").agg(F.collect_set("no").alias("gone"))
     drops = stored(drops, "drops")
     if drops.count() <= BROADCAST_ROWS:
         drops = F.broadcast(drops)

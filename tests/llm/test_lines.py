@@ -87,6 +87,14 @@ def test_pipeline_drops_lines_with_a_replaced_word(spark):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: line, 2: "", 3: rows[2][1]}
 
 
+def test_short_lines_that_repeat(spark):
+    rows = [(1, "Read more\n\nlines\nlinex"), (2, "Read more\n\nown\nline"), (3, "own")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {1: rows[0][1], 2: "\nown\nline", 3: ""}
+    for got in (corpus_pipeline.line_dedup(spark, table, ""), lines.without_repeated_lines(table, exact_chars=1)):
+        assert {r["doc_id"]: r["text"] for r in got.collect()} == expected
+
+
 def test_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.without_repeated_lines(empty).count() == 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, contamination, hosts, jaccard, lines, neighbours, quality, sharding, suffix_tree, wavelet
+from rasterweave.llm import audit, bpe, contamination, hosts, jaccard, lines, neighbours, quality, sharding, suffix_tree, wavelet
 from rasterweave.llm.common import LOWER, UPPER
 
 
@@ -109,7 +109,12 @@ def op10_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op2_one_bit_neighbours, op3_contained_benchmark_items, op4_link_graph_filter, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines, op10_suffix_tree_scores)}
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters does at every place of every order, by source."""
+    return audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op2_one_bit_neighbours, op3_contained_benchmark_items, op4_link_graph_filter, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines, op10_suffix_tree_scores, op11_filter_audit)}
 #: macros of DuckDB texts: the words of a text, and its distinct five-word shingles
 _WORDS = "list_filter(regexp_split_to_array(translate({}, '" + UPPER + "', '" + LOWER + "'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
@@ -139,4 +144,33 @@ k AS (SELECT l.doc_id, l.text, l.line, l.no, coalesce(length(l.line) >= 40 AND (
   FROM l LEFT JOIN o USING (line) LEFT JOIN near USING (line)),
 t AS (SELECT doc_id, count(*) AS n_lines, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text FROM k GROUP BY doc_id)
 SELECT doc_id, n_lines, length(text) AS n_chars, md5(text) AS text_md5 FROM t""",
+    "op11_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+  + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > first, false)::INT AS fails,
+  coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d JOIN firsts USING (text) LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest(range(5)) AS i),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, 1::BIGINT << (ascii(filter_order[step]) - 65) AS bit,
+  list_sum(list_transform(range(1, step), lambda j: 1::BIGINT << (ascii(filter_order[j]) - 65))) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, bit,
+  sum(n) FILTER (fails & (coalesce(before, 0) | bit)::BIGINT = 0) AS kept,
+  sum(n) FILTER (fails & bit > 0 AND fails & coalesce(before, 0)::BIGINT = 0) AS removed,
+  sum(n) FILTER (fails & bit > 0 AND fails & coalesce(before, 0)::BIGINT > 0) AS redundant,
+  sum(n) FILTER (fails = bit) AS unique_fails,
+  sum(good) FILTER (fails & bit > 0 AND fails & coalesce(before, 0)::BIGINT = 0) AS good_lost,
+  sum(toxic) FILTER (fails & bit > 0 AND fails & coalesce(before, 0)::BIGINT = 0) AS toxic_lost
+  FROM c, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
 }

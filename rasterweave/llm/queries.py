@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import audit, bpe, contamination, hosts, jaccard, lines, neighbours, quality, sharding, spelling, suffix_tree, wavelet
+from rasterweave.llm import audit, bpe, contamination, hosts, jaccard, lines, neighbours, quality, sharding, spelling, suffix_tree, toxicity, wavelet
 from rasterweave.llm.common import LOWER, UPPER
 
 
@@ -114,12 +114,22 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op12_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document from a classifier trained on the voters' posterior labels."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    held = F.coalesce(_remainder(3) == 1, F.lit(False))
+    model = toxicity.fit(docs, _table(spark, folder, "labels").where(~held))
+    return toxicity.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents with their near words, more frequent form and root."""
     return spelling.variants(_table(spark, folder, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op2_one_bit_neighbours, op3_contained_benchmark_items, op4_link_graph_filter, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines, op10_suffix_tree_scores, op11_filter_audit, op13_spelling_variants)}
+QUERIES = {q.__name__: q for q in (op1_hypergeometric_shards, op2_one_bit_neighbours, op3_contained_benchmark_items, op4_link_graph_filter, op5_tree_bpe, op6_jaccard_components, op7_compression_quality, op8_wavelet_shards, op9_repeated_lines, op10_suffix_tree_scores, op11_filter_audit, op12_weak_toxicity, op13_spelling_variants)}
 #: macros of DuckDB texts: the words of a text, and its distinct five-word shingles
 _WORDS = "list_filter(regexp_split_to_array(translate({}, '" + UPPER + "', '" + LOWER + "'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))

@@ -30,18 +30,23 @@ WORD = re.compile(r"[^\W\d_]+")
 #: words of a window, within which hits count together
 WINDOW = 100
 #: code points of the word beginnings that may become terms
-BEGINNINGS = range(4, 9)
+SHORTEST = 4
+BEGINNINGS = range(SHORTEST, 9)
 LEXICONS = 6
-#: patterns, a match per ... of words: shouting, runs of marks, masked letters, drawn-out letters, address
-PATTERNS = [
-    re.compile(r"\b[^\W\d_a-zß-ÿ]{3,}\b"),
-    re.compile(r"[!?]{2,}"),
-    re.compile(r"[^\W\d_][*@#$%]+[^\W\d_]"),
-    re.compile(r"([^\W\d_])\1{3,}"),
-    re.compile(r"\b(?:you|your|du|dich|dein|tu|tus|te|toi|ton)\b", re.I),
+#: patterns of a word: shouting, drawn-out letters, address; and of the text between words: runs of
+#: marks, masked letters
+WORD_PATTERNS = [
+    lambda word, low: len(word) > 2 and word.isupper(),
+    lambda word, low: DRAWN.search(low) is not None,
+    lambda word, low: low in ADDRESS,
 ]
+DRAWN = re.compile(r"(.)\1{3}")
+#: fixed values: forms of address in four languages
+ADDRESS = {"you", "your", "du", "dich", "dein", "tu", "tus", "te", "toi", "ton"}
+MARKS, MASKS = re.compile(r"[!?]{2,}"), re.compile(r"[*@#$%]+(?=[^\W\d_])")
+PATTERNS = len(WORD_PATTERNS) + 2
 #: dense features before the terms' own
-DENSE = 8 + len(PATTERNS)
+DENSE = 8 + PATTERNS
 #: votes: abstain, clean, toxic
 VOTES = 3
 
@@ -60,43 +65,62 @@ class Reader:
 
     def __init__(self, terms: list[str]):
         self.terms = {t: i for i, t in enumerate(terms)}
+        self.heads = {t.rstrip("$")[:SHORTEST] for t in terms}
         self.cache: dict[str, int] = {}
 
-    def term(self, word: str) -> int:
-        """Index of the word's term, or -1; terms never begin with one another, so there is one."""
-        at = self.cache.get(word)
-        if at is None:
-            at = next((self.terms[g] for g in grams(word) if g in self.terms), -1)
-            if len(self.cache) > 400_000:
-                self.cache.clear()
-            self.cache[word] = at
+    def code(self, word: str) -> int:
+        """Number of the word's term (0: none), and above it a bit for each pattern that it fits.
+
+        Terms never begin with one another, so a word has at most one.
+        """
+        low = word.lower()
+        at = next((self.terms[g] + 1 for g in grams(low) if g in self.terms), 0) if low[:SHORTEST] in self.heads else 0
+        for i, fits in enumerate(WORD_PATTERNS):
+            if fits(word, low):
+                at |= 1 << (20 + i)
         return at
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Dense features, and the places and values of those of terms; zeros without words."""
-        words = words_in(text)
+        words = WORD.findall(text) if text else []
         dense = np.zeros(DENSE)
         if not words:
             return dense, np.zeros(0, np.int64), np.zeros(0)
-        found = np.fromiter(map(self.term, words), np.int64, len(words))
-        at = np.flatnonzero(found >= 0)
-        windows = -(-len(words) // WINDOW)
-        per = np.bincount(at // WINDOW, minlength=windows)
-        places, counts = np.unique(found[at], return_counts=True)
-        dense[:8] = [
-            math.log1p(100 * len(at) / len(words)), math.log1p(len(at)), math.log1p(len(places)),
-            math.log1p(len({words[i] for i in at.tolist()})), math.log1p(per.max()), (per > 0).mean(), (per > 1).mean(),
-            math.log1p(len(words)) / 10,
+        try:
+            codes = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            if len(self.cache) > 400_000:
+                self.cache.clear()
+            self.cache.update((w, self.code(w)) for w in set(words).difference(self.cache))
+            codes = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+        if codes.any():
+            self._hits(dense, codes, words)
+        dense[7] = math.log1p(len(words)) / 10
+        marks = sum(1 for _ in MARKS.finditer(text)) if "!" in text or "?" in text else 0
+        masks = sum(1 for m in MASKS.finditer(text) if m.start() and WORD.match(text[m.start() - 1])) if any(c in text for c in "*@#$%") else 0
+        dense[8 + len(WORD_PATTERNS) :] = np.log1p(100 * np.array([marks, masks]) / len(words))
+        places, counts = np.unique(codes & 0xFFFFF, return_counts=True)
+        if not places[0]:
+            places, counts = places[1:], counts[1:]
+        return dense, places - 1, np.log1p(100 * counts / len(words))
+
+    @staticmethod
+    def _hits(dense: np.ndarray, codes: np.ndarray, words: list[str]) -> None:
+        found = codes & 0xFFFFF
+        at = np.flatnonzero(found)
+        per = np.bincount(at // WINDOW, minlength=-(-len(words) // WINDOW))
+        dense[:7] = [
+            math.log1p(100 * len(at) / len(words)), math.log1p(len(at)), math.log1p(len(np.unique(found[at]))),
+            math.log1p(len({words[i].lower() for i in at.tolist()})), math.log1p(per.max()), (per > 0).mean(), (per > 1).mean(),
         ]
-        for i, pattern in enumerate(PATTERNS):
-            dense[8 + i] = math.log1p(100 * sum(1 for _ in pattern.finditer(text)) / len(words))
-        return dense, places, np.log1p(100 * counts / len(words))
+        for i in range(len(WORD_PATTERNS)):
+            dense[8 + i] = math.log1p(100 * np.count_nonzero(codes >> (20 + i) & 1) / len(words))
 
     @staticmethod
     def votes(dense: np.ndarray, places: np.ndarray) -> str:
         """A digit for each voter: 0 abstains, 1 clean, 2 toxic."""
         if not dense[7]:
-            return "0" * (LEXICONS + 6 + len(PATTERNS))
+            return "0" * (LEXICONS + 6 + PATTERNS)
         held = {int(p) % LEXICONS for p in places}
         out = ["2" if g in held else "1" for g in range(LEXICONS)]
         density, hits, kinds, forms, most, share = np.expm1(dense[0]), *np.expm1(dense[1:5]), dense[5]

@@ -36,8 +36,11 @@ def plain_score(text, model):
             math.log(1 + len({w for w, h in zip(words, hit) if h})), math.log(1 + max(windows)),
             sum(v > 0 for v in windows) / len(windows), sum(v > 1 for v in windows) / len(windows), math.log(1 + len(words)) / 10,
         ]
-        for i, p in enumerate(toxicity.PATTERNS):
-            x[8 + i] = math.log(1 + 100 * len(list(p.finditer(text))) / len(words))
+        own = re.findall(r"[^\W\d_]+", text)
+        fits = [sum(p(w, w.lower()) for w in own) for p in toxicity.WORD_PATTERNS]
+        fits += [len(re.findall("[!?]{2,}", text)), len(re.findall(r"(?<=[^\W\d_])[*@#$%]+(?=[^\W\d_])", text))]
+        for i, n in enumerate(fits):
+            x[8 + i] = math.log(1 + 100 * n / len(words))
         for i, t in enumerate(model.terms):
             x[toxicity.DENSE + i] = math.log(1 + 100 * sum(h == [t] for h in hit) / len(words))
     odds = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x))

@@ -41,6 +41,19 @@ KRUEGER = tuple(
     sum(term * _N ** (order + power) for power, term in enumerate(row))
     for order, row in enumerate(KRUEGER_TERMS, start=1)
 )
+# The inverse series of the same projection, written in the same way.
+INVERSE_TERMS = (
+    (1 / 2, -2 / 3, 37 / 96, -1 / 360, -81 / 512, 96199 / 604800),
+    (1 / 48, 1 / 15, -437 / 1440, 46 / 105, -1118711 / 3870720),
+    (17 / 480, -37 / 840, -209 / 4480, 5569 / 90720),
+    (4397 / 161280, -11 / 504, -830251 / 7257600),
+    (4583 / 161280, -108847 / 3991680),
+    (20648693 / 638668800,),
+)
+INVERSE = tuple(
+    sum(term * _N ** (order + power) for power, term in enumerate(row))
+    for order, row in enumerate(INVERSE_TERMS, start=1)
+)
 ECCENTRICITY = _E
 
 # ------------------------------------------------------------------ construction and text
@@ -317,13 +330,66 @@ def from_mercator(x: Column, y: Column) -> Column:
     )
 
 
+def utm_unproject(x: Column, y: Column, epsg: Column) -> Column:
+    """Struct ``x, y`` in degrees of metres in the given UTM zone: the inverse of :func:`utm_project`."""
+    central = (epsg % 100) * 6.0 - 183.0
+    south = F.when(F.floor(epsg / 100) == 327, UTM_SOUTH).otherwise(0.0)
+    scale = UTM_SCALE * RECTIFYING_RADIUS
+    start = F.struct(((y - south) / scale).alias("xi"), ((x - UTM_EASTING) / scale).alias("eta"))
+
+    def series(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        for j, beta in enumerate(INVERSE, start=1):
+            xi = xi - beta * F.sin(2.0 * j * p["xi"]) * F.cosh(2.0 * j * p["eta"])
+            eta = eta - beta * F.cos(2.0 * j * p["xi"]) * F.sinh(2.0 * j * p["eta"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def geographic(p: Column) -> Column:
+        # every step gains about two digits and a half on the sine of the latitude
+        steps = F.array(*[F.lit(0)] * 7)
+        sine = let(
+            F.atanh(F.sin(p["xi"]) / F.cosh(p["eta"])),
+            lambda q: F.aggregate(steps, F.tanh(q), lambda s, _: F.tanh(q + ECCENTRICITY * F.atanh(ECCENTRICITY * s))),
+        )
+        lon = central + F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])))
+        return F.struct(lon.alias("x"), F.degrees(F.asin(sine)).alias("y"))
+
+    return let(let(start, series), geographic)
+
+
+def is_utm(crs: Column) -> Column:
+    return crs.rlike("^EPSG:32[67](0[1-9]|[1-5][0-9]|60)$")
+
+
+def epsg_code(crs: Column) -> Column:
+    return F.substring(crs, 6, 5).cast("int")
+
+
+def _unknown(crs: Column) -> Column:
+    text = F.concat(F.lit("unknown coordinate system: "), F.coalesce(crs, F.lit("none")))
+    return F.raise_error(text).cast("struct<x: double, y: double>")
+
+
 def reproject_point(p: Column, source: Column, target: Column) -> Column:
-    return (
-        F.when(source == target, point(p["x"], p["y"]))
-        .when((source == "EPSG:4326") & (target == "EPSG:3857"), to_mercator(p["x"], p["y"]))
-        .when((source == "EPSG:3857") & (target == "EPSG:4326"), from_mercator(p["x"], p["y"]))
+    """A point in another of the supported systems, by way of degrees; an unknown system is an error."""
+    degrees = (
+        F.when(source == "EPSG:4326", point(p["x"], p["y"]))
+        .when(source == "EPSG:3857", from_mercator(p["x"], p["y"]))
+        .when(is_utm(source), utm_unproject(p["x"], p["y"], epsg_code(source)))
+        .otherwise(_unknown(source))
     )
 
+    def onwards(q: Column) -> Column:
+        return (
+            F.when(target == "EPSG:4326", q)
+            .when(target == "EPSG:3857", to_mercator(q["x"], q["y"]))
+            .when(is_utm(target), utm_project(q["x"], q["y"], epsg_code(target)))
+            .otherwise(_unknown(target))
+        )
+
+    same = (source == target) & (source.isin("EPSG:4326", "EPSG:3857") | is_utm(source))
+    return F.when(p.isNull(), F.lit(None)).when(same, point(p["x"], p["y"])).otherwise(let(degrees, onwards))
+
 
 def reproject(ring: Column, source: Column, target: Column) -> Column:
     return F.transform(ring, lambda p: reproject_point(p, source, target))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
 from rasterweave.functions import affine
 from rasterweave.functions import geometry as G
+from rasterweave.session import checkpoint
 
 # Coordinate systems an AOI may use and the largest AOI in square metres.
 AOI_CRS = ("EPSG:4326", "EPSG:3857")
@@ -111,44 +115,100 @@ def validate_aois(aois: DataFrame, max_area: float = MAX_AREA_M2) -> DataFrame:
     return rows.withColumn("errors", F.array_compact(codes)).drop("_crossed")
 
 
-def _cells(box: Column, size: float) -> Column:
-    """Grid cells a box touches, as an array of ``cx, cy``."""
+#: a box lies in the nodes of the quadtree level whose side is at least this part of its own longer
+#: side, so in (PARTS + 1) squared nodes at most; smaller sides than 2 ** LOWEST are treated alike
+PARTS, LOWEST = 4, -30
 
-    def along(low: Column, high: Column) -> Column:
-        return F.sequence(F.floor(low / size), F.floor(high / size))
 
-    return F.flatten(
-        F.transform(
-            along(box["minx"], box["maxx"]),
-            lambda cx: F.transform(
-                along(box["miny"], box["maxy"]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy"))
-            ),
-        )
-    )
+def _level(box: Column) -> Column:
+    """Quadtree level (power of two of the nodes' side) of a box."""
+    side = F.greatest(box["maxx"] - box["minx"], box["maxy"] - box["miny"])
+    return F.greatest(F.ceil(F.log2(F.greatest(side / PARTS, F.lit(2.0**LOWEST)))), F.lit(LOWEST)).cast("int")
+
+
+def _nodes(boxes: DataFrame, box: str, levels: Column) -> DataFrame:
+    """One row per quadtree node (``at, cx, cy``) of the given levels that a box touches."""
+    rows = boxes.select("*", F.explode(levels).alias("at"))
+    side, b = F.pow(F.lit(2.0), F.col("at")), F.col(box)
+    rows = rows.select("*", F.explode(F.sequence(F.floor(b["minx"] / side), F.floor(b["maxx"] / side))).alias("cx"))
+    return rows.select("*", F.explode(F.sequence(F.floor(b["miny"] / side), F.floor(b["maxy"] / side))).alias("cy"))
+
+
+def _levels(rows: DataFrame, name: str) -> list[int]:
+    """Levels in use: no more than there are powers of two between ``LOWEST`` and the world."""
+    return sorted(r[0] for r in rows.select(name).distinct().collect())
 
 
-def extent_intersects(aois: DataFrame, rasters: DataFrame, cell: float) -> DataFrame:
+def extent_intersects(aois: DataFrame, rasters: DataFrame) -> DataFrame:
     """Pairs of AOI and raster whose extents overlap; touching edges do not count.
 
-    Both need ``crs`` and a ``bounds`` struct in the raster's coordinate system. Boxes are listed
-    in the cells of a coarse grid and joined on the cell; a pair found in several cells is kept in
-    the one holding the lower-left corner of the common part, which replaces a distinct.
-    ``cell`` should be about the size of a typical raster.
+    Both need ``crs`` and a ``bounds`` struct in that system. Boxes are placed in an implicit
+    quadtree, each at the level of its own size, in at most (``PARTS`` + 1) squared nodes however large it
+    is. A pair meets at the coarser level of the two, where the smaller box touches one to four
+    nodes; of several common nodes the one holding the lower-left corner of the common part has the
+    pair, which replaces a distinct. Boxes of a metre and of a continent mix in one table. Boxes
+    with missing or infinite bounds overlap nothing.
     """
-    if cell <= 0:
-        raise ValueError("cell must be positive")
-    left = aois.select("aoi_id", "crs", F.col("bounds").alias("a"))
-    left = left.select("*", F.inline(_cells(F.col("a"), cell)))
-    right = rasters.select("scene_id", "crs", F.col("bounds").alias("r"))
-    right = right.select("*", F.inline(_cells(F.col("r"), cell)))
-    a, r = F.col("a"), F.col("r")
+    usable = lambda b: F.abs(b["minx"]) + F.abs(b["miny"]) + F.abs(b["maxx"]) + F.abs(b["maxy"]) < 1e300
+    left = aois.select("aoi_id", "crs", F.col("bounds").alias("a")).where(usable(F.col("a")))
+    right = rasters.select("scene_id", "crs", F.col("bounds").alias("r")).where(usable(F.col("r")))
+    # each is read for its levels and in two joins; projected boxes are dear to make again
+    left, right = checkpoint(left).withColumn("la", _level(F.col("a"))), checkpoint(right).withColumn("lr", _level(F.col("r")))
+    lefts, rights = _levels(left, "la"), _levels(right, "lr")
+    if not lefts or not rights:
+        return aois.select("aoi_id").join(rasters.select("scene_id"), F.lit(False))
+    own = lambda name: F.array(F.col(name))
+    coarser = lambda levels, name, keep: F.filter(F.array(*map(F.lit, levels)), lambda k: keep(k, F.col(name)))
+    key = ["crs", "at", "cx", "cy"]
+    met = _nodes(left, "a", own("la")).join(_nodes(right, "r", coarser(lefts, "lr", lambda k, l: k >= l)), key).unionByName(
+        _nodes(left, "a", coarser(rights, "la", lambda k, l: k > l)).join(_nodes(right, "r", own("lr")), key)
+    )
+    a, r, side = F.col("a"), F.col("r"), F.pow(F.lit(2.0), F.col("at"))
     overlap = ~(
         (a["maxx"] <= r["minx"]) | (a["minx"] >= r["maxx"]) | (a["maxy"] <= r["miny"]) | (a["miny"] >= r["maxy"])
     )
-    home = (F.floor(F.greatest(a["minx"], r["minx"]) / cell) == F.col("cx")) & (
-        F.floor(F.greatest(a["miny"], r["miny"]) / cell) == F.col("cy")
+    home = (F.floor(F.greatest(a["minx"], r["minx"]) / side) == F.col("cx")) & (
+        F.floor(F.greatest(a["miny"], r["miny"]) / side) == F.col("cy")
     )
-    return left.join(right, ["crs", "cx", "cy"]).where(overlap & home).select("aoi_id", "scene_id")
+    return met.where(overlap & home).select("aoi_id", "scene_id")
+
+
+def aoi_bounds_in_systems(aois: DataFrame, systems: list[str], reach: int = 2) -> DataFrame:
+    """``aoi_id, crs, bounds``: AOI extents in each system that rasters near them may have.
+
+    ``aois`` has ``aoi_id, crs, ring``. Geographic and Mercator systems take every AOI, a UTM zone
+    those within ``reach`` zones of it, on both sides of the equator; further away no raster of the
+    zone can lie. Edges are densified before they are projected.
+    """
+    box = G.bounds(F.col("ring"))
+    rows = aois.select("aoi_id", F.col("crs").alias("_from"), box.alias("_box"))
+    rows = checkpoint(rows.withColumn("_deg", G.densified_bounds(F.col("_box"), F.col("_from"), F.lit("EPSG:4326"))))
+    first, last = G.utm_zone(F.col("_deg.minx")), G.utm_zone(F.col("_deg.maxx"))
+
+    def near(crs: Column) -> Column:
+        zone = G.epsg_code(crs) % 100
+        # zones 60 and 1 are neighbours
+        ring = lambda z: F.least(F.abs(zone - z), 60 - F.abs(zone - z)) <= reach
+        return ~G.is_utm(crs) | zone.between(first, last) | ring(first) | ring(last)
+
+    rows = rows.select("*", F.explode(F.filter(F.array(*map(F.lit, systems)), near)).alias("crs"))
+    return rows.select("aoi_id", "crs", G.densified_bounds(F.col("_box"), F.col("_from"), F.col("crs")).alias("bounds"))
+
+
+def coverage(aois: DataFrame, rasters: DataFrame, reach: int = 2) -> DataFrame:
+    """Pairs of AOI and raster whose extents overlap in the raster's own system.
+
+    ``aois`` has ``aoi_id, crs, ring``, ``rasters`` has ``scene_id, crs, bounds``. A raster or AOI in
+    a system other than EPSG:4326, EPSG:3857 and the UTM zones fails the job.
+    """
+    named = rasters.select("scene_id", "bounds", G.normalise_crs(F.col("crs")).alias("_crs"), "crs")
+    text = F.concat(F.lit("unknown coordinate system: "), F.coalesce("crs", F.lit("none")))
+    named = named.select("scene_id", "bounds", F.coalesce("_crs", F.raise_error(text).cast("string")).alias("crs"))
+    # at most the 122 systems that are supported
+    systems = sorted(r["crs"] for r in named.select("crs").distinct().collect())
+    if not systems:
+        return aois.select("aoi_id").join(rasters.select("scene_id"), F.lit(False))
+    return extent_intersects(aoi_bounds_in_systems(aois, systems, reach), named)
 
 
 def aoi_bounds_in(aois: DataFrame, target_crs: str) -> DataFrame:
@@ -218,3 +278,131 @@ def clip(pixels: DataFrame, aois: DataFrame, rasters: DataFrame, values: list[st
         "inside",
         *[F.when(F.col("inside"), F.col(v)).otherwise(F.lit(nodata)).alias(v) for v in values],
     )
+
+
+# ------------------------------------------------------------------ clipping of blocks
+
+
+def in_raster_systems(aois: DataFrame, rasters: DataFrame) -> DataFrame:
+    """AOIs (``aoi_id, scene_id, crs, ring, holes``) with their rings in the system of their scene."""
+    systems = rasters.select("scene_id", F.col("crs").alias("_to"))
+    moved = lambda ring: G.reproject(ring, F.col("crs"), F.col("_to"))
+    return aois.join(systems, "scene_id").select(
+        "aoi_id", "scene_id", F.col("_to").alias("crs"), moved(F.col("ring")).alias("ring"), F.transform("holes", moved).alias("holes")
+    )
+
+
+def row_spans(windows: DataFrame) -> DataFrame:
+    """Scanlines of polygons: ``aoi_id, scene_id, row_idx, hole, col_from, col_to`` (end not included).
+
+    A pixel is in a ring if its centre is, by the even-odd rule. Every edge is cut into the pixel rows
+    that it crosses, and the crossings of a row are paired in order, so the work grows with the outline
+    and not with the area. ``windows`` comes from :func:`clip_windows`; rows outside a window are left
+    out, columns are cut at it. Holes are numbered from 1, 0 is the shell.
+    """
+    t = F.col("transform")
+    rings = F.concat(F.array("ring"), F.coalesce("holes", F.array().cast(f"array<{G.RING}>")))
+    inside = F.transform(rings, lambda ring: F.transform(ring, lambda p: affine.to_pixel(t, p["x"], p["y"])))
+    flat = F.transform(inside, lambda ring: F.transform(ring, lambda p: F.struct(p["col"].alias("x"), p["row"].alias("y"))))
+    edges = windows.select(
+        "aoi_id", "scene_id", "row_from", "row_to", "col_from", "col_to", (t["e"] < 0).alias("down"), F.posexplode(flat).alias("hole", "r")
+    ).where(F.size("r") > 1)
+    edges = edges.select("*", F.explode(G.segments(F.col("r"))).alias("s")).drop("r")
+    s = F.col("s")
+    first = F.greatest(F.floor(F.least(s["y1"], s["y2"]) - 0.5).cast("long"), F.col("row_from"))
+    last = F.least(F.ceil(F.greatest(s["y1"], s["y2"]) - 0.5).cast("long"), F.col("row_to") - 1)
+    edges = edges.withColumns({"_a": first, "_b": last}).where("_a <= _b AND s.y1 <> s.y2")
+    rows = edges.select("*", F.explode(F.sequence("_a", "_b")).alias("row_idx"))
+    y = F.col("row_idx") + 0.5
+    # half-open in the direction of the world's y axis, as the point test is
+    crosses = F.when(F.col("down"), (s["y1"] < y) != (s["y2"] < y)).otherwise((s["y1"] > y) != (s["y2"] > y))
+    at = s["x1"] + (y - s["y1"]) * (s["x2"] - s["x1"]) / (s["y2"] - s["y1"])
+    rows = rows.where(crosses).select("aoi_id", "scene_id", "row_idx", "hole", "col_from", "col_to", F.ceil(at - 0.5).cast("long").alias("at"))
+    found = rows.groupBy("aoi_id", "scene_id", "row_idx", "hole", "col_from", "col_to").agg(F.sort_array(F.collect_list("at")).alias("_c"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), (F.size("_c") / 2).cast("int") - 1),
+        lambda k: F.struct(
+            F.greatest(F.get("_c", 2 * k), F.col("col_from")).alias("col_from"), F.least(F.get("_c", 2 * k + 1), F.col("col_to")).alias("col_to")
+        ),
+    )
+    found = found.where("size(_c) > 1").select("aoi_id", "scene_id", "row_idx", "hole", F.explode(pairs).alias("p"))
+    return found.select("aoi_id", "scene_id", "row_idx", "hole", "p.*").where("col_from < col_to")
+
+
+def _masked(block: dict, values: list[str], nodata) -> dict:
+    """A block cut to its window, with ``nodata`` where its spans do not reach."""
+    top, left = block["y0"] - block["y_off"], block["x0"] - block["x_off"]
+    h, w = block["y1"] - block["y0"], block["x1"] - block["x0"]
+    inside, holes = np.zeros((h, w), bool), np.zeros((h, w), bool)
+    for span in block["spans"]:
+        target = holes if span["hole"] else inside
+        row, a, b = span["row_idx"] - block["y0"], max(span["col_from"] - block["x0"], 0), min(span["col_to"] - block["x0"], w)
+        if 0 <= row < h and a < b:
+            target[row, a:b] = True
+    inside &= ~holes
+    out = {"inside": inside.ravel()}
+    for v in values:
+        cells = np.empty(len(block[v]), object)
+        cells[:] = block[v]
+        part = cells.reshape(block["height"], block["width"])[top : top + h, left : left + w].copy()
+        part[~inside] = nodata
+        out[v] = part.ravel()
+    return out
+
+
+def clip_blocks(blocks: DataFrame, aois: DataFrame, rasters: DataFrame, values: list[str], nodata=0, size: int = 256) -> DataFrame:
+    """As :func:`clip`, from blocks to blocks: the crop window of every AOI, ``nodata`` outside it.
+
+    ``aois`` has ``aoi_id, scene_id, crs, ring, holes`` in any known system, ``rasters`` also ``crs``;
+    ``size`` is the side of the stored blocks. The result has ``y_off`` and ``x_off`` from the window's
+    corner, ``inside`` flags and ``covered`` (``all``, ``part``, ``none``). How much of a block the spans
+    of its rows cover decides whether its cells have to be looked at: a block that lies inside passes as
+    it is, one outside is filled, and only those that the outline or the window's edge cuts are masked,
+    by whole row spans. A pair of AOI and block row holds the spans of at most ``size`` rows.
+    """
+    windows = checkpoint(clip_windows(in_raster_systems(aois, rasters), rasters))
+    key = ["aoi_id", "scene_id", "block_row"]
+    spans = row_spans(windows).select("aoi_id", "scene_id", F.expr(f"cast(row_idx div {size} as int)").alias("block_row"),
+                                      F.struct("row_idx", "hole", "col_from", "col_to").alias("s"))
+    spans = spans.groupBy(*key).agg(F.collect_list("s").alias("spans"))
+    places = windows.drop("ring", "holes", "transform").select(
+        "*", F.explode(F.expr(f"sequence(cast(row_from div {size} as int), cast((row_to - 1) div {size} as int))")).alias("block_row")
+    ).join(spans, key, "left")
+    places = places.select(
+        "*", F.explode(F.expr(f"sequence(cast(col_from div {size} as int), cast((col_to - 1) div {size} as int))")).alias("block_col")
+    )
+    rows = places.join(blocks, ["scene_id", "block_row", "block_col"])
+    rows = rows.withColumns({
+        "y0": F.greatest("row_from", "y_off"), "y1": F.least("row_to", F.col("y_off") + F.col("height")),
+        "x0": F.greatest("col_from", "x_off"), "x1": F.least("col_to", F.col("x_off") + F.col("width")),
+    }).where("y0 < y1 AND x0 < x1")
+    own = "filter(coalesce(spans, array()), s -> s.col_to > x0 AND s.col_from < x1)"
+    rows = rows.withColumn("spans", F.expr(own))
+    cells = "aggregate(filter(spans, s -> s.hole = 0), 0L, (n, s) -> n + least(s.col_to, x1) - greatest(s.col_from, x0))"
+    holes = "exists(spans, s -> s.hole > 0)"
+    rows = rows.withColumn("_n", F.expr(cells)).withColumn("covered", F.expr(
+        f"case when _n = 0 then 'none' when NOT {holes} AND _n = (y1 - y0) * (x1 - x0) then 'all' else 'part' end"
+    ))
+    whole = F.expr("y0 = y_off AND x0 = x_off AND y1 = y_off + height AND x1 = x_off + width")
+    plain = (F.col("covered") == "none") | ((F.col("covered") == "all") & whole)
+    area = F.expr("cast((y1 - y0) * (x1 - x0) as int)")
+    kinds = {v: blocks.schema[v].dataType for v in values}
+    empty = {v: F.array_repeat(F.lit(nodata).cast(kinds[v].elementType), area) for v in values}
+    place = [
+        "aoi_id", "scene_id", "block_row", "block_col", F.expr("y0 - row_from").alias("y_off"), F.expr("x0 - col_from").alias("x_off"),
+        F.expr("cast(y1 - y0 as int)").alias("height"), F.expr("cast(x1 - x0 as int)").alias("width"), "covered",
+    ]
+    inside = F.col("covered") == "all"
+    passed = rows.where(plain).select(
+        *place, F.array_repeat(inside, area).alias("inside"), *[F.when(inside, F.col(v)).otherwise(empty[v]).alias(v) for v in values]
+    )
+    names = ["y0", "y1", "x0", "x1", "y_off", "x_off", "height", "width", "spans", *values]
+    cut = StructType([StructField("inside", ArrayType(BooleanType())), *[StructField(v, kinds[v]) for v in values]])
+
+    @F.pandas_udf(cut)
+    def masked(parts: pd.DataFrame) -> pd.DataFrame:
+        done = [_masked(row, values, nodata) for row in parts.to_dict("records")]
+        return pd.DataFrame({n: [d[n] for d in done] for n in ["inside", *values]})
+
+    hidden = rows.where(~plain).withColumn("_m", masked(F.struct(*names)))
+    return passed.unionByName(hidden.select(*place, F.col("_m.inside").alias("inside"), *[F.col(f"_m.{v}").alias(v) for v in values]))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.functions import affine
 from rasterweave.functions import geometry as G
+from rasterweave.operators import rasters as R
 from rasterweave.operators import spatial as SP
 from rasterweave.plans.krueger import utm_sql
 from rasterweave.plans.registry import query
@@ -142,15 +143,60 @@ def aoi_problems(v):
     return SP.validate_aois(rows).select("aoi_id", F.concat_ws(",", "errors").alias("errors"))
 
 
-@query("J-2 F-3", "areas rasters", """
-SELECT aoi_id, scene_id FROM areas, (SELECT scene_id, c AS x1, f + e * height AS y1, c + a * width AS x2, f AS y2 FROM rasters WHERE crs = 'EPSG:3857') r
-WHERE NOT (x0 + w <= x1 OR x0 >= x2 OR y0 + w <= y1 OR y0 >= y2)""")
+_MERCATOR_TO_DEGREES = "degrees({x} / 6378137.0)", "degrees(2 * atan(exp({y} / 6378137.0)) - pi() / 2)"
+
+
+@query("J-2 F-3", "areas rasters", f"""
+WITH a AS (SELECT aoi_id, x0, y0, x0 + w AS x1, y0 + w AS y1, 'EPSG:3857' AS crs FROM areas UNION ALL
+  SELECT aoi_id, {_MERCATOR_TO_DEGREES[0].format(x='x0')}, {_MERCATOR_TO_DEGREES[1].format(y='y0')},
+    {_MERCATOR_TO_DEGREES[0].format(x='(x0 + w)')}, {_MERCATOR_TO_DEGREES[1].format(y='(y0 + w)')}, 'EPSG:4326' FROM areas)
+SELECT aoi_id, scene_id FROM a JOIN (SELECT scene_id, crs, c AS rx, f + e * height AS ry, c + a * width AS sx, f AS sy FROM rasters) r USING (crs)
+WHERE NOT (x1 <= rx OR x0 >= sx OR y1 <= ry OR y0 >= sy)""")
 def extents_that_overlap(v):
+    """Rasters of every system, AOIs in Mercator metres."""
     aois = _triangle(v.areas).withColumn("crs", F.lit("EPSG:3857"))
     t = affine.transform_of(F.col("a"), 0.0, F.col("c"), 0.0, F.col("e"), F.col("f"))
     rasters = v.rasters.select("scene_id", "crs", affine.bounds(t, F.col("width"), F.col("height")).alias("bounds"))
-    boxes = aois.select("aoi_id", "crs", G.bounds(F.col("ring")).alias("bounds"))
-    return SP.extent_intersects(boxes, rasters, cell=1000.0)
+    return SP.coverage(aois, rasters)
+
+
+#: corner points of the densified outline of an AOI's box, and their extent in a scene's UTM zone
+_OUTLINE = """
+edge AS (SELECT unnest(range(23)) / 22.0 AS t),
+dense AS (SELECT aoi_id, x0 + t * w AS lon, y0 AS lat, x0, w FROM geo_areas, edge UNION ALL SELECT aoi_id, x0 + t * w, y0 + w, x0, w FROM geo_areas, edge
+  UNION ALL SELECT aoi_id, x0, y0 + t * w, x0, w FROM geo_areas, edge UNION ALL SELECT aoi_id, x0 + w, y0 + t * w, x0, w FROM geo_areas, edge)"""
+
+
+@query("J-2 G-6 G-7", "geo_areas zone_rasters", f"""
+WITH {_OUTLINE},
+sys AS (SELECT DISTINCT epsg FROM zone_rasters),
+met AS (SELECT *, epsg % 100 AS zone, least(floor((x0 + 180) / 6) + 1, 60) AS z1, least(floor((x0 + w + 180) / 6) + 1, 60) AS z2 FROM dense, sys),
+p AS (SELECT aoi_id, epsg, {utm_sql('lon', 'lat', 'epsg')} FROM met WHERE zone BETWEEN z1 AND z2
+  OR least(abs(zone - z1), 60 - abs(zone - z1)) <= 2 OR least(abs(zone - z2), 60 - abs(zone - z2)) <= 2),
+b AS (SELECT aoi_id, epsg, min(e) AS x0, max(e) AS x1, min(n) AS y0, max(n) AS y1 FROM p GROUP BY aoi_id, epsg)
+SELECT aoi_id, scene_id FROM b JOIN zone_rasters USING (epsg)
+WHERE NOT (x1 <= c OR x0 >= c + size * 100 OR y1 <= f - size * 100 OR y0 >= f)""")
+def extents_in_own_zones(v):
+    """Rasters in UTM zones all over the world, from 100 metres to 1,600 kilometres wide; AOIs in degrees."""
+    t = affine.transform_of(F.col("size"), 0.0, F.col("c"), 0.0, -F.col("size"), F.col("f"))
+    rasters = v.zone_rasters.select(
+        "scene_id", F.concat(F.lit("EPSG:"), "epsg").alias("crs"), affine.bounds(t, F.lit(100), F.lit(100)).alias("bounds")
+    )
+    return SP.coverage(_triangle(v.geo_areas).withColumn("crs", F.lit("EPSG:4326")), rasters)
+
+
+@query("G-6", "geo_areas", """
+SELECT aoi_id, round(x0 + w, 8) AS x, round(y0, 8) AS y FROM geo_areas""")
+def zone_round_trip(v):
+    """Degrees to the metres of a neighbouring UTM zone, to Mercator, and back to degrees."""
+    zone = F.concat(
+        F.when(F.col("y0") < 0, "EPSG:327").otherwise("EPSG:326"), F.lpad(G.utm_zone(F.col("x0") + 6 * F.signum(-F.col("x0"))), 2, "0")
+    )
+    there = G.reproject(F.col("ring"), F.lit("EPSG:4326"), zone)
+    rows = _triangle(v.geo_areas).select("aoi_id", zone.alias("zone"), there.alias("there"))
+    mercator = rows.select("aoi_id", G.reproject(F.col("there"), F.col("zone"), F.lit("EPSG:3857")).alias("m"))
+    back = mercator.select("aoi_id", F.get(G.reproject(F.col("m"), F.lit("EPSG:3857"), F.lit("EPSG:4326")), F.lit(1)).alias("p"))
+    return back.select("aoi_id", F.round("p.x", 8).alias("x"), F.round("p.y", 8).alias("y"))
 
 
 @query("J-3", "aois grid", """
@@ -164,3 +210,54 @@ def clip_to_aoi(v):
         "scene_id", F.lit(50).alias("width"), F.lit(50).alias("height"), t.alias("transform")
     )
     return SP.clip(v.grid, _triangle(v.aois), rasters, ["after_id"], cell=16)
+
+
+def _clipped_pixels(blocks, value):
+    rows = R.from_blocks(blocks.withColumn("scene_id", F.struct("aoi_id", "scene_id")), ["inside", value])
+    return rows.select("scene_id.*", "row_idx", "col_idx", "inside", value)
+
+
+@query("J-3 C-14", "aois grid", """
+SELECT aoi_id, a.scene_id, CAST(row_idx - y0 AS BIGINT) AS row_idx, CAST(col_idx - x0 AS BIGINT) AS col_idx, inside,
+       CASE WHEN inside THEN after_id ELSE 0 END AS after_id
+FROM (SELECT *, col_idx + 0.5 - x0 + row_idx + 0.5 - y0 AS far, greatest(col_idx + 0.5 - x0 - 1, 0) AS hx, greatest(row_idx + 0.5 - y0 - 1, 0) AS hy,
+        far < w AND NOT (col_idx + 0.5 - x0 >= 1 AND row_idx + 0.5 - y0 >= 1 AND hx + hy < w / 4) AS inside
+      FROM aois a JOIN grid g ON g.scene_id = a.scene_id AND row_idx >= y0 AND row_idx < y0 + w AND col_idx >= x0 AND col_idx < x0 + w) a""")
+def clip_blocks_to_aoi(v):
+    """Triangles with a triangular hole, clipped from blocks."""
+    x, y, h = F.col("x0") + 1.0, F.col("y0") + 1.0, F.col("w") / 4
+    aois = _triangle(v.aois).withColumn("holes", F.array(G.ring_of((x, y), (x + h, y), (x, y + h)))).withColumn("crs", F.lit("EPSG:3857"))
+    t = affine.transform_of(1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+    rasters = v.grid.select("scene_id").distinct().select(
+        "scene_id", F.lit("EPSG:3857").alias("crs"), F.lit(50).alias("width"), F.lit(50).alias("height"), t.alias("transform")
+    )
+    blocks = R.to_blocks(v.grid.select(*R.PIXEL_KEY, "after_id"), ["after_id"], 8)
+    done = SP.clip_blocks(blocks, aois, rasters, ["after_id"], size=8)
+    # scenes that end inside a block have cells without a pixel
+    return _clipped_pixels(done, "after_id").where("NOT inside OR after_id IS NOT NULL").join(
+        v.grid.select("scene_id", "row_idx", "col_idx").withColumnsRenamed({"row_idx": "_r", "col_idx": "_c"}).join(v.aois, "scene_id").select(
+            "aoi_id", "scene_id", (F.col("_r") - F.col("y0")).cast("long").alias("row_idx"), (F.col("_c") - F.col("x0")).cast("long").alias("col_idx")),
+        ["aoi_id", "scene_id", "row_idx", "col_idx"], "left_semi")
+
+
+@query("J-3 G-6 G-8", "aois grid", """
+SELECT aoi_id, a.scene_id, CAST(row_idx - y0 AS BIGINT) AS row_idx, CAST(col_idx - x0 AS BIGINT) AS col_idx, after_id
+FROM aois a JOIN grid g ON g.scene_id = a.scene_id AND row_idx >= y0 AND row_idx <= y0 + w AND col_idx >= x0 AND col_idx <= x0 + w
+WHERE (col_idx + 0.25 - x0) + (row_idx + 0.25 - y0) < w AND col_idx >= x0 AND row_idx >= y0""")
+def clip_geographic_aois(v):
+    """AOIs drawn in degrees over scenes in UTM metres or Mercator metres; pixels inside only."""
+    utm = F.col("scene_id") % 2 == 0
+    x, y, w = F.col("x0") + 0.25, F.col("y0") + 0.25, F.col("w")
+    systems = v.grid.select("scene_id").distinct().select(
+        "scene_id", F.when(utm, "EPSG:32643").otherwise("EPSG:3857").alias("crs"), F.lit(50).alias("width"), F.lit(50).alias("height"),
+        affine.transform_of(10.0, 0.0, 500000.0, 0.0, -10.0, 3100000.0).alias("transform"),
+    )
+    world = lambda a, b: affine.to_world(F.col("transform"), a, b)
+    ring = F.array(world(x, y), world(x + w, y), world(x, y + w), world(x, y))
+    drawn = v.aois.join(systems, "scene_id").select(
+        "aoi_id", "scene_id", F.lit("EPSG:4326").alias("crs"), G.reproject(ring, F.col("crs"), F.lit("EPSG:4326")).alias("ring"),
+        F.array().cast(f"ARRAY<{G.RING}>").alias("holes"),
+    )
+    blocks = R.to_blocks(v.grid.select(*R.PIXEL_KEY, "after_id"), ["after_id"], 16)
+    done = _clipped_pixels(SP.clip_blocks(blocks, drawn, systems, ["after_id"], size=16), "after_id")
+    return done.where("inside AND after_id IS NOT NULL").select("aoi_id", "scene_id", "row_idx", "col_idx", "after_id")

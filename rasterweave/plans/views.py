@@ -187,6 +187,16 @@ SELECT s_suppkey AS scene_id, CAST(40 + s_nationkey * 3 AS INT) AS width,
        CAST(CASE WHEN s_suppkey % 10 = 9 THEN 77 + s_suppkey % 7 ELSE 500000 + (s_suppkey % 20) * 500 END AS DOUBLE) AS c,
        CAST(CASE WHEN s_suppkey % 10 = 9 THEN -0.0001 ELSE -10 END AS DOUBLE) AS e,
        CAST(CASE WHEN s_suppkey % 10 = 9 THEN 28 + s_suppkey % 5 ELSE 3100000 - (s_suppkey % 17) * 400 END AS DOUBLE) AS f
+FROM supplier""",
+    ),
+    # rasters of 100 x 100 pixels in the UTM zones around the central meridians, pixels of 1 m to 16 km
+    "zone_rasters": (
+        ("supplier",),
+        """
+SELECT s_suppkey AS scene_id, CASE WHEN s_suppkey % 3 = 0 THEN 32700 ELSE 32600 END + 1 + (s_suppkey * 7) % 60 AS epsg,
+       CAST(1 << CAST(s_suppkey % 15 AS INT) AS DOUBLE) AS size,
+       CAST(500000 - (1 << CAST(s_suppkey % 15 AS INT)) * (20 + s_suppkey % 60) AS DOUBLE) AS c,
+       CAST(CASE WHEN s_suppkey % 3 = 0 THEN 10000000 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE 1 END * (s_suppkey * 331) % 7000 * 1000 AS DOUBLE) AS f
 FROM supplier""",
     ),
     # triangles in spherical Mercator metres

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.functions.scalars import file_stem, timestamp_in_name
 from rasterweave.operators import rasters as R
-from rasterweave.operators.spatial import aoi_bounds_in, extent_intersects
+from rasterweave.operators.spatial import coverage
 
 
 @dataclass
@@ -27,9 +27,9 @@ class BlockImagery:
     def metadata(self) -> DataFrame:
         return R.raster_metadata(self.rasters)
 
-    def coverage(self, aois: DataFrame, cell: float, crs: str = "EPSG:3857") -> DataFrame:
-        """Pairs of AOI and scene whose extents overlap, for the scenes in one system."""
-        return extent_intersects(aoi_bounds_in(aois, crs), self.metadata().where(F.col("crs") == crs), cell)
+    def coverage(self, aois: DataFrame) -> DataFrame:
+        """Pairs of AOI and scene whose extents overlap in the scene's own system."""
+        return coverage(aois, self.metadata())
 
     def window(self, row_off: int, col_off: int, height: int, width: int) -> DataFrame:
         """The same window of every scene; a scene that does not contain it fails the job."""

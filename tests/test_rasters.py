@@ -210,7 +210,7 @@ def test_extent_touching_is_no_overlap(spark):
 
     def hits(*corners):
         a = aoi(spark, *corners)
-        return SP.extent_intersects(SP.aoi_bounds_in(a, "EPSG:3857"), boxes, 3000.0).count()
+        return SP.extent_intersects(SP.aoi_bounds_in(a, "EPSG:3857"), boxes).count()
 
     assert hits(500500.0, 3097500.0, 502500.0, 3099500.0) == 1
     assert hits(600000.0, 3000000.0, 601000.0, 3001000.0) == 0

@@ -3,9 +3,9 @@
 Ordinary texts are encoded where they are read. A text longer than one piece is cut into pieces at
 fixed positions, wherever that falls; the pieces are encoded as separate rows, and neighbours are
 joined level by level as in a binary tree. At each join a window of tokens around the seam is
-decoded, encoded anew and widened until the new tokens begin and end with the old ones; the sides
-beyond it then stand as they are, since a BPE sequence is right exactly when every two neighbouring
-tokens are what the encoder makes of their text.
+decoded and widened until it holds, on each side, a place where every encoding of the two characters
+there has a boundary, whatever comes before or behind them. Between these two places the text is
+encoded anew; beyond them both sides agree with an encoding of the whole and stand as they are.
 
 Token ids travel as one binary per text, little-endian unsigned 32-bit integers.
 """
@@ -25,10 +25,15 @@ from pyspark.sql import functions as F
 from rasterweave.llm.common import boxed, drop_states, quoted, stored, worker_state
 
 IDS = np.dtype("<u4")
-#: characters of a piece; cached words of a worker; bytes that a window has on each side at least
-PIECE, CACHED, MARGIN = 32_768, 200_000, 64
+#: characters of a piece; cached words of a worker
+PIECE, CACHED = 32_768, 200_000
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _SPACE_RUN = re.compile(r"\s ")
+#: sure boundaries: before ASCII white space behind another character, and before a mark of
+#: punctuation behind a letter or digit; pre-tokens hold neither, and special tokens neither
+_SURE = re.compile(
+    r"(?<=\S)(?=[ \t\n\v\f\r])|(?<=[A-Za-z0-9\u00C0-\u00D6\u0410-\u044F\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3])(?=[,.;:!?\uFF0C\u3002\u3001\uFF01\uFF1F])"
+)
 
 
 def tokenizer_text(path: str) -> str:
@@ -99,24 +104,35 @@ class Codec:
         """Text of ids; special tokens give their own text."""
         return self.bytes_of(np.frombuffer(ids, IDS)).decode("utf-8", "replace")
 
+    def _cut(self, ids: np.ndarray, width: int, last: bool) -> int:
+        """Place in ``ids`` of a sure boundary of their text, near its end or its start.
+
+        The window grows until it holds one; a text without any is taken whole.
+        """
+        while True:
+            size = min(width, len(ids))
+            while size < len(ids) and not self.starts[ids[-size if last else size]]:
+                size += 1  # windows begin and end between characters
+            part = ids[len(ids) - size :] if last else ids[:size]
+            text = self.bytes_of(part).decode("utf-8", "surrogatepass")
+            found = [m.start() for m in _SURE.finditer(text)]
+            if found:
+                offset = len(text[: found[-1 if last else 0]].encode("utf-8", "surrogatepass"))
+                ends = np.cumsum([len(self.pieces[i]) for i in part.tolist()])
+                at = int(np.searchsorted(ends, offset)) + 1
+                return len(ids) - size + at if last else at
+            if size == len(ids):
+                return 0 if last else size
+            width *= 4
+
     def join(self, left: bytes, right: bytes, width: int = 8) -> bytes:
         """Ids of the text of ``left`` followed by that of ``right``."""
         a, b = np.frombuffer(left, IDS), np.frombuffer(right, IDS)
         if not len(a) or not len(b):
             return left + right
-        while True:
-            low, high = max(0, len(a) - width), min(len(b), width)
-            width *= 2
-            while low and not self.starts[a[low]]:  # windows begin and end between characters
-                low -= 1
-            while high < len(b) and not self.starts[b[high]]:
-                high += 1
-            before, after = self.bytes_of(a[low:]), self.bytes_of(b[:high])
-            if low and len(before) < MARGIN or high < len(b) and len(after) < MARGIN:
-                continue
-            new = np.frombuffer(self.encode((before + after).decode("utf-8", "surrogatepass")), IDS)
-            if (not low or new[0] == a[low]) and (high == len(b) or new[-1] == b[high - 1]):
-                return a[:low].tobytes() + new.tobytes() + b[high:].tobytes()
+        low, high = self._cut(a, width, last=True), self._cut(b, width, last=False)
+        between = self.bytes_of(a[low:]) + self.bytes_of(b[:high])
+        return a[:low].tobytes() + self.encode(between.decode("utf-8", "surrogatepass")) + b[high:].tobytes()
 
 
 def codec(definition: str) -> Codec:

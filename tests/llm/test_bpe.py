@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -72,3 +73,23 @@ def test_query(spark):
         assert r["ids_sha256"] == hashlib.sha256(np.array(expected, "<u4").tobytes()).hexdigest()
         decoded = LIBRARY.decode(expected, skip_special_tokens=False)
         assert r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_seams_of_all_kinds():
+    """Pieces of any size, white space of all kinds, special tokens across the seam: the library's ids."""
+    library, own, chance = LIBRARY, OWN, random.Random(11)
+    parts = [" ", "  ", " ", " ", "\n", "\t ", "\x1c", "　", "'s", "'", "'re", "la", "mot", "12", "9", "!", "...", "你好", "，", "é", "\U0001f642", "á", "<|endoftext|>", "<|", "नमस्", "\x85", "word", "​", "ǅ", "²", ","]
+    wrong = 0
+    for k in range(6000):
+        text = "".join(chance.choice(parts[: chance.choice((4, 12, 31))] + parts[11:13]) for _ in range(chance.randint(1, 40)))
+        size = chance.choice((1, 2, 3, 5, 8, 13, 64))
+        level = [own.encode(text[i : i + size]) for i in range(0, len(text), size)]
+        while len(level) > 1:
+            level = [own.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        wrong += level[0] != np.array(library.encode(text, add_special_tokens=False).ids, bpe.IDS).tobytes()
+    assert wrong == 0
+    # a run of Unicode white space behind the default piece
+    for n in range(80, 92):
+        text = ("word " * 7000)[: bpe.PIECE] + ("la " * 60)[:n] + "  " + "mot suivant et la suite " * 10
+        joined = own.join(own.encode(text[: bpe.PIECE]), own.encode(text[bpe.PIECE :]))
+        assert joined == np.array(library.encode(text, add_special_tokens=False).ids, bpe.IDS).tobytes()

@@ -1,5 +1,7 @@
 """Queries that run a stream over stored tables, score blocks or read stored imagery."""
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from rasterweave.plans.jobs import _RUN
 from rasterweave.plans.rasters import _MOSAIC
 from rasterweave.plans.registry import query
 from rasterweave.plans.views import Views
+from rasterweave.session import checkpoint_folder
+from rasterweave.sources.grids import scan_grids, write_grids
 from rasterweave.sources.imagery import BlockImagery
 from rasterweave.streaming.imagery import read_mosaic, start_scoring
 from rasterweave.streaming.jobs import job_outcomes as streaming_outcomes
@@ -92,3 +96,31 @@ def imagery_windows(v):
     wide = scenes.where("height >= 7 AND width >= 10")
     imagery = BlockImagery(wide, R.to_blocks(v.grid.select(*R.PIXEL_KEY, "after_id"), ["after_id"], 25), ("after_id",), 25)
     return imagery.window(2, 3, 5, 7)
+
+
+@query("S-5 U-6", "grid", """
+WITH e AS (SELECT scene_id, max(row_idx) + 1 AS h, max(col_idx) + 1 AS w FROM grid GROUP BY scene_id)
+SELECT 0 AS window_id, scene_id, row_idx, col_idx, after_id FROM grid UNION ALL
+SELECT 1, scene_id, row_idx - greatest(h - 5, 0), col_idx - greatest(w - 7, 0), after_id FROM grid JOIN e USING (scene_id)
+WHERE row_idx >= h - 5 AND col_idx >= w - 7""")
+def imagery_scenes(v):
+    """Every stored scene whole, and the window in its lower right corner, whatever its size."""
+    scenes = v.grid.groupBy("scene_id").agg((F.max("row_idx") + 1).alias("height"), (F.max("col_idx") + 1).alias("width"))
+    imagery = BlockImagery(scenes, R.to_blocks(v.grid.select(*R.PIXEL_KEY, "after_id"), ["after_id"], 16), ("after_id",), 16)
+    corner = scenes.selectExpr(
+        "1 AS window_id", "scene_id", "greatest(height - 5, 0) AS row_off", "greatest(width - 7, 0) AS col_off",
+        "least(height, 5) AS height", "least(width, 7) AS width",
+    )
+    whole = scenes.selectExpr("0 AS window_id", "scene_id", "0L AS row_off", "0L AS col_off", "height", "width")
+    # a scene that ends inside a block has cells without a pixel
+    return imagery.windows(whole.unionByName(corner)).where("after_id IS NOT NULL")
+
+
+@query("S-3 S-5 U-6", "grid", "SELECT scene_id, row_idx, col_idx, CAST(CAST(confidence AS FLOAT) AS DOUBLE) AS confidence FROM grid")
+def stored_grids(v):
+    """Confidence grids written as NumPy strips and read back in pieces of a few kilobytes."""
+    folder = f"{checkpoint_folder(v.spark)}/grids-{uuid.uuid4().hex}"
+    blocks = R.to_blocks(v.grid.select(*R.PIXEL_KEY, "confidence"), ["confidence"], 16)
+    write_grids(blocks, folder, "confidence")
+    rows = R.from_blocks(scan_grids(v.spark, folder, block=16, split=2_000), ["confidence"])
+    return rows.where("NOT isnan(confidence)").withColumn("confidence", F.col("confidence").cast("double"))

@@ -42,6 +42,30 @@ class BlockImagery:
         blocks = self.blocks.join(checked, "scene_id")
         return R.read_block_window(blocks, self.values, row_off, col_off, height, width, self.block)
 
+    def windows(self, windows: DataFrame) -> DataFrame:
+        """Pixels of ``window_id, scene_id, row_off, col_off, height, width``, each scene with windows of its own.
+
+        ``row_idx`` and ``col_idx`` count from the window's corner. Windows become the blocks that they
+        touch and meet the stored blocks by scene and place, so a large window is spread over its
+        blocks. A window that is empty or leaves its scene fails the job, as does one of an unknown scene.
+        """
+        ends = self.rasters.select("scene_id", F.col("height").alias("_rh"), F.col("width").alias("_rw"))
+        fits = F.expr(
+            "row_off >= 0 AND col_off >= 0 AND height > 0 AND width > 0 AND row_off + height <= _rh AND col_off + width <= _rw"
+        )
+        bad = F.raise_error(F.lit("window lies outside the raster")).cast("boolean")
+        rows = windows.join(ends, "scene_id", "left").where(F.when(F.coalesce(fits, F.lit(False)), True).otherwise(bad))
+        rows = rows.select("window_id", "scene_id", "row_off", "col_off", F.expr("row_off + height").alias("_to"), F.expr("col_off + width").alias("_cto"))
+        span = lambda a, b: F.explode(F.expr(f"sequence(cast({a} div {self.block} as int), cast(({b} - 1) div {self.block} as int))"))
+        rows = rows.select("*", span("row_off", "_to").alias("block_row")).select("*", span("col_off", "_cto").alias("block_col"))
+        met = self.blocks.join(rows, ["scene_id", "block_row", "block_col"])
+        met = met.withColumn("scene_id", F.struct("window_id", "scene_id", "row_off", "col_off", "_to", "_cto"))
+        pixels = R.from_blocks(met, list(self.values)).select("scene_id.*", "row_idx", "col_idx", *self.values)
+        pixels = pixels.where("row_idx >= row_off AND row_idx < _to AND col_idx >= col_off AND col_idx < _cto")
+        return pixels.select(
+            "window_id", "scene_id", F.expr("row_idx - row_off").alias("row_idx"), F.expr("col_idx - col_off").alias("col_idx"), *self.values
+        )
+
     def tiles(self, size: int, overlap: int) -> DataFrame:
         return R.tiles(self.rasters, size, overlap)
 

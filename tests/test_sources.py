@@ -204,3 +204,18 @@ def test_observe_and_tables(spark, tmp_path):
     assert U.read_table(spark, str(tmp_path / "t"), "id LONG").count() == 5
     image, mask = U.apply_paired(spark.range(2), None, lambda d: d.where("id > 0"))
     assert image.count() == 1 and mask is None
+
+
+def test_windows_of_their_own(spark):
+    """A window per scene, one of them in two windows; a window that leaves its scene fails."""
+    pixels = [(s, r, c, s * 1000 + r * 30 + c) for s, h, w in ((1, 20, 9), (2, 3, 1)) for r in range(h) for c in range(w)]
+    table = spark.createDataFrame(pixels, "scene_id LONG, row_idx LONG, col_idx LONG, v INT")
+    scenes = spark.createDataFrame([(1, 20, 9), (2, 3, 1)], "scene_id LONG, height INT, width INT")
+    store = imagery.BlockImagery(scenes, R.to_blocks(table, ["v"], 4), ("v",), 4)
+    asked = [(1, 1, 3, 2, 10, 5), (2, 1, 19, 8, 1, 1), (3, 2, 0, 0, 3, 1)]
+    schema = "window_id LONG, scene_id LONG, row_off INT, col_off INT, height INT, width INT"
+    got = sorted(map(tuple, store.windows(spark.createDataFrame(asked, schema)).collect()))
+    assert got == sorted((i, s, r - y, c - x, v) for i, s, y, x, h, w in asked for t, r, c, v in pixels if t == s and y <= r < y + h and x <= c < x + w)
+    for bad in ((9, 1, 11, 0, 10, 5), (9, 1, -1, 0, 1, 1), (9, 1, 0, 0, 0, 1), (9, 3, 0, 0, 1, 1)):
+        with pytest.raises(Exception, match="outside"):
+            store.windows(spark.createDataFrame([bad], schema)).count()

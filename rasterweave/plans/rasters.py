@@ -266,6 +266,30 @@ def latest_acquisitions(v):
     return CH.latest_acquisition(images)
 
 
+@query("W-9 J-4", "events", """
+WITH r AS (SELECT event_id AS request_id, user_id AS scene_id, ts + INTERVAL 1 HOUR * (event_id % 7 - 3) AS t FROM events),
+i AS (SELECT user_id AS scene_id, ts, max(event_id) AS last_id, min(event_id) AS first_id FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
+p AS (SELECT request_id, r.scene_id, t, b.last_id AS b_id, b.ts AS b_ts FROM r ASOF LEFT JOIN i b ON r.scene_id = b.scene_id AND r.t >= b.ts),
+q AS (SELECT p.*, a.first_id AS a_id, a.ts AS a_ts FROM p ASOF LEFT JOIN i a ON p.scene_id = a.scene_id AND p.t <= a.ts),
+k AS (SELECT request_id, scene_id, t, CASE WHEN t - b_ts <= INTERVAL 90 HOUR THEN b_id END AS b_id, CASE WHEN t - b_ts <= INTERVAL 90 HOUR THEN b_ts END AS b_ts,
+  CASE WHEN a_ts - t <= INTERVAL 90 HOUR THEN a_id END AS a_id, CASE WHEN a_ts - t <= INTERVAL 90 HOUR THEN a_ts END AS a_ts FROM q)
+SELECT request_id, scene_id, t AS requested_at, b_id AS before_image_id, b_ts AS before_acquired_at, a_id AS after_image_id, a_ts AS after_acquired_at,
+  CASE WHEN b_id IS NOT NULL AND (a_id IS NULL OR t - b_ts <= a_ts - t) THEN b_id ELSE a_id END AS nearest_image_id,
+  CASE WHEN b_id IS NOT NULL AND (a_id IS NULL OR t - b_ts <= a_ts - t) THEN b_ts ELSE a_ts END AS nearest_acquired_at FROM k""")
+def acquisitions_as_of(v):
+    """Every event as a date asked for, a few hours off, and every third event as an image."""
+    requests = v.events.select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("scene_id"),
+        F.expr("ts + make_interval(0, 0, 0, 0, cast(event_id % 7 - 3 as int))").alias("requested_at"),
+    )
+    images = v.events.where("event_id % 3 = 0").select(
+        F.col("event_id").alias("image_id"), F.col("user_id").alias("scene_id"), F.col("ts").alias("acquired_at")
+    )
+    done = CH.nearest_acquisitions(requests, images, tolerance_seconds=90 * 3600)
+    times = [c for c in done.columns if c.endswith("_at")]
+    return done.withColumns({c: F.col(c).cast(v.events.schema["ts"].dataType) for c in times})
+
+
 @query("S-11", "tile_preds grid", f"""
 WITH {_MOSAIC}, c AS (SELECT scene_id, pred_id AS class_id, count(*) AS n FROM mosaic GROUP BY 1, 2)
 SELECT scene_id, CAST(count(*) AS BIGINT) AS classes, first(class_id ORDER BY n DESC, class_id) AS first_class,

@@ -309,3 +309,29 @@ def test_haar_drops_odd_edge(spark):
     s = 0.5 * 2**-0.5
     assert len(got) == 1
     assert [got[0][b] for b in ("ll", "lh", "hl", "hh")] == pytest.approx([10 * s, 4 * s, 2 * s, 0.0])
+
+
+@pytest.mark.parametrize("tolerance", [None, 0, 40])
+def test_acquisitions_as_of(spark, tolerance):
+    """Ties, gaps, dates without images and scenes without either, in chunks of ten seconds."""
+    import random
+    from datetime import datetime, timedelta
+
+    chance, day = random.Random(4), datetime(2024, 5, 1)
+    images = [(i, chance.choice([1, 1, 1, 2, 3]), day + timedelta(seconds=chance.randint(0, 150))) for i in range(60)] + [(99, 1, None)]
+    asked = [(i, chance.choice([1, 1, 2, 4]), day + timedelta(seconds=chance.randint(-60, 260))) for i in range(80)] + [(90, 1, None)]
+    got = CH.nearest_acquisitions(
+        spark.createDataFrame(asked, "request_id LONG, scene_id LONG, requested_at TIMESTAMP"),
+        spark.createDataFrame(images, "image_id LONG, scene_id LONG, acquired_at TIMESTAMP"), tolerance, chunk_seconds=10,
+    ).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        own = [(t, i) for i, s, t in images if s == r.scene_id and t is not None and r.requested_at is not None]
+        near = lambda t: tolerance is None or abs((t - r.requested_at).total_seconds()) <= tolerance
+        before = max((x for x in own if x[0] <= r.requested_at), default=None)
+        after = min((x for x in own if x[0] >= r.requested_at), default=None)
+        before, after = (x if x and near(x[0]) else None for x in (before, after))
+        gap = lambda x: abs((x[0] - r.requested_at).total_seconds())
+        nearest = before if before and (not after or gap(before) <= gap(after)) else after
+        for name, want in (("before", before), ("after", after), ("nearest", nearest)):
+            assert (r[f"{name}_acquired_at"], r[f"{name}_image_id"]) == (want or (None, None))

@@ -163,6 +163,26 @@ def feature_lines(v):
     )
 
 
+@query("S-8 A-21 G-2 G-3", "grid", f"""
+WITH RECURSIVE {_AFTER}
+SELECT scene_id, CAST(class_id AS INT) AS class_id, count(*) AS pixels, round(77 + 0.0001::DOUBLE * min(col_idx), 6) AS minx, round(77 + 0.0001::DOUBLE * (max(col_idx) + 1), 6) AS maxx,
+  round(28 - 0.0001::DOUBLE * (max(row_idx) + 1), 6) AS miny, round(28 - 0.0001::DOUBLE * min(row_idx), 6) AS maxy FROM regions GROUP BY scene_id, region, class_id""")
+def feature_outlines(v):
+    """Every written feature read back: its area in pixels, holes taken out, and the extent of its shell."""
+    regions, rasters = _regions(v, ("confidence",)), _scene_rasters(v)
+    runs = K.outline_runs(K.outline_edges(regions))
+    areas = K.geographic_areas(K.region_measures(regions, conf="confidence"), runs, rasters)
+    shapes = K.polygons(K.outline_rings(runs), rasters)
+    features = shapes.join(areas, ["scene_id", "region_id"]).join(rasters.select("scene_id", "crs"), "scene_id")
+    schema = "properties STRUCT<class_id: INT>, geometry STRUCT<coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
+    parsed = sinks.feature_lines(features).select("scene_id", F.from_json("doc", schema).alias("d"))
+    rings = F.transform("d.geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    rows = parsed.select("scene_id", F.col("d.properties.class_id").alias("class_id"), rings.alias("rings"))
+    area = F.abs(F.aggregate("rings", F.lit(0.0), lambda s, r: s + G.signed_area(r)))
+    rows = rows.select("scene_id", "class_id", F.round(area / 1e-8).cast("long").alias("pixels"), G.bounds(F.get("rings", F.lit(0))).alias("b"))
+    return rows.select("scene_id", "class_id", "pixels", *[F.round(f"b.{c}", 6).alias(c) for c in ("minx", "maxx", "miny", "maxy")])
+
+
 @query("S-9 A-21", "grid", f"""
 WITH RECURSIVE {_CHANGED}
 SELECT scene_id, count(DISTINCT region) AS features, true AS changed, true AS closed, round(count(*), 3) AS area FROM regions GROUP BY 1""")

@@ -92,6 +92,23 @@ def statistics_report(v):
     return strict_json(report.drop("class_pixel_frequencies", "class_sample_frequencies"))
 
 
+@query("S-13 A-4", "label_pixels samples", f"""
+WITH {_STATS}, l AS ({_LONG}), n AS (SELECT sum(total_pixels - ignored_pixels) AS valid, count(*) AS labelled FROM s)
+SELECT class_id, CAST(pixels AS BIGINT) AS class_pixel_counts, CAST(samples AS BIGINT) AS class_sample_counts,
+  round(pixels / valid, 9) AS class_pixel_frequencies, round(samples / labelled, 9) AS class_sample_frequencies FROM l, n""")
+def statistics_report_maps(v):
+    """The four maps of the written report, read back from its JSON text."""
+    names = ["class_pixel_counts", "class_sample_counts", "class_pixel_frequencies", "class_sample_frequencies"]
+    kinds = ["bigint", "bigint", "double", "double"]
+    text = strict_json(ST.statistics_report(v.samples, _stats(v)))
+    maps = text.select(F.from_json("doc", ", ".join(f"{n} map<string, {k}>" for n, k in zip(names, kinds))).alias("d"))
+    rows = maps.select("d", F.explode(F.map_keys(F.col(f"d.{names[0]}"))).alias("k"))
+    value = lambda n: F.element_at(F.col(f"d.{n}"), F.col("k"))
+    return rows.select(
+        F.col("k").cast("int").alias("class_id"), *[value(n).alias(n) for n in names[:2]], *[F.round(value(n), 9).alias(n) for n in names[2:]]
+    )
+
+
 # ------------------------------------------------------------------ weights
 
 _RARITY = f"""{_STATS}, l AS ({_LONG}), r AS (

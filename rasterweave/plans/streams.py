@@ -17,6 +17,7 @@ from rasterweave.session import checkpoint_folder
 from rasterweave.sources.grids import scan_grids, write_grids
 from rasterweave.sources.imagery import BlockImagery
 from rasterweave.streaming.imagery import read_mosaic, start_scoring
+from rasterweave.streaming.latency import merged_sketch, sketched_report, start_latencies
 from rasterweave.streaming.jobs import job_outcomes as streaming_outcomes
 from rasterweave.streaming.tables import rocksdb_session, run_to_latest, run_to_table, stream_folder, stream_table
 
@@ -124,3 +125,20 @@ def stored_grids(v):
     write_grids(blocks, folder, "confidence")
     rows = R.from_blocks(scan_grids(v.spark, folder, block=16, split=2_000), ["confidence"])
     return rows.where("NOT isnan(confidence)").withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query("A-32", "latencies", """
+WITH b AS (SELECT model_id, CASE WHEN latency_ms <= 0 THEN -2147483648 ELSE ceil(ln(latency_ms) / ln(1.01 / 0.99)) END AS k, latency_ms FROM latencies),
+c AS (SELECT model_id, k, count(*) AS n FROM b GROUP BY 1, 2),
+u AS (SELECT model_id, k, sum(n) OVER (PARTITION BY model_id ORDER BY k) AS upto, sum(n) OVER (PARTITION BY model_id) AS total FROM c),
+m AS (SELECT model_id, min(k) FILTER (upto > floor(0.5 * (total - 1))) AS mid, min(k) FILTER (upto > floor(0.95 * (total - 1))) AS high FROM u GROUP BY 1)
+SELECT model_id, count(*) AS batches, round(avg(latency_ms), 6) AS mean_ms, round(4 / (avg(latency_ms) / 1000), 4) AS images_per_second,
+  round(2 * pow(1.01 / 0.99, any_value(mid)) / (1.01 / 0.99 + 1), 6) AS median_ms, round(2 * pow(1.01 / 0.99, any_value(high)) / (1.01 / 0.99 + 1), 6) AS p95_ms
+FROM latencies JOIN m USING (model_id) GROUP BY model_id""")
+def streaming_latencies(v):
+    """Sketches stored batch by batch from a stream, merged when they are read."""
+    base = stream_folder(v.spark)
+    start_latencies(_StreamViews(v.spark, v.folder).latencies, f"{base}/sketches", f"{base}/progress").awaitTermination()
+    rows = sketched_report(merged_sketch(v.spark.read.parquet(f"{base}/sketches/*")), batch_size=4)
+    digits = {"mean_ms": 6, "median_ms": 6, "p95_ms": 6, "images_per_second": 4}
+    return rows.withColumns({c: F.round(c, n) for c, n in digits.items()})

@@ -60,8 +60,8 @@ def _difference(text: str | None, pair: list) -> float:
 
 def _dictionary(texts: list[str], size: int) -> bytes:
     """A trained dictionary, or the texts themselves where there are too few to train on."""
-    pieces = [t.encode("utf-8", "surrogatepass")[i : i + CHUNK] for t in texts for i in range(0, len(t), CHUNK)]
-    pieces = [p for p in pieces if p]
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    pieces = [d[i : i + CHUNK] for d in data for i in range(0, len(d), CHUNK)]
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:
@@ -93,15 +93,13 @@ def fit(
     text_col: str = "text",
     label_col: str = "quality",
     sample: int = 1500,
-    sample_chars: int = 8_000,
     dictionary: int = 262_144,
     level: int = 3,
 ) -> CompressionModel:
     """Build the dictionaries and the calibration.
 
     ``sample`` bounds the labelled ids taken of each class (those with the smallest hash; of rows
-    with the same id, the smallest text counts), ``sample_chars`` the characters used of each while learning; scoring always reads whole
-    texts. Two thirds build the dictionary, the rest the calibration, in which the
+    with the same id, the smallest text counts); of those, whole texts are learnt from. Two thirds build the dictionary, the rest the calibration, in which the
     classes weigh as they do among all labelled texts. Rows without an id, text or
     label of 0 or 1 are not learnt from; an id labelled both ways or twice counts once, as its
     smaller label. Without labels every score is 0.5.
@@ -119,7 +117,7 @@ def fit(
     chosen = F.broadcast(firsts[0].unionByName(firsts[1]))  # at most two samples of ids
     rows = (
         docs.where(F.length(text_col) > 0)
-        .select(F.col(id_col).alias("_id"), F.substring(text_col, 1, sample_chars).alias("_t"))
+        .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
         .join(chosen, "_id")
         .groupBy("_y", "_h", "_id")
         .agg(F.min("_t").alias("_t"))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from rasterweave.llm.common import LOWER, UPPER, boxed, quoted, stored
 
-_LINK = r"""(?i)<[^>]*\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+#: the inside of a tag, and the host of every absolute link among its attributes
+_TAG = "<([^<>]+)"
+_LINK = r"""(?i)(?:^|[\s"'/])(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -39,7 +41,9 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 def host_edges(pages: DataFrame, host: Column, html: Column) -> DataFrame:
     """(src, dst, n): links between different hosts, from the absolute links of all pages."""
-    found = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(html, F.lit(_LINK), 1)).alias("dst"))
+    tags = F.regexp_extract_all(html, F.lit(_TAG), 1)
+    links = F.flatten(F.transform(tags, lambda tag: F.regexp_extract_all(tag, F.lit(_LINK), 1)))
+    found = pages.select(host.alias("src"), F.explode(links).alias("dst"))
     found = found.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
 

@@ -3,6 +3,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from rasterweave.llm import hosts, queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -81,3 +83,13 @@ def test_query(spark):
     expected = {p: e[1:5] for (p, _, _), e in zip(rows, brute([r[1:] for r in rows], queries.RULES))}
     got = queries.op4_link_graph_filter(spark, FOLDER).collect()
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == expected and len(got) == len(rows)
+
+
+def test_all_links_of_a_tag(spark):
+    """Every href and src of a tag counts, other attributes do not, and open tags take linear time."""
+    html = [
+        '<a href="http://bad.net/x" data-src="//cdn.org/i" src=//c.com>', "<IMG SRC='https://A.b/?q'><a class=\"x\"href='//d.e#f'", "< < <" * 50_000 + '<a href="//z.z">', "<a href=/local>", None, "",
+    ]
+    pages = spark.createDataFrame([(h,) for h in html], "html string")
+    edges = hosts.host_edges(pages, F.lit("own.org"), F.col("html")).collect()
+    assert {(e["dst"], e["n"]) for e in edges} == {(h, 1) for h in ("bad.net", "c.com", "a.b", "d.e", "z.z")}

@@ -93,3 +93,15 @@ def test_all_links_of_a_tag(spark):
     pages = spark.createDataFrame([(h,) for h in html], "html string")
     edges = hosts.host_edges(pages, F.lit("own.org"), F.col("html")).collect()
     assert {(e["dst"], e["n"]) for e in edges} == {(h, 1) for h in ("bad.net", "c.com", "a.b", "d.e", "z.z")}
+
+
+def test_distant_hosts_are_reached(spark):
+    """A chain longer than 30 links: shares at its end are those of the limit, and too few rounds fail."""
+    chain = [f"h{i:02}.org" for i in range(41)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in zip(chain, chain[1:])], "src string, dst string, n long")
+    seeds = spark.createDataFrame([(h, float(h == chain[0]), float(h == chain[-1])) for h in chain], "host string, good double, bad double")
+    got = {r["host"]: r["trust"] for r in hosts.propagate(edges, seeds, tolerance=1e-5).collect()}
+    whole = sum(0.85**i for i in range(41))
+    assert got[chain[40]] == pytest.approx(0.85**40 / whole, abs=1e-5) and got[chain[40]] > 0
+    with pytest.raises(RuntimeError):
+        hosts.propagate(edges, seeds, rounds=3)

@@ -12,8 +12,17 @@ that make up at least ``symbol`` of the tokens, the end, and one symbol for all
 share its probability as the root has it. A token is scored in the longest kept state that ends
 before it.
 
-All counts cover all training texts. The tree that tasks hold is bounded by the shares above; counts
-of rare words stay in a table and are joined.
+The contexts above are the tree's head, bounded by their shares and held by the tasks. Its tail grows
+with the corpus and stays in tables: every other word that occurs at least ``least`` times is a state
+too if its next words diverge from the root. A tail state w stores the next words v seen at least
+``least`` times; ``rest`` is what is left of its c(w) occurrences, ``kinds`` the number of stored ones:
+
+    p(v | w) = (c(w, v) + (kinds + 2 rest) root(v)) / (c(w) + kinds + rest)
+
+So a token after w costs the root's share of it, a factor that depends on w alone and, if (w, v) is
+stored, one that depends on the pair; texts meet these factors by joins on words and on pairs.
+
+All counts cover all training texts. Pairs and rare words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,10 +34,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import drop_states, quoted, stored, words_of, worker_state
+from rasterweave.llm.common import drop_states, mixed, quoted, stored, words_of, worker_state
 
 #: the end token; no word is empty
 END = b""
@@ -36,9 +46,11 @@ END = b""
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """``vocabulary`` (word, c) of all words; the rest is bounded and goes to the tasks."""
+    """``vocabulary`` (word, c, state) of all words, state being the log10 factor of a tail state, and
+    ``pairs`` (pair, more) of all tail states grow with the corpus; ``parts`` is bounded and goes to the tasks."""
 
     vocabulary: DataFrame
+    pairs: DataFrame
     tokens: int
     distinct: int
     parts: dict
@@ -57,6 +69,30 @@ def _ids(texts, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return ids, first
 
 
+def _codes(texts, cache: dict[bytes, int]) -> np.ndarray:
+    """64-bit codes of the words and ends of texts, as ``xxhash64`` gives them."""
+    if len(cache) > 1_000_000:
+        cache.clear()
+    out = []
+    for t in texts:
+        for w in (*words_of(t), END):
+            code = cache.get(w)
+            if code is None:
+                code = cache[w] = xxhash.xxh64_intdigest(w, 42)
+            out.append(code)
+    return np.array(out, np.uint64)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(mixed(a) + np.uint64(0x9E3779B97F4A7C15) * b)
+
+
+def _in_tail(ids: np.ndarray, first: np.ndarray, contexts: int) -> np.ndarray:
+    """Tokens after a word that is no context of the head."""
+    before = np.concatenate([[0], ids[:-1]])
+    return ~first & ((before < 0) | (before >= contexts))
+
+
 def _symbols(ids: np.ndarray, symbols: int) -> np.ndarray:
     return np.where((ids >= 0) & (ids < symbols), ids, symbols)
 
@@ -118,6 +154,66 @@ def _counted(docs: DataFrame, parts: dict) -> DataFrame:
     return stored(rows.groupBy("code").agg(F.sum("c").alias("c")), "contexts")
 
 
+def _tail_counts(docs: DataFrame, parts: dict, least: int) -> DataFrame:
+    """(a, b, pair, c) of the words after tail words, seen at least ``least`` times."""
+    heads = parts["words"][: parts["contexts"]]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cache = {w: i for i, w in enumerate(heads)}, {}
+        held, size = [], 0
+
+        def flush():
+            a, b, n = (np.concatenate(x) for x in zip(*held))
+            _, at, to = np.unique(_pair(a, b), return_index=True, return_inverse=True)
+            return a[at], b[at], np.bincount(to, n, len(at)).astype(np.int64)
+
+        def batch_of(a, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], ["a", "b", "c"])
+
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for start in range(0, len(texts), 500):
+                part = texts[start : start + 500]
+                codes = _codes(part, cache)
+                ids, first = _ids(part, known)
+                tail = np.flatnonzero(_in_tail(ids, first, len(heads)))
+                held.append((codes[tail - 1], codes[tail], np.ones(len(tail), np.int64)))
+                size += len(tail)
+                if size > 3_000_000:
+                    held = [flush()]
+                    size = len(held[0][0])
+                    if size > 2_000_000:
+                        yield batch_of(*held[0])
+                        held, size = [], 0
+        if held:
+            yield batch_of(*flush())
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in "ab")
+            yield batch.append_column("pair", pa.array(_pair(a, b).view(np.int64)))
+
+    rows = docs.select("text").mapInArrow(count, "a long, b long, c long")
+    rows = rows.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    return stored(rows.mapInArrow(keyed, "a long, b long, c long, pair long"), "tail")
+
+
+def _tail(docs: DataFrame, vocabulary: DataFrame, parts: dict, least: int, gain: float) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary with every tail state's factor, and (pair, more) of the pairs of tail states."""
+    coded = vocabulary.select(F.xxhash64("word").alias("code"), F.col("c").alias("n"))
+    pairs = _tail_counts(docs, parts, least).join(coded, F.col("b") == F.col("code")).select(
+        "a", "pair", "c", ((F.col("n") + 1) / F.lit(float(parts["norm"]))).alias("root")
+    )
+    sums = pairs.groupBy("a").agg(F.sum("c").alias("held"), F.count("*").alias("kinds"), F.sum(F.col("c") * F.ln(F.col("c") / F.col("root"))).alias("fit"))
+    states = coded.join(sums, F.col("a") == F.col("code")).where(F.col("fit") - F.col("held") * F.ln("n") >= gain)
+    down = F.col("kinds") + 2 * (F.col("n") - F.col("held"))
+    total = F.col("n") + F.col("kinds") + F.col("n") - F.col("held")
+    states = stored(states.select("code", down.cast("double").alias("down"), F.log10(down / total).alias("state")), "tail-states")
+    more = pairs.join(states, F.col("a") == F.col("code")).select("pair", F.log10(1 + F.col("c") / (F.col("down") * F.col("root"))).alias("more"))
+    full = vocabulary.join(states, F.xxhash64("word") == F.col("code"), "left").select("word", "c", F.coalesce("state", F.lit(0.0)).alias("state"))
+    return stored(full, "words"), stored(more, "pairs")
+
+
 def _vocabulary(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -147,16 +243,20 @@ def fit(
     word: float = 1e-6,
     entry: float = 5e-7,
     gain: float = 20.0,
+    least: int = 2,
 ) -> SuffixTree:
     """Learn the tree from every row of ``docs``; null and empty texts are an end token each.
 
     Shares of all tokens: ``context`` for a state, ``symbol`` for a next symbol, ``word`` for a word
     whose count the tasks know, ``entry`` for a pair of state and symbol that is stored with it.
     Their inverses bound what is held in memory. ``gain`` is the least likelihood gain of a kept
-    state. Repeated rows count each time; without rows every token has probability 1.
+    state, ``least`` the count that a pair of the tail needs; neither is a share, so the tail grows with
+    the texts. Repeated rows count each time; without rows every token has probability 1.
     """
     if not 0 < word <= symbol <= context:
         raise ValueError("shares must not fall from words to symbols to contexts")
+    if least < 2:
+        raise ValueError("a pair seen once says nothing about its state")
     texts = docs.select(F.col(quoted(text_col)).alias("text"))
     vocabulary = _vocabulary(texts)
     row = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
@@ -205,7 +305,13 @@ def fit(
     _keep(levels, root, base, gain)
     parts["keys"] = parts["keys"][: max(0, len(levels) - 1)]
     parts["states"] = levels
-    return SuffixTree(vocabulary, tokens, distinct, parts)
+    full, pairs = _tail(texts, vocabulary, parts, least, gain)
+    factors = full.where((F.col("c") >= word * tokens) & (F.col("state") != 0)).select("word", "state").collect()  # known words again
+    at = {w: i for i, w in enumerate(parts["words"])}
+    parts["tail"] = np.zeros(len(at) + 1)
+    for r in factors:
+        parts["tail"][at[bytes(r["word"])]] = r["state"]
+    return SuffixTree(full, pairs, tokens, distinct, parts)
 
 
 def _probability(levels: list[dict], level: int, node: np.ndarray, sym: np.ndarray, root: np.ndarray, base: int) -> np.ndarray:
@@ -246,7 +352,7 @@ def score(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col:
     columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.parts)  # bounded by the shares given to fit()
-    fields = "doc {}, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>"
+    fields = "doc {}, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>, pairs array<long>"
     rows = docs.select(F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
@@ -254,7 +360,7 @@ def score(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col:
         own = shared.value
         key = f"tree-{id(own)}"
         drop_states("tree-", key)
-        known = worker_state(key, lambda: {w: i for i, w in enumerate(own["words"])})
+        known, cache = worker_state(key, lambda: ({w: i for i, w in enumerate(own["words"])}, {}))
         logs = np.log10((np.append(own["counts"], 0) + 1) / own["norm"])  # the last is for id -1
         base = own["symbols"] + 1
         root = np.append(10 ** logs[: base - 1], own["other"])
@@ -274,6 +380,13 @@ def score(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col:
                 plain = np.where(unseen, 0.0, logs[ids])
                 # a word outside the symbols has its share, by the root, of their common probability
                 full = np.log10(p) + np.where(sym == own["symbols"], plain - np.log10(own["other"]), 0.0)
+                full += np.where(unseen, 0.0, own["tail"][ids])  # its state is left by the next token
+                tail = _in_tail(ids, first, own["contexts"])
+                codes = _codes(texts, cache)
+                met = np.flatnonzero(tail)
+                met = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(np.add.reduceat(tail.astype(np.int64), begins))), pa.int32()), pa.array(_pair(codes[met - 1], codes[met]).view(np.int64))
+                )
                 add = lambda x: np.add.reduceat(x, begins)
                 rare = []
                 for t, miss in zip(texts, add(unseen.astype(np.int64))):
@@ -283,24 +396,25 @@ def score(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col:
                     rare.append([{"word": w, "n": n} for w, n in lost.items()])
                 sizes = np.diff(np.append(begins, len(ids)))
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc"], pa.array(sizes), pa.array(add((~unseen).astype(np.int64))), pa.array(add(plain)), pa.array(add(full)), pa.array(rare, rare_type)],
-                    ["doc", "n_tokens", "n_known", "base", "score", "rare"],
+                    [part["doc"], pa.array(sizes), pa.array(add((~unseen).astype(np.int64))), pa.array(add(plain)), pa.array(add(full)), pa.array(rare, rare_type), met],
+                    ["doc", "n_tokens", "n_known", "base", "score", "rare", "pairs"],
                 )
 
     made = rows.mapInArrow(judge, fields.format(rows.schema["doc"].dataType.simpleString()))
     made = stored(made.withColumn("row", F.monotonically_increasing_id()), "judged")
     lost = made.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.parts["norm"])))
-    sums = (
-        lost.join(model.vocabulary, "word", "left")
-        .groupBy("row")
-        .agg(F.sum(F.col("n") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
+    by_word = lost.join(model.vocabulary, "word", "left").select(
+        "row", (F.col("n") * log).alias("base"), (F.col("n") * (log + F.coalesce("state", F.lit(0.0)))).alias("more"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("seen")
     )
-    more = F.coalesce("more", F.lit(0.0))
-    return made.join(sums, "row", "left").select(
+    met = made.select("row", F.explode("pairs").alias("pair")).join(model.pairs, "pair")
+    by_pair = met.select("row", F.lit(0.0).alias("base"), "more", F.lit(0).cast("long").alias("seen"))
+    sums = by_word.unionByName(by_pair).groupBy("row").agg(F.sum("base").alias("lost"), F.sum("more").alias("more"), F.sum("seen").alias("seen"))
+    zero = F.lit(0.0)
+    return made.drop("rare", "pairs").join(sums, "row", "left").select(
         F.col("doc").alias("doc_id"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("base") + F.coalesce("lost", zero)).alias("base_score"),
+        (F.col("score") + F.coalesce("more", zero)).alias("score"),
     )

@@ -42,6 +42,8 @@ from rasterweave.llm.common import drop_states, mixed, quoted, stored, words_of,
 
 #: the end token; no word is empty
 END = b""
+#: bits of the filter before the join on pairs
+SKETCH = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -56,31 +58,21 @@ class SuffixTree:
     parts: dict
 
 
-def _ids(texts, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids (-1: not in ``known``) of texts, an end after each, and where a text starts."""
-    rows = []
+def _ids(texts, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ids (-1: not in ``known``) of texts, an end after each, where a text starts, and codes:
+    the id of a known word and the 64-bit hash of any other."""
+    rows, others = [], []
     for t in texts:
         words = words_of(t)
         words.append(END)
         rows.append(np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words)))
+        others.append(np.array([xxhash.xxh64_intdigest(words[i]) for i in np.flatnonzero(rows[-1] < 0)], np.uint64))
     ids = np.concatenate(rows)
     first = np.zeros(len(ids), bool)
     first[np.cumsum([0, *map(len, rows)])[:-1]] = True
-    return ids, first
-
-
-def _codes(texts, cache: dict[bytes, int]) -> np.ndarray:
-    """64-bit codes of the words and ends of texts, as ``xxhash64`` gives them."""
-    if len(cache) > 1_000_000:
-        cache.clear()
-    out = []
-    for t in texts:
-        for w in (*words_of(t), END):
-            code = cache.get(w)
-            if code is None:
-                code = cache[w] = xxhash.xxh64_intdigest(w, 42)
-            out.append(code)
-    return np.array(out, np.uint64)
+    codes = ids.view(np.uint64).copy()
+    codes[ids < 0] = np.concatenate(others)
+    return ids, first, codes
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,7 +128,7 @@ def _counted(docs: DataFrame, parts: dict) -> DataFrame:
         for batch in batches:
             texts = batch["text"].to_pylist()
             for start in range(0, len(texts), 500):
-                ids, first = _ids(texts[start : start + 500], known)
+                ids, first, _ = _ids(texts[start : start + 500], known)
                 state = _states(ids, first, own)[-1]
                 held = state >= 0
                 fresh.append(state[held] * (own["symbols"] + 1) + _symbols(ids, own["symbols"])[held])
@@ -156,10 +148,11 @@ def _counted(docs: DataFrame, parts: dict) -> DataFrame:
 
 def _tail_counts(docs: DataFrame, parts: dict, least: int) -> DataFrame:
     """(a, b, pair, c) of the words after tail words, seen at least ``least`` times."""
-    heads = parts["words"][: parts["contexts"]]
+    shared = docs.sparkSession.sparkContext.broadcast((parts["words"], parts["contexts"]))  # at most 1 / word of them
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cache = {w: i for i, w in enumerate(heads)}, {}
+        words, contexts = shared.value
+        known = {w: i for i, w in enumerate(words)}
         held, size = [], 0
 
         def flush():
@@ -173,10 +166,8 @@ def _tail_counts(docs: DataFrame, parts: dict, least: int) -> DataFrame:
         for batch in batches:
             texts = batch["text"].to_pylist()
             for start in range(0, len(texts), 500):
-                part = texts[start : start + 500]
-                codes = _codes(part, cache)
-                ids, first = _ids(part, known)
-                tail = np.flatnonzero(_in_tail(ids, first, len(heads)))
+                ids, first, codes = _ids(texts[start : start + 500], known)
+                tail = np.flatnonzero(_in_tail(ids, first, contexts))
                 held.append((codes[tail - 1], codes[tail], np.ones(len(tail), np.int64)))
                 size += len(tail)
                 if size > 3_000_000:
@@ -198,9 +189,42 @@ def _tail_counts(docs: DataFrame, parts: dict, least: int) -> DataFrame:
     return stored(rows.mapInArrow(keyed, "a long, b long, c long, pair long"), "tail")
 
 
+def _coded(vocabulary: DataFrame, parts: dict) -> DataFrame:
+    """(code, n) of all words."""
+    shared = vocabulary.sparkSession.sparkContext.broadcast(parts["words"])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: i for i, w in enumerate(shared.value)}
+        for batch in batches:
+            words = batch["word"].to_pylist()
+            codes = np.array([known[w] if w in known else xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+            yield batch.append_column("code", pa.array(codes.view(np.int64)))
+
+    return stored(vocabulary.select("word", "c").mapInArrow(code, "word binary, c long, code long"), "coded")
+
+
+def _sketch(pairs: DataFrame) -> np.ndarray:
+    """Bits of a filter of fixed size (2^26 bits, 8 MB) that every pair passes; others mostly do not.
+
+    It spares shuffles and decides nothing: what passes is joined with the pairs themselves, and a
+    corpus that fills it up costs more but gives the same scores."""
+    at = F.col("pair").bitwiseAND(SKETCH - 1)
+    bits = pairs.groupBy((F.shiftright(at, 6)).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pair & 63 as int))")).alias("bits"))
+    rows = bits.toArrow()  # at most SKETCH / 64 rows of 16 bytes
+    out = np.zeros(SKETCH // 64, np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(sketch: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    at = pair & np.uint64(SKETCH - 1)
+    return (sketch[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
 def _tail(docs: DataFrame, vocabulary: DataFrame, parts: dict, least: int, gain: float) -> tuple[DataFrame, DataFrame]:
     """The vocabulary with every tail state's factor, and (pair, more) of the pairs of tail states."""
-    coded = vocabulary.select(F.xxhash64("word").alias("code"), F.col("c").alias("n"))
+    vocabulary = _coded(vocabulary, parts)
+    coded = vocabulary.select("code", F.col("c").alias("n"))
     pairs = _tail_counts(docs, parts, least).join(coded, F.col("b") == F.col("code")).select(
         "a", "pair", "c", ((F.col("n") + 1) / F.lit(float(parts["norm"]))).alias("root")
     )
@@ -210,7 +234,7 @@ def _tail(docs: DataFrame, vocabulary: DataFrame, parts: dict, least: int, gain:
     total = F.col("n") + F.col("kinds") + F.col("n") - F.col("held")
     states = stored(states.select("code", down.cast("double").alias("down"), F.log10(down / total).alias("state")), "tail-states")
     more = pairs.join(states, F.col("a") == F.col("code")).select("pair", F.log10(1 + F.col("c") / (F.col("down") * F.col("root"))).alias("more"))
-    full = vocabulary.join(states, F.xxhash64("word") == F.col("code"), "left").select("word", "c", F.coalesce("state", F.lit(0.0)).alias("state"))
+    full = vocabulary.join(states, "code", "left").select("word", "c", F.coalesce("state", F.lit(0.0)).alias("state"))
     return stored(full, "words"), stored(more, "pairs")
 
 
@@ -311,6 +335,7 @@ def fit(
     parts["tail"] = np.zeros(len(at) + 1)
     for r in factors:
         parts["tail"][at[bytes(r["word"])]] = r["state"]
+    parts["sketch"] = _sketch(pairs)
     return SuffixTree(full, pairs, tokens, distinct, parts)
 
 
@@ -360,7 +385,7 @@ def score(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col:
         own = shared.value
         key = f"tree-{id(own)}"
         drop_states("tree-", key)
-        known, cache = worker_state(key, lambda: ({w: i for i, w in enumerate(own["words"])}, {}))
+        known = worker_state(key, lambda: {w: i for i, w in enumerate(own["words"])})
         logs = np.log10((np.append(own["counts"], 0) + 1) / own["norm"])  # the last is for id -1
         base = own["symbols"] + 1
         root = np.append(10 ** logs[: base - 1], own["other"])
@@ -368,7 +393,7 @@ def score(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = part["text"].to_pylist()
-                ids, first = _ids(texts, known)
+                ids, first, codes = _ids(texts, known)
                 begins = np.flatnonzero(first)
                 sym = _symbols(ids, own["symbols"])
                 p = root[sym]
@@ -381,12 +406,11 @@ def score(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col:
                 # a word outside the symbols has its share, by the root, of their common probability
                 full = np.log10(p) + np.where(sym == own["symbols"], plain - np.log10(own["other"]), 0.0)
                 full += np.where(unseen, 0.0, own["tail"][ids])  # its state is left by the next token
-                tail = _in_tail(ids, first, own["contexts"])
-                codes = _codes(texts, cache)
-                met = np.flatnonzero(tail)
-                met = pa.ListArray.from_arrays(
-                    pa.array(np.append(0, np.cumsum(np.add.reduceat(tail.astype(np.int64), begins))), pa.int32()), pa.array(_pair(codes[met - 1], codes[met]).view(np.int64))
-                )
+                met = np.flatnonzero(_in_tail(ids, first, own["contexts"]))
+                pair = _pair(codes[met - 1], codes[met])
+                passed = _passes(own["sketch"], pair)
+                ends = np.searchsorted(met[passed], np.append(begins, len(ids)))
+                met = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pair[passed].view(np.int64)))
                 add = lambda x: np.add.reduceat(x, begins)
                 rare = []
                 for t, miss in zip(texts, add(unseen.astype(np.int64))):

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("catalog", "statistics", "evaluation", "rasters", "regions", "jobs", "geometry", "images", "streams")
+MODULES = ("catalog", "statistics", "evaluation", "rasters", "regions", "jobs", "geometry", "images", "patches", "streams")
 
 
 def load() -> dict:

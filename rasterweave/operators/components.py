@@ -251,6 +251,35 @@ def region_measures(regions: DataFrame, value: str = "class_id", conf: str | Non
     return regions.groupBy("scene_id", "region_id", F.col(value).alias("class_id")).agg(*measures)
 
 
+def region_measures_of_blocks(labelled: DataFrame, value: str = "class_id", conf: str | None = None) -> DataFrame:
+    """As :func:`region_measures`, from the block rows of :func:`label_regions`.
+
+    A block sends one row per region that it holds. Missing confidences leave the mean.
+    """
+    schema = f"scene_id {labelled.schema['scene_id'].dataType.simpleString()}, region_id BIGINT, class_id BIGINT, n BIGINT, s DOUBLE, k BIGINT"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for row in part.to_dict("records"):
+                labels = np.asarray(row["labels"], dtype=np.int64)
+                regions, first, which, n = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
+                numbers = np.asarray(row[conf], dtype=np.float64) if conf else np.full(len(labels), np.nan)
+                known = ~np.isnan(numbers)
+                sums = np.bincount(which[known], numbers[known], minlength=len(regions))
+                counts = np.bincount(which[known], minlength=len(regions))
+                for i in np.flatnonzero(regions >= 0):
+                    found.append((row["scene_id"], regions[i], int(row[value][first[i]]), n[i], sums[i], counts[i]))
+            yield pd.DataFrame(found, columns=["scene_id", "region_id", "class_id", "n", "s", "k"])
+
+    rows = labelled.select("scene_id", "labels", value, *([conf] if conf else [])).mapInPandas(run, schema)
+    measures = [F.sum("n").alias("pixels")]
+    if conf:
+        measures.append(F.try_divide(F.sum("s"), F.sum("k")).alias("mean_confidence"))
+    kind = labelled.schema[value].dataType.elementType
+    return rows.groupBy("scene_id", "region_id", F.col("class_id").cast(kind).alias("class_id")).agg(*measures)
+
+
 def planar_areas(measures: DataFrame, rasters: DataFrame) -> DataFrame:
     """Add ``area_m2`` for rasters in a projected system: pixels times the pixel area."""
     scale = rasters.select("scene_id", affine.pixel_area(F.col("transform")).alias("_px"))
@@ -329,7 +358,11 @@ def outline_edges(regions: DataFrame) -> DataFrame:
             )
         ]
     )
-    offered = regions.select("scene_id", "region_id", F.inline(sides))
+    return _cancelled(regions.select("scene_id", "region_id", F.inline(sides)))
+
+
+def _cancelled(offered: DataFrame) -> DataFrame:
+    """Sides that are not shared by two pixels of one region."""
     # the two pixels at a side face it in opposite directions
     both = offered.groupBy("scene_id", "vertical", "line", "pos").agg(
         F.min(F.when(F.col("dir") < 2, F.col("region_id"))).alias("_low"),
@@ -344,6 +377,38 @@ def outline_edges(regions: DataFrame) -> DataFrame:
     return kept.select("scene_id", "line", "pos", F.inline(owners)).where("region_id IS NOT NULL")
 
 
+def outline_edges_of_blocks(labelled: DataFrame) -> DataFrame:
+    """As :func:`outline_edges`, from the block rows of :func:`label_regions`.
+
+    Sides inside a block cancel in the block; only outlines and the rims of blocks are shuffled, where the
+    sides of neighbouring blocks cancel.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for at, (y, x, h, w, cells) in enumerate(zip(part.y_off, part.x_off, part.height, part.width, part.labels)):
+                labels = np.asarray(cells, dtype=np.int64).reshape(h, w)
+                around = np.pad(labels, 1, constant_values=NO_LABEL)
+                beside = around[:-2, 1:-1], around[1:-1, 2:], around[2:, 1:-1], around[1:-1, :-2]
+                for direction, other in enumerate(beside):
+                    row, col = np.nonzero((labels >= 0) & (labels != other))
+                    line, pos = ((y + row, x + col), (x + col + 1, y + row), (y + row + 1, x + col), (x + col, y + row))[direction]
+                    found.append((np.full(len(row), at), labels[row, col], direction, line, pos))
+            sizes = [len(f[0]) for f in found]
+            at, region, line, pos = (np.concatenate([f[k] for f in found] or [[]]).astype(np.int64) for k in (0, 1, 3, 4))
+            direction = np.repeat([f[2] for f in found], sizes).astype(np.int32)
+            yield pd.DataFrame({
+                "scene_id": part.scene_id.to_numpy()[at], "region_id": region, "dir": direction,
+                "vertical": direction % 2 == 1, "line": line, "pos": pos,
+            })
+
+    kind = labelled.schema["scene_id"].dataType.simpleString()
+    schema = f"scene_id {kind}, region_id BIGINT, dir INT, vertical BOOLEAN, line BIGINT, pos BIGINT"
+    rows = labelled.select("scene_id", "y_off", "x_off", "height", "width", "labels")
+    return _cancelled(rows.mapInPandas(run, schema))
+
+
 def outline_runs(edges: DataFrame) -> DataFrame:
     """Straight runs of unit edges: ``scene_id, region_id, dir, x1, y1, x2, y2``.
 

@@ -3,10 +3,15 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from rasterweave.functions import affine
+from rasterweave.functions import geometry as G
+from rasterweave.operators import components as K
 from rasterweave.operators import patches as P
 from rasterweave.operators import rasters as R
+from rasterweave.operators.analysis import analyse
 from rasterweave.operators.extensions import score_blocks
 from rasterweave.operators.images import HAAR
+from rasterweave.plans.regions import _AFTER
 from rasterweave.plans.registry import query
 
 SCENE = 50
@@ -139,3 +144,68 @@ def tiled_scoring_blocks(v):
     rows = R.from_blocks(P.mosaic_blocks(_scored_tiles(v), _scenes(v), BLOCK), ["pred_id", "conf"])
     # cells of the last scene that have no pixel win nothing
     return rows.where("conf > 0").withColumn("conf", F.round("conf", 6))
+
+
+@query("A-21", "grid", f"WITH RECURSIVE {_AFTER} SELECT scene_id, region, CAST(count(*) AS DOUBLE) AS area FROM regions GROUP BY 1, 2")
+def outline_areas_blocks(v):
+    """Outlines from blocks whose inner sides never leave them."""
+    labelled = K.label_regions(_blocks(v, "after_id").withColumnRenamed("after_id", "class_id"), BLOCK)
+    rings = K.ring_areas(K.outline_rings(K.outline_runs(K.outline_edges_of_blocks(labelled))))
+    region = K.linear_id(F.col("region_id"), F.lit(SCENE)).alias("region")
+    return rings.groupBy("scene_id", region).agg(F.sum("area").alias("area"))
+
+
+def nodata_scorer():
+    """As :func:`falling_scorer`; cells without data stay class 0."""
+    score = falling_scorer()
+
+    def masked(bands):
+        classes, confs = score(bands)
+        return np.where(bands[0] > 0, classes, 0), confs
+
+    return masked
+
+
+# tiles of 4 with an overlap of 1 in each AOI's own window
+_CROPS = """
+crop AS (SELECT aoi_id, scene_id, x0, y0, w, least(w, 50 - y0) AS h, least(w, 50 - x0) AS b FROM aois WHERE scene_id IN (SELECT scene_id FROM grid)),
+cell AS (SELECT aoi_id, CAST(row_idx - y0 AS BIGINT) AS r, CAST(col_idx - x0 AS BIGINT) AS c, after_id, confidence, h, b
+         FROM crop JOIN grid USING (scene_id) WHERE row_idx >= y0 AND row_idx < y0 + h AND col_idx >= x0 AND col_idx < x0 + b
+         AND (col_idx + 0.5 - x0) + (row_idx + 0.5 - y0) < w AND after_id > 0),
+n AS (SELECT CAST(range AS BIGINT) AS i FROM range(0, 6)),
+scored AS (SELECT aoi_id, r, c, y.i * 100 + x.i AS ord, 1 + (after_id + (r - least(y.i * 3, greatest(h - 4, 0))) // 8) % 7 AS class_id,
+             confidence * (1 - 0.01::DOUBLE * (r - least(y.i * 3, greatest(h - 4, 0)) + c - least(x.i * 3, greatest(b - 4, 0)))) AS conf
+           FROM cell JOIN n y ON y.i <= ceil(greatest(h - 4, 0) / 3) AND r >= least(y.i * 3, greatest(h - 4, 0)) AND r < least(y.i * 3, greatest(h - 4, 0)) + 4
+           JOIN n x ON x.i <= ceil(greatest(b - 4, 0) / 3) AND c >= least(x.i * 3, greatest(b - 4, 0)) AND c < least(x.i * 3, greatest(b - 4, 0)) + 4),
+best AS (SELECT aoi_id, r, c, CAST(class_id AS INT) AS class_id, conf, r * 50 + c AS pos FROM scored QUALIFY row_number() OVER (PARTITION BY aoi_id, r, c ORDER BY conf DESC, ord) = 1),
+links AS (SELECT a.aoi_id, a.pos, z.pos AS near FROM best a JOIN best z ON a.aoi_id = z.aoi_id AND a.class_id = z.class_id
+          AND z.pos IN (a.pos - 50, a.pos - 1, a.pos + 1, a.pos + 50) AND abs(a.r - z.r) + abs(a.c - z.c) = 1),
+reach(aoi_id, pos, root) AS (SELECT aoi_id, pos, pos FROM best
+  UNION SELECT f.aoi_id, l.near, f.root FROM reach f JOIN links l ON l.aoi_id = f.aoi_id AND l.pos = f.pos AND l.near > f.root),
+named AS (SELECT aoi_id, pos, min(root) AS region FROM reach GROUP BY 1, 2)"""
+
+
+@query("J-3 J-7 U-1 A-9 A-20 A-21 A-22 A-23", "aois grid", f"""
+WITH RECURSIVE {_CROPS}
+SELECT aoi_id, region, class_id, count(*) AS pixels, round(avg(conf), 6) AS mean_confidence, count(*) * 4.0::DOUBLE AS area_m2, count(*) * 4.0::DOUBLE AS ring_area
+FROM best JOIN named USING (aoi_id, pos) GROUP BY 1, 2, 3""")
+def analysed_areas(v):
+    """From AOIs and scenes to measured and outlined regions without a row per pixel in between."""
+    t = affine.transform_of(2.0, 0.0, 0.0, 0.0, 2.0, 0.0)
+    rasters = _scenes(v).select("*", F.lit("EPSG:3857").alias("crs"), t.alias("transform"))
+    x, y, w = F.col("x0") * 2, F.col("y0") * 2, F.col("w") * 2
+    aois = v.aois.select(
+        "aoi_id", "scene_id", F.lit("EPSG:3857").alias("crs"), G.ring_of((x, y), (x + w, y), (x, y + w)).alias("ring"),
+        F.array().cast(f"ARRAY<{G.RING}>").alias("holes"),
+    )
+    pixels = v.grid.select(*R.PIXEL_KEY, F.col("after_id").cast("double").alias("a"), "confidence")
+    blocks = R.to_blocks(pixels, ["a", "confidence"], BLOCK, _scenes(v))
+    crops, labelled = analyse(blocks, aois, rasters, ["a", "confidence"], nodata_scorer, 4, 1, BLOCK)
+    measures = K.planar_areas(K.region_measures_of_blocks(labelled, conf="conf"), crops)
+    shapes = K.polygons(K.outline_rings(K.outline_runs(K.outline_edges_of_blocks(labelled))), crops)
+    ring_area = F.abs(F.aggregate("rings", F.lit(0.0), lambda s, r: s + G.signed_area(r)))
+    rows = measures.join(shapes, ["scene_id", "region_id"]).join(crops.select("scene_id", "aoi_id"), "scene_id")
+    return rows.select(
+        "aoi_id", K.linear_id(F.col("region_id"), F.lit(SCENE)).alias("region"), "class_id", "pixels",
+        F.round("mean_confidence", 6).alias("mean_confidence"), "area_m2", F.round(ring_area, 6).alias("ring_area"),
+    )

@@ -6,9 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterweave.functions import affine
+from rasterweave.functions import geometry as G
+from rasterweave.operators import components as K
 from rasterweave.operators import images as I
 from rasterweave.operators import patches as P
 from rasterweave.operators import rasters as R
+from rasterweave.operators import spatial as SP
+from rasterweave.operators.analysis import analyse
 
 SIZES = {1: (7, 11), 2: (1, 5), 3: (13, 2)}
 
@@ -146,3 +151,69 @@ def test_one_shuffle_of_patches_and_no_pixel_rows(spark):
     blocks = block_table(spark, images(), 4)
     cut = P._cut(P._with_scenes(blocks, scenes(spark), ["x"]), ["x"], P._stay, P.Rimmed(4, 1))
     assert cut.count() <= 9 * blocks.count()
+
+
+@pytest.mark.parametrize("size", [2, 5, 16])
+def test_outlines_and_measures_of_blocks_equal_those_of_pixels(spark, size):
+    chance = np.random.default_rng(size)
+    rows = [(k, r, c, int(chance.integers(0, 3)), None if (r + c) % 5 == 0 else float(r * c)) for k, (h, w) in SIZES.items() for r in range(h) for c in range(w)]
+    pixels = spark.createDataFrame(rows, "scene_id LONG, row_idx LONG, col_idx LONG, class_id INT, conf DOUBLE")
+    labelled = K.label_regions(R.to_blocks(pixels, ["class_id", "conf"], size), size, keep=("conf",))
+    regions = K.region_pixels(labelled, keep=("conf",))
+    by_key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    edges = K.outline_edges(regions)
+    assert by_key(K.outline_edges_of_blocks(labelled).select(edges.columns)) == by_key(edges)
+    measures = K.region_measures(regions, conf="conf")
+    assert by_key(K.region_measures_of_blocks(labelled, conf="conf").select(measures.columns)) == by_key(measures)
+    assert K.outline_edges_of_blocks(labelled.limit(0)).count() == K.region_measures_of_blocks(labelled.limit(0)).count() == 0
+
+
+def test_chain_over_blocks_equals_the_single_operators(spark):
+    """An AOI with a hole, one larger than its scene and one beside it."""
+
+    def look(bands):
+        y, x = np.indices(bands[0].shape)
+        return np.where(bands[0] > 0, 1 + (np.nan_to_num(bands[0]) * 3).astype(int), 0), bands[0] * (1 - 0.01 * (y + x))
+
+    t = affine.transform_of(1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+    rasters = scenes(spark).select("*", F.lit("EPSG:3857").alias("crs"), t.alias("transform"))
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in (*p, p[0])]
+    aois = spark.createDataFrame(
+        [
+            (7, 1, ring((1, 0), (10, 0), (10, 7), (1, 7)), [ring((4, 2), (7, 2), (7, 5), (4, 5))]),
+            (8, 1, ring((-5, -5), (30, -5), (30, 30), (-5, 30)), []),
+            (9, 2, ring((40, 40), (42, 40), (42, 42)), []),
+            (10, 3, ring((0, 3), (2, 3), (2, 12), (0, 12)), []),
+        ],
+        f"aoi_id LONG, scene_id LONG, ring {G.RING}, holes ARRAY<{G.RING}>",
+    ).withColumn("crs", F.lit("EPSG:3857"))
+    pictures = images()
+    crops, labelled = analyse(block_table(spark, pictures, 3), aois, rasters, ["x"], lambda: look, tile=4, overlap=2, size=3)
+    found = crops.collect()
+    assert sorted((c.aoi_id, c.height, c.width) for c in found) == [(7, 7, 9), (8, 7, 11), (10, 9, 2)]
+    owner = {c.scene_id: c.aoi_id for c in found}
+    got = {}
+    for b in labelled.collect():
+        for k, (c, s) in enumerate(zip(b.class_id, b.conf)):
+            got[owner[b.scene_id], b.y_off + k // b.width, b.x_off + k % b.width] = (c, s)
+    clipped = SP.clip(pixel_table(spark, pictures), aois, rasters, ["x"], nodata=0.0, cell=4).collect()
+    want = {}
+    for c in found:
+        a = np.zeros((c.height, c.width))
+        for p in clipped:
+            if p.aoi_id == c.aoi_id:
+                a[p.row_idx, p.col_idx] = p.x
+        starts = lambda n: sorted({min(i * 2, max(n - 4, 0)) for i in range(n)})
+        best = np.full(a.shape, -1.0)
+        kind = np.zeros(a.shape, int)
+        for y in starts(c.height):
+            for x in starts(c.width):
+                classes, conf = look(a[None, y : y + 4, x : x + 4])
+                better = conf > best[y : y + 4, x : x + 4]
+                best[y : y + 4, x : x + 4][better] = conf[better]
+                kind[y : y + 4, x : x + 4][better] = classes[better]
+        want |= {(c.aoi_id, *at): (int(kind[at]), float(best[at])) for at in np.ndindex(a.shape)}
+    same(got, want)
+    regions = K.regions_of_pixels(K.region_pixels(labelled).drop("region_id"), 4)
+    again = {(owner[r.scene_id], r.row_idx, r.col_idx): r.region_id for r in regions.collect()}
+    assert again == {(owner[r.scene_id], r.row_idx, r.col_idx): r.region_id for r in K.region_pixels(labelled).collect()}

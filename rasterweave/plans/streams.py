@@ -19,6 +19,7 @@ from rasterweave.sources.imagery import BlockImagery
 from rasterweave.streaming.imagery import read_mosaic, start_scoring
 from rasterweave.streaming.latency import merged_sketch, sketched_report, start_latencies
 from rasterweave.streaming.jobs import job_outcomes as streaming_outcomes
+from rasterweave.streaming.jobs import ordered_job_outcomes
 from rasterweave.streaming.tables import rocksdb_session, run_to_latest, run_to_table, stream_folder, stream_table
 
 
@@ -49,6 +50,19 @@ def streaming_job_outcomes(v):
     return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("ST-2 W-6", "job_events", f"""
+WITH RECURSIVE {_RUN} SELECT job_id, seq, ts, from_state, to_state, rejected IS NULL AS accepted, rejected, revision FROM run""")
+def streaming_outcomes_any_order(v):
+    """Attempts of a job are spread over triggers in an order that has nothing to do with theirs."""
+    spark, folder = rocksdb_session(v.spark), stream_folder(v.spark)
+    events = v.job_events.withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(3, F.xxhash64("job_id", "seq")).write.parquet(f"{folder}/arrivals")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrivals")
+    # no attempt is too late to count
+    rows = run_to_table(ordered_job_outcomes(arriving, delay="36500 days"))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("ST-6", "job_events", """
 SELECT date_trunc('hour', ts) AS window_start, count(*) AS attempts, count(*) FILTER (to_state = 'completed') AS completed,
        count(*) FILTER (to_state = 'failed') AS failed FROM job_events

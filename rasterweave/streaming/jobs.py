@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rasterweave.operators.jobs import ALLOWED, TERMINAL, run_events
@@ -16,6 +17,16 @@ OUTPUT = (
 )
 
 
+def _problem(state: str | None, last, ts: pd.Timestamp, target: str) -> str | None:
+    """Why an attempt is rejected, NULL if it is accepted."""
+    options = ("queued",) if state is None else ALLOWED[state]
+    if state in TERMINAL:
+        return "terminal"
+    if target not in options:
+        return "illegal"
+    return "late" if last is not None and ts < pd.Timestamp(last) else None
+
+
 class JobLifecycle(StatefulProcessor):
     """Keeps one row of state per job: current state, last accepted time and revision."""
 
@@ -28,15 +39,7 @@ class JobLifecycle(StatefulProcessor):
         attempts = pd.concat(list(rows)).sort_values("seq", kind="stable")
         out = []
         for seq, ts, target in zip(attempts.seq, attempts.ts, attempts.to_state):
-            options = ("queued",) if state is None else ALLOWED[state]
-            if state in TERMINAL:
-                problem = "terminal"
-            elif target not in options:
-                problem = "illegal"
-            elif last is not None and ts < pd.Timestamp(last):
-                problem = "late"
-            else:
-                problem = None
+            problem = _problem(state, last, ts, target)
             before = state
             if problem is None:
                 state, last, revision = target, ts.to_pydatetime(), revision + 1
@@ -64,6 +67,145 @@ def job_outcomes(events: DataFrame) -> DataFrame:
     )
 
 
+class OrderedLifecycle(StatefulProcessor):
+    """As :class:`JobLifecycle`, for attempts that come in any order, with timers for what never comes.
+
+    An attempt is judged when all before it have been; until then it waits in the state. Timers run on the
+    watermark: a gap that nothing fills is given up, a job that stands still is reported once per state, and
+    a finished job leaves the state.
+    """
+
+    def __init__(self, first: int, patience: int, stall: int, retention: int) -> None:
+        # milliseconds
+        self._first, self._patience, self._stall, self._retention = first, patience, stall, retention
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._job = handle.getValueState(
+            "job", "state STRING, ts TIMESTAMP, revision INT, turn BIGINT, reported BOOLEAN, held INT, timer BIGINT"
+        )
+        self._early = handle.getListState("early", "seq BIGINT, ts TIMESTAMP, to_state STRING")
+
+    def _load(self) -> None:
+        known = self._job.get() or (None, None, -1, self._first, False, 0, 0)
+        self._state, self._last, self._revision, self._turn, self._reported, held, self._timer = known
+        # every call to the state has its price, so what waits is read and written as a whole
+        self._held = {seq: (ts, target) for seq, ts, target in self._early.get()} if held else {}
+        self._before, self._out = dict(self._held), []
+
+    def _emit(self, job_id, seq, ts, target, problem: str | None, before: str | None) -> None:
+        self._out.append((job_id, seq, ts, before, target, problem is None, problem, self._revision))
+
+    def _judge(self, job_id, seq: int, ts: pd.Timestamp, target: str) -> None:
+        before = self._state
+        problem = "incomplete" if pd.isna(ts) else _problem(before, self._last, ts, target)
+        if problem is None:
+            self._state, self._last = target, ts.to_pydatetime()
+            self._revision, self._reported = self._revision + 1, False
+        self._turn = seq + 1
+        self._emit(job_id, seq, ts, target, problem, before)
+
+    def _drain(self, job_id) -> None:
+        while self._turn in self._held:
+            ts, target = self._held.pop(self._turn)
+            self._judge(job_id, self._turn, pd.Timestamp(ts), target)
+
+    def _given_up(self) -> int | None:
+        """When the first gap is given up; an attempt without a time waits for no one."""
+        return min((0 if pd.isna(ts) else _millis(ts) + self._patience for ts, _ in self._held.values()), default=None)
+
+    def _store(self) -> pd.DataFrame:
+        """Keep the job and set its next timer."""
+        due = [at for at in [self._given_up()] if at is not None]
+        if self._state in TERMINAL:
+            due.append(_millis(self._last) + self._retention)
+        elif self._state is not None and not self._reported:
+            due.append(_millis(self._last) + self._stall)
+        timer = max(min(due), 1) if due else 0
+        if timer != self._timer:
+            if self._timer:
+                self._handle.deleteTimer(self._timer)
+            if timer:
+                self._handle.registerTimer(timer)
+        if self._held != self._before:
+            if self._held:
+                self._early.put([(seq, ts, target) for seq, (ts, target) in sorted(self._held.items())])
+            else:
+                self._early.clear()
+        self._job.update((self._state, self._last, self._revision, self._turn, self._reported, len(self._held), timer))
+        return _outcomes(self._out)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        self._load()
+        attempts = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for seq, ts, target in zip(attempts.seq, attempts.ts, attempts.to_state):
+            if pd.isna(seq):
+                self._emit(key[0], None, ts, target, "incomplete", self._state)
+            elif seq < self._turn or seq in self._held:
+                self._emit(key[0], int(seq), ts, target, "missed", self._state)
+            elif seq == self._turn:
+                self._judge(key[0], int(seq), ts, target)
+                self._drain(key[0])
+            else:
+                self._held[int(seq)] = (None if pd.isna(ts) else ts.to_pydatetime(), target)
+        yield self._store()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        self._load()
+        # a timer that went off is gone
+        self._timer = 0
+        now = timerValues.getCurrentWatermarkInMs()
+        while self._held and self._given_up() <= now:
+            self._turn = min(self._held)
+            self._drain(key[0])
+        if self._state in TERMINAL and not self._held and _millis(self._last) + self._retention <= now:
+            self._job.clear()
+            self._early.clear()
+            yield _outcomes(self._out)
+            return
+        if self._state is not None and self._state not in TERMINAL and not self._reported:
+            if _millis(self._last) + self._stall <= now:
+                self._reported = True
+                self._emit(key[0], None, pd.Timestamp(self._last), None, "stalled", self._state)
+        yield self._store()
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(ts) -> int:
+    return int(pd.Timestamp(ts).timestamp() * 1000)
+
+
+def _outcomes(rows: list[tuple]) -> pd.DataFrame:
+    found = pd.DataFrame(rows, columns=[part.strip().split(" ")[0] for part in OUTPUT.split(",")])
+    return found.astype({"seq": "Int64", "revision": "int32"})
+
+
+def ordered_job_outcomes(
+    events: DataFrame, delay: str, first: int = 0, patience: int = 3600, stall: int = 86400, retention: int = 86400
+) -> DataFrame:
+    """Judge attempts ``job_id, seq, ts, to_state`` in order of ``seq``, whatever order they arrive in.
+
+    Each job counts ``seq`` from ``first`` without gaps. An attempt that comes early is held. ``delay`` is how far
+    (in event time) an attempt may lag behind the newest of all jobs; Spark drops what is later. The other
+    times are seconds of event time by the watermark: ``patience`` after a held attempt its gap is given up,
+    and what then comes for it, or comes twice, is rejected as ``missed``; a job without an accepted
+    attempt for ``stall`` has a row ``stalled`` with no ``seq`` and ``to_state``, once per state; ``retention`` after
+    its end a job leaves the state. An attempt without ``ts`` or ``seq`` is rejected as ``incomplete``; one that
+    has a ``seq`` takes its turn all the same. The rows of a trigger are handled before its timers. A job's state
+    holds what is ahead of its turn; limit the rows of a trigger at the source to bound it. Needs the RocksDB
+    state store.
+    """
+    rows = events.select("job_id", F.col("seq").cast("long").alias("seq"), "ts", "to_state").withWatermark("ts", delay)
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=OrderedLifecycle(first, patience * 1000, stall * 1000, retention * 1000),
+        outputStructType=OUTPUT,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 def publish_runs(publish: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body turning finished pipeline runs into their lifecycle events."""
 

@@ -142,8 +142,8 @@ w AS (SELECT *, row_number() OVER (PARTITION BY scene_id, row_idx, col_idx ORDER
 def tiled_scoring_blocks(v):
     """Tiles put together from blocks, scored and merged into blocks again."""
     rows = R.from_blocks(P.mosaic_blocks(_scored_tiles(v), _scenes(v), BLOCK), ["pred_id", "conf"])
-    # cells of the last scene that have no pixel win nothing
-    return rows.where("conf > 0").withColumn("conf", F.round("conf", 6))
+    # cells of the last scene that have no pixel win nothing and stay class 0; a confidence may be 0
+    return rows.where("pred_id > 0").withColumn("conf", F.round("conf", 6))
 
 
 @query("A-21", "grid", f"WITH RECURSIVE {_AFTER} SELECT scene_id, region, CAST(count(*) AS DOUBLE) AS area FROM regions GROUP BY 1, 2")

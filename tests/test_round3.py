@@ -22,3 +22,26 @@ def test_pixels_without_confidence_are_scored(spark, tmp_path):
     folder = tables(tmp_path, events="SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN 0 ELSE value END AS value) FROM t")
     with connect(folder) as con:
         assert compare(load()["tiled_scoring_blocks"], spark, folder, con) is None
+
+
+def test_job_streams_call_python_per_bucket_and_not_per_job(spark, tmp_path):
+    """Many jobs, in two triggers, with a job without an id, in at most as many groups as there are buckets."""
+    from datetime import datetime
+
+    from rasterweave.streaming import jobs as S
+    from rasterweave.streaming.tables import run_to_table
+
+    start = datetime(2024, 5, 1)
+    rows = [(j, s, start, t) for j in [None, 2**53 + 1, *range(300)] for s, t in enumerate(["queued", "tiling", "preparing"])]
+    schema = "job_id LONG, seq LONG, ts TIMESTAMP, to_state STRING"
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {tuple(r) for r in run_to_table(S.ordered_job_outcomes(stream, "1 day", buckets=4)).collect()}
+    assert got == {
+        (j, s, start, b, t, r is None, r, v)
+        for j in [None, 2**53 + 1, *range(300)]
+        for s, b, t, r, v in [(0, None, "queued", None, 0), (1, "queued", "tiling", "illegal", 0), (2, "queued", "preparing", None, 1)]
+    }
+    plain = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert {tuple(r) for r in run_to_table(S.job_outcomes(plain, buckets=4)).collect()} == got

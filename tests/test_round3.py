@@ -45,3 +45,27 @@ def test_job_streams_call_python_per_bucket_and_not_per_job(spark, tmp_path):
     }
     plain = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     assert {tuple(r) for r in run_to_table(S.job_outcomes(plain, buckets=4)).collect()} == got
+
+
+def test_boxes_are_projected_through_utm_as_arrays(spark):
+    """The same bounds as by single points, without a lambda over the points of every box."""
+    from pyspark.sql import functions as F
+
+    from rasterweave.functions import geometry as G
+
+    crs = ["EPSG:4326", "EPSG:3857", "EPSG:32631", "EPSG:32732"]
+    box = F.struct(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])
+    degrees = spark.createDataFrame([(k, 3.0 + k, 10.0 - 3 * k, 3.5 + 2 * k, 10.2 - 2 * k) for k in range(8)], "k INT, minx DOUBLE, miny DOUBLE, maxx DOUBLE, maxy DOUBLE")
+    for source in crs:
+        for target in crs:
+            here = degrees.select("k", G.densified_bounds(box, F.lit("EPSG:4326"), F.lit(source)).alias("b"))
+            made = here.select("k", "b", G.densified_bounds(F.col("b"), F.lit(source), F.lit(target)).alias("c"))
+            b, t = F.col("b"), F.transform(F.sequence(F.lit(0), F.lit(22)), lambda i: i / F.lit(22.0))
+            x, y = (lambda s: b["minx"] + s * (b["maxx"] - b["minx"])), (lambda s: b["miny"] + s * (b["maxy"] - b["miny"]))
+            edges = [lambda s: G.point(x(s), b["miny"]), lambda s: G.point(x(s), b["maxy"]), lambda s: G.point(b["minx"], y(s)), lambda s: G.point(b["maxx"], y(s))]
+            ring = F.concat(*[F.transform(t, e) for e in edges])
+            point = G.bounds(G.reproject(ring, F.lit(source), F.lit(target))).alias("p")
+            for row in made.select("c", point).collect():
+                assert all(abs(u - w) <= 1e-6 for u, w in zip(row["c"], row["p"])), (source, target, row)
+    plan = degrees.select(G.densified_bounds(box, F.lit("EPSG:4326"), F.lit("EPSG:32631")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan

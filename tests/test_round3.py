@@ -69,3 +69,18 @@ def test_boxes_are_projected_through_utm_as_arrays(spark):
                 assert all(abs(u - w) <= 1e-6 for u, w in zip(row["c"], row["p"])), (source, target, row)
     plan = degrees.select(G.densified_bounds(box, F.lit("EPSG:4326"), F.lit("EPSG:32631")))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+def test_overlapping_extents_are_dealt_to_many_tasks(spark):
+    """Dense boxes from one partition each: the pairs are made by as many tasks as a shuffle has."""
+    from pyspark.sql import functions as F
+
+    from rasterweave.operators import spatial as SP
+
+    k = F.col("id")
+    box = lambda x: F.struct(x.alias("minx"), x.alias("miny"), (x + 5.0).alias("maxx"), (x + 5.0).alias("maxy"))
+    rows = spark.range(0, 400, 1, 1).select(k, F.lit("EPSG:3857").alias("crs"), box(k % 20 + 0.5).alias("bounds"))
+    pairs = SP.extent_intersects(rows.withColumnRenamed("id", "aoi_id"), rows.withColumnRenamed("id", "scene_id"))
+    assert pairs.count() == sum(abs(a % 20 - b % 20) < 5 for a in range(400) for b in range(400))
+    used = pairs.groupBy(F.spark_partition_id()).count().count()
+    assert used >= 4

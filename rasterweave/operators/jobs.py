@@ -123,21 +123,26 @@ def _classified(rows: DataFrame) -> DataFrame:
     )
 
 
-def _advance_large(events: DataFrame) -> DataFrame:
+def _advance_large(events: DataFrame, sizes: DataFrame) -> DataFrame:
     """Jobs of any length. The lifecycle is acyclic, so a job accepts at most one event per state
     of the longest path: that many rounds of "earliest acceptable event after the last accepted
     one" replace the fold. Every round is a salted join and a minimum, never a group in one task.
+    ``sizes`` has the jobs and their numbers of events (``_n``): a job has a salt for each ``FOLD_LIMIT`` of them, up
+    to ``_SALTS``, so the states that a round spreads are no more than the work needs.
     """
     ts_type = events.schema["ts"].dataType.simpleString()
-    salted = events.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(_SALTS)).cast("int"))
+    salts = F.least(F.ceil(F.col("_n") / FOLD_LIMIT), F.lit(_SALTS)).cast("int")
+    sizes = sizes.select("job_id", salts.alias("_salts"))
+    # read by every round
+    salted = checkpoint(
+        events.join(sizes, "job_id").withColumn("_salt", F.pmod(F.xxhash64("seq"), F.col("_salts")).cast("int")).drop("_salts")
+    )
 
     def spread(per_job: DataFrame) -> DataFrame:
-        return per_job.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        return per_job.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
 
     entry = f"struct<state: string, ts: {ts_type}, seq: bigint, revision: int>"
-    state = events.select("job_id").distinct().select(
-        "job_id", F.array().cast(f"array<{entry}>").alias("_accepted")
-    )
+    state = sizes.select("job_id", "_salts", F.array().cast(f"array<{entry}>").alias("_accepted"))
     for round_no in range(len(FORWARD)):
         now = F.try_element_at("_accepted", F.lit(-1))
         later = F.coalesce(F.col("seq") > now["seq"], F.lit(True))
@@ -154,7 +159,7 @@ def _advance_large(events: DataFrame) -> DataFrame:
             F.col("_next.seq").alias("seq"), F.lit(round_no).alias("revision"),
         )
         advanced = state.join(found, "job_id", "left").select(
-            "job_id",
+            "job_id", "_salts",
             F.when(F.col("_next").isNull(), F.col("_accepted"))
             .otherwise(F.concat("_accepted", F.array(taken)))
             .alias("_accepted"),
@@ -180,11 +185,11 @@ def apply_events(events: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
     events = events.select("job_id", F.col("seq").cast("long").alias("seq"), "ts", "to_state")
     # one aggregate over a single column tells whether any job is too long to fold
     sizes = events.groupBy("job_id").agg(F.count("*").alias("_n"))
-    long_jobs = checkpoint(sizes.where(F.col("_n") > limit).select("job_id"))
+    long_jobs = checkpoint(sizes.where(F.col("_n") > limit))
     if long_jobs.isEmpty():
         return _fold_small(events)
     folded = _fold_small(events.join(long_jobs, "job_id", "left_anti"))
-    return folded.unionByName(_advance_large(events.join(long_jobs, "job_id", "left_semi")))
+    return folded.unionByName(_advance_large(events, long_jobs))
 
 
 def current_states(outcomes: DataFrame) -> DataFrame:

@@ -84,3 +84,23 @@ def test_overlapping_extents_are_dealt_to_many_tasks(spark):
     assert pairs.count() == sum(abs(a % 20 - b % 20) < 5 for a in range(400) for b in range(400))
     used = pairs.groupBy(F.spark_partition_id()).count().count()
     assert used >= 4
+
+
+def test_states_are_spread_by_the_length_of_their_job(spark):
+    """Long jobs have several salts, short ones one; the outcomes are those of the fold."""
+    from pyspark.sql import functions as F
+
+    from rasterweave.operators import jobs as J
+
+    k, n = F.col("id"), 3000
+    seq = F.when(k < n, k).otherwise((k - n) % 8)
+    job = F.when(k < n, 0).otherwise(1 + F.floor((k - n) / 8))
+    states = F.array(*map(F.lit, J.STATES))
+    events = spark.range(n + 800).select(
+        job.cast("long").alias("job_id"), seq.cast("long").alias("seq"), F.timestamp_seconds(seq + k % 3).alias("ts"),
+        F.get(states, F.when(seq < 1000, F.pmod(seq, F.lit(7))).otherwise(F.pmod(F.xxhash64("id"), F.lit(9))).cast("int")).alias("to_state"),
+    )
+    plan = J.apply_events(events, limit=0)
+    assert {tuple(r) for r in plan.collect()} == {tuple(r) for r in J.apply_events(events, limit=10**6).collect()}
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 31" not in text and "[0,1,2,3,4" not in text

@@ -15,25 +15,32 @@ Where many lines share a segment, their pairs are never listed: the other segmen
 by what is left of it without one character. Lines that share such a key at the same place are one
 edit apart by construction, so the first of them decides for all.
 
-With ``every``, k edits leave k + 1 runs of the longer line as they are, the longest of which has a
-known least length. Each line is keyed by the least hash of its grams in every window of that
-length, so two lines with such a run share a key; no pair is missed. Lines meet by key and class of
-length, where crowded after the pairs with the first line, and all pairs left are verified.
+With ``every``, a line is keyed by the least hashes of its grams, up to a bound below which it has k + 1
+disjoint grams, k being the most edits that a line near it can have. An edit touches one of disjoint
+grams, so a near line has one of them too, and of two near lines the one with the smaller bound finds
+it among the other's keys, at a place few characters off. A line without so many grams has all of them as keys; k edits leave a run
+of known least length as it is, and grams are no longer than that. No pair is missed. Lines meet by key and class
+of length, where crowded after the pairs with the first line, and all pairs left are verified.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import quoted, stored
+from rasterweave.llm.common import mixed, quoted, stored
 
 #: largest group whose pairs are verified one by one; rows of a table that is broadcast at most
 CROWD, BROADCAST_ROWS = 32, 200_000
-#: longer lines are keyed in pieces of so many characters
-PIECE = 4096
+#: grams are counted in pieces of so many characters; lines are keyed so many characters at a time
+PIECE, CHARS = 4096, 1 << 20
+#: bounds of hashes
+LEVELS = [np.uint64(int(2**64 * 0.03 * 1.2**i)) for i in range(20)] + [np.uint64(2**64 - 1)]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -132,22 +139,78 @@ def _run(min_chars: int, every: int) -> int:
     return min(least(n) for n in (min_chars, every * max(2, -(-min_chars // every))))
 
 
-def _doubled(step: int):
-    """Minima of an array and itself, ``step`` places on; a lambda's variable is computed only once."""
-    return lambda h: F.zip_with(h, F.slice(h, step + 1, F.greatest(F.size(h), F.lit(1))), lambda x, y: F.least(x, y))
+def _grams(codes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the ``width`` characters at each place."""
+    h, done = mixed(codes.astype(np.uint64) + np.uint64(1)), 1
+    while done < width and len(h):
+        step = min(done, width - done)
+        h = mixed(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+        done += step
+    return h
 
 
-def _run_keys(line: Column, run: int) -> Column:
-    """The least hash of the grams in every window of ``run`` characters, each once."""
-    width = 1
-    while width * 2 <= run * 2 // 5:
-        width *= 2
-    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{run - width + 1}}}))"), F.lit(1))
-    least, step = F.transform(grams, lambda g: F.xxhash64(g)), 1
-    while step < width:  # shifted onto itself, a window doubles; at the end windows are shorter
-        least = F.transform(F.array(least), _doubled(step))[0]
-        step *= 2
-    return F.array_distinct(least)
+def _prefix_keys(lines: list[str], width: int, every: int) -> tuple[np.ndarray, ...]:
+    """(index of the line, key, first and last place): of each line the hashes of its grams up to a bound of
+    its own, each once.
+
+    The bound is the least of LEVELS up to which the line has one disjoint gram more than it may have
+    edits against any other line, or none if it has never so many.
+    """
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    longest = sizes + np.maximum(1, sizes // (every - 1))  # of the lines that it can be near
+    need = np.maximum(1, longest // every) + 1
+    h = _grams(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4"), width)
+    ends = np.cumsum(sizes)
+    at = np.arange(len(h))
+    owner = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
+    held = at + width <= ends[owner]
+    h, at, owner = h[held], at[held], owner[held]
+    place = at - (ends - sizes)[owner]
+    inside = place % PIECE + width <= PIECE  # grams are counted piece by piece, so that steps are bounded
+    bound = np.full(len(lines), LEVELS[-1])
+    open_ = np.ones(len(lines), bool)
+    for level in LEVELS[:-1]:
+        few = np.flatnonzero((h <= level) & inside)
+        few = few[open_[owner[few]]]
+        if len(few):
+            spot, piece = at[few], place[few] // PIECE
+            first = np.flatnonzero(np.append(True, (np.diff(owner[few]) != 0) | (np.diff(piece) != 0)))
+            last, count = np.append(first[1:], len(few)), np.zeros(len(lines), np.int64)
+            while len(first):  # the next gram that does not overlap
+                count += np.bincount(owner[few[first]], minlength=len(lines))
+                first = np.searchsorted(spot, spot[first] + width)
+                first, last = first[first < last], last[first < last]
+            done = open_ & (count >= need)
+            bound[done] = level
+            open_ &= ~done
+        if not open_.any():
+            break
+    kept = h <= bound[owner]
+    h, owner, place = h[kept], owner[kept], place[kept]
+    order = np.lexsort((place, h, owner))
+    h, owner, place = h[order], owner[order], place[order]
+    once = np.append(True, (np.diff(owner) != 0) | (h[1:] != h[:-1]))[: len(h)]
+    return owner[once], h[once], place[once], place[np.append(once[1:], True)[: len(h)]]
+
+
+def _keyed(texts: DataFrame, width: int, every: int) -> DataFrame:
+    """(id, size, key, place, span) of the lines in ``texts`` (id, size, line)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [x.decode("utf-8", "replace") for x in batch["line"].to_pylist()]
+            start = 0
+            while start < len(lines):
+                end, size = start, 0
+                while end < len(lines) and size < CHARS:
+                    size, end = size + len(lines[end]), end + 1
+                at, keys, first, last = _prefix_keys(lines[start:end], width, every)
+                at = pa.array(at + start)
+                cells = keys.view(np.int64), first.astype(np.int32), (last - first).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["size"].take(at), *map(pa.array, cells)], ["id", "size", "key", "place", "span"])
+                start = end
+
+    return texts.select("id", "size", F.col("line").cast("binary").alias("line")).mapInArrow(make, "id long, size int, key long, place int, span int")
 
 
 def _near_by_share(lines: DataFrame, distinct: DataFrame, min_chars: int, every: int, crowd: int) -> DataFrame:
@@ -156,25 +219,29 @@ def _near_by_share(lines: DataFrame, distinct: DataFrame, min_chars: int, every:
     firsts = distinct.where(F.col("size") >= min_chars).select("h1", "h2", "id", "size", F.col("ord").alias("first"))
     texts = lines.join(firsts, ["h1", "h2"]).where("ord = first").select("id", "size", "line")
     texts = stored(texts.dropDuplicates(["id"]), "texts")  # repeated rows have equal places
-    starts = F.sequence(F.lit(0), F.floor((F.col("size") - 1) / PIECE).cast("int"))
-    pieces = texts.select("id", "size", F.explode(F.transform(starts, lambda i: F.substring(F.col("line"), i * PIECE + 1, F.lit(PIECE + run - 1)))).alias("piece"))
-    keys = pieces.select("id", "size", F.explode(_run_keys(F.col("piece"), run)).alias("key"))
+    keys = _keyed(texts, run - run // 3, every)
     # sizes of a pair are in the same or the next class
     width = -math.log(1 - max(1 / every, 1 / min_chars)) * 1.0001
     keys = keys.withColumn("class", F.floor(F.log("size") / width))
-    counts = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    shared = stored(keys.join(counts.select("key"), "key"), "shared")
+    common = stored(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "common")
+    common = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
+    shared = stored(keys.join(common, "key"), "shared")
     allowed = f"greatest(1, greatest(sa, sb) div {every})"
     a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-    near = lambda pairs: pairs.distinct().join(a, "a").join(b, "b").where(
-        F.expr(f"levenshtein(la, lb, cast({allowed} as int)) >= 0")
-    ).select(F.col("b").alias("id"))
-    ends = [F.col("id").alias(x) for x in "ab"], [F.col("size").alias(f"s{x}") for x in "ab"]
-    first, second = (shared.select("key", "class", ends[0][i], ends[1][i]) for i in (0, 1))
-    close = f"a < b and abs(sa - sb) <= {allowed}"
+
+    def near(pairs: DataFrame) -> DataFrame:
+        # one text after the other, so that only one side's shuffle of the texts is on disk
+        met = stored(stored(pairs.distinct(), "pairs").join(a, "a"), "met")
+        return met.join(b, "b").where(F.expr(f"levenshtein(la, lb, cast({allowed} as int)) >= 0")).select(F.col("b").alias("id"))
+
+    first, second = (
+        shared.select("key", "class", *[F.col(c).alias(f"{n}{x}") for c, n in (("id", ""), ("size", "s"), ("place", "p"), ("span", "w"))]) for x in "ab"
+    )
+    # edits move what they leave by as many places at most
+    close = f"a < b and abs(sa - sb) <= {allowed} and pa <= pb + wb + {allowed} and pb <= pa + wa + {allowed}"
 
     # crowded keys: the first line decides for those near it, which then need no more pairs
-    pivots = shared.groupBy("key", "class").agg(F.min("id").alias("a"), F.min_by("size", "id").alias("sa"), F.count("*").alias("m"))
+    pivots = shared.groupBy("key", "class").agg(F.min("id").alias("a"), *[F.min_by(c, "id").alias(f"{n}a") for c, n in (("size", "s"), ("place", "p"), ("span", "w"))], F.count("*").alias("m"))
     pivots = pivots.where(F.col("m") > crowd).drop("m")
     decided = stored(near(pivots.join(second, ["key", "class"]).where(close).select("a", "sa", "b", "sb")).distinct(), "decided")
     open_ = second.join(decided.select(F.col("id").alias("b")), "b", "left_anti")

@@ -99,3 +99,22 @@ def test_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.without_repeated_lines(empty).count() == 0
     assert lines.without_repeated_lines(empty, every=32).count() == 0
+
+
+def test_near_lines_share_few_keys():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij é𝄞", k=n)) for n in (40, 41, 63, 64, 200, 333, 9000) for _ in range(4)]
+    changed = []
+    for text in texts:
+        line = list(text)
+        for _ in range(max(1, len(line) // 32)):
+            i = rng.randrange(len(line))
+            line[i : i + 1] = rng.choice(("", "x", "yz"))[:2] if len(line) < 64 else rng.choice("xyz")
+        changed.append("".join(line)[: len(text)])
+    at, keys, first, last = lines._prefix_keys(texts + changed, 14, 32)
+    assert (first <= last).all()
+    own = [set(keys[at == i].tolist()) for i in range(len(texts) * 2)]
+    near = [i for i, (a, b) in enumerate(zip(texts, changed)) if distance(a[:400], b[:400]) <= max(1, max(len(a), len(b)) // 32) or len(a) > 400]
+    assert len(near) > 20 and all(own[i] & own[i + len(texts)] for i in near)
+    long = [len(own[i]) / len(texts[i]) for i in range(16, len(texts))]
+    assert max(long) < 0.16  # with the least gram of each window there were 0.22 keys a character

@@ -11,7 +11,9 @@ linked sets share at least one. Within each region a document is the pivot. The
 region's members to it are computed exactly; members within r are linked to it. Pairs of other members
 are compared only if they are not connected yet, if sizes and positions allow a link, and if their
 distances to the pivot differ by at most r, as the triangle inequality demands. Crowded regions choose
-further pivots before such pairs are listed. Components of the links come out exact.
+further pivots before such pairs are listed, and pairs are listed only if the sets' signatures, which
+show in how many shingles two sets differ at least, leave room for a link. Components of the links come
+out exact.
 
 The order of shingles is by their count in a sample of documents, then by hash, so passages shared by
 many documents come last and name few regions. It affects speed only; any order gives the same links.
@@ -35,6 +37,8 @@ WIDTH, PERCENT = 5, 75
 SAMPLE, COMMON = 32, 500_000
 #: regions with more members choose further pivots, so many times; rows that are broadcast at most
 CROWD, PIVOTS, BROADCAST_ROWS = 16, 3, 300_000
+#: 64-bit words of a signature
+SIGNS = [f"g{i}" for i in range(16)]
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -56,18 +60,32 @@ def set_id(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """For each of 1,024 remainders of a hash, whether an odd number of shingles has it.
+
+    Signatures of two sets differ in no more bits than the sets do in shingles.
+    """
+    size = 64 * len(SIGNS)  # a power of two
+    bits = np.bincount((s & np.uint64(size - 1)).view(np.int64), minlength=size)
+    return np.packbits(bits.astype(np.uint8) & 1).view(np.int64)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, th, n, sid) of every row of (doc, text, th)."""
+    """(doc, th, n, sid, signature) of every row of (doc, text, th)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sid = np.empty((2, batch.num_rows), np.int64)
+            signs = np.empty((len(SIGNS), batch.num_rows), np.int64)
             for i, t in enumerate(batch["text"]):
                 s = shingle_set(t.as_py(), width)
                 n[i], sid[i] = len(s), set_id(s)
-            yield pa.RecordBatch.from_arrays([batch["doc"], batch["th"], pa.array(n), pa.array(sid)], ["doc", "th", "n", "sid"])
+                signs[:, i] = signature(s)
+            arrays = [batch["doc"], batch["th"], pa.array(n), pa.array(sid), *map(pa.array, signs)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "th", "n", "sid", *SIGNS])
 
-    return docs.mapInArrow(make, f"doc {docs.schema['doc'].dataType.simpleString()}, th long, n long, sid long")
+    fields = ", ".join(f"{g} long" for g in SIGNS)
+    return docs.mapInArrow(make, f"doc {docs.schema['doc'].dataType.simpleString()}, th long, n long, sid long, {fields}")
 
 
 def _common(docs: DataFrame, width: int) -> tuple[bytes, bytes]:
@@ -169,6 +187,12 @@ def _possible(percent: int, a: str, b: str) -> str:
     )
 
 
+def _alike(percent: int, a: str, b: str) -> str:
+    """Whether signatures leave room for a link."""
+    need = f"(({percent} * ({a}.n + {b}.n) + {percent + 99}) div {100 + percent})"
+    return " + ".join(f"bit_count({a}.{g} ^ {b}.{g})" for g in SIGNS) + f" <= {a}.n + {b}.n - 2 * {need}"
+
+
 def _whole_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(sid, data): hashes of the wanted sets, made anew from their documents."""
 
@@ -216,7 +240,9 @@ def linked_components(
     """
     texts = docs.select(F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
     rows = stored(_sets(texts.withColumn("th", F.xxhash64("text")), width), "sets")
-    classes = stored(rows.where("n > 0").groupBy("sid").agg(F.min("doc").alias("low")), "classes")
+    signs = [F.first(g).alias(g) for g in SIGNS]  # equal sets have equal signatures
+    signed = stored(rows.where("n > 0").groupBy("sid").agg(F.min("doc").alias("low"), *signs), "classes")
+    rows, classes = rows.drop(*SIGNS), signed.select("sid", "low")
     regions = _regions(texts, width, percent)
 
     # pivot of each region: the member with the least hash
@@ -252,11 +278,12 @@ def linked_components(
     open_ = _unconnected(crowded, parts)
     distances = first.select("h", F.col("sid").alias("b")).join(known.select(F.col("a").alias("sid"), "b", "distance"), "b")
     open_ = open_.join(distances.select("h", "sid", "distance"), ["h", "sid"], "left")
+    open_ = open_.join(signed.drop("low"), "sid")
     radius = 1 - percent / 100 + 1e-9
     rest = (
         open_.alias("x").join(open_.alias("y"), "h")
         .where(f"x.sid < y.sid and x.part <> y.part and {_possible(percent, 'x', 'y')}")
-        .where(f"coalesce(abs(x.distance - y.distance), 0) <= {radius}")
+        .where(f"coalesce(abs(x.distance - y.distance), 0) <= {radius} and {_alike(percent, 'x', 'y')}")
         .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
         .distinct()
     )

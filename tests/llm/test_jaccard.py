@@ -1,8 +1,9 @@
 import random
+import time
 
 import pytest
 
-from rasterweave.llm import jaccard, queries
+from rasterweave.llm import common, jaccard, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -65,3 +66,35 @@ def test_nothing(spark):
 def test_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert sorted((tuple(r)[:3] for r in queries.op6_jaccard_components(spark, FOLDER).collect()), key=str) == brute(docs)
+
+
+@pytest.mark.parametrize("signed", [True, False])
+def test_pairs_just_below_the_threshold_are_not_compared(spark, monkeypatch, signed):
+    # each text has one word of its own, so none is linked, though they share most of their shingles
+    words = [f"w{i}" for i in range(64)]
+    docs = [(i, " ".join(words[:k] + [f"own{i}"] + words[k + 1 :])) for i, k in enumerate(range(2, 64, 5))]
+    compared, verified = [], jaccard._verified
+
+    def counting(*args):
+        compared.append(verified(*args))
+        return compared[-1]
+
+    monkeypatch.setattr(jaccard, "_verified", counting)
+    if not signed:  # as it was
+        monkeypatch.setattr(jaccard, "_alike", lambda *_: "true")
+    got = jaccard.linked_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()} == set(brute(docs))
+    assert (sum(x.count() for x in compared) < 40) == signed
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, setting = shuffled(), spark.conf.get(common.SHUFFLES_GO, "false")
+    rows = common.stored(spark.range(10_000).repartition(7, "id").groupBy("id").count(), "rows")
+    for _ in range(50):  # files go in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and rows.count() == 10_000
+    assert spark.conf.get(common.SHUFFLES_GO, "false") == setting

@@ -58,21 +58,22 @@ class SuffixTree:
     parts: dict
 
 
-def _ids(texts, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids (-1: not in ``known``) of texts, an end after each, where a text starts, and codes:
-    the id of a known word and the 64-bit hash of any other."""
-    rows, others = [], []
+def _ids(texts, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Word ids (-1: not in ``known``) of texts, an end after each, where a text starts, codes (the id
+    of a known word and the 64-bit hash of any other), and each text's words that are not known."""
+    rows, others, lost = [], [], []
     for t in texts:
         words = words_of(t)
         words.append(END)
         rows.append(np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words)))
-        others.append(np.array([xxhash.xxh64_intdigest(words[i]) for i in np.flatnonzero(rows[-1] < 0)], np.uint64))
+        lost.append([words[i] for i in np.flatnonzero(rows[-1] < 0).tolist()])
+        others.append(np.array([xxhash.xxh64_intdigest(w) for w in lost[-1]], np.uint64))
     ids = np.concatenate(rows)
     first = np.zeros(len(ids), bool)
     first[np.cumsum([0, *map(len, rows)])[:-1]] = True
     codes = ids.view(np.uint64).copy()
     codes[ids < 0] = np.concatenate(others)
-    return ids, first, codes
+    return ids, first, codes, lost
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,7 +129,7 @@ def _counted(docs: DataFrame, parts: dict) -> DataFrame:
         for batch in batches:
             texts = batch["text"].to_pylist()
             for start in range(0, len(texts), 500):
-                ids, first, _ = _ids(texts[start : start + 500], known)
+                ids, first, _, _ = _ids(texts[start : start + 500], known)
                 state = _states(ids, first, own)[-1]
                 held = state >= 0
                 fresh.append(state[held] * (own["symbols"] + 1) + _symbols(ids, own["symbols"])[held])
@@ -166,7 +167,7 @@ def _tail_counts(docs: DataFrame, parts: dict, least: int) -> DataFrame:
         for batch in batches:
             texts = batch["text"].to_pylist()
             for start in range(0, len(texts), 500):
-                ids, first, codes = _ids(texts[start : start + 500], known)
+                ids, first, codes, _ = _ids(texts[start : start + 500], known)
                 tail = np.flatnonzero(_in_tail(ids, first, contexts))
                 held.append((codes[tail - 1], codes[tail], np.ones(len(tail), np.int64)))
                 size += len(tail)
@@ -393,7 +394,7 @@ def score(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = part["text"].to_pylist()
-                ids, first, codes = _ids(texts, known)
+                ids, first, codes, lost = _ids(texts, known)
                 begins = np.flatnonzero(first)
                 sym = _symbols(ids, own["symbols"])
                 p = root[sym]
@@ -412,12 +413,7 @@ def score(docs: DataFrame, model: SuffixTree, id_col: str = "doc_id", text_col:
                 ends = np.searchsorted(met[passed], np.append(begins, len(ids)))
                 met = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pair[passed].view(np.int64)))
                 add = lambda x: np.add.reduceat(x, begins)
-                rare = []
-                for t, miss in zip(texts, add(unseen.astype(np.int64))):
-                    lost = Counter(w for w in words_of(t) if w not in known) if miss else {}
-                    if miss and END not in known:
-                        lost[END] += 1
-                    rare.append([{"word": w, "n": n} for w, n in lost.items()])
+                rare = [[{"word": w, "n": n} for w, n in Counter(words).items()] for words in lost]
                 sizes = np.diff(np.append(begins, len(ids)))
                 yield pa.RecordBatch.from_arrays(
                     [part["doc"], pa.array(sizes), pa.array(add((~unseen).astype(np.int64))), pa.array(add(plain)), pa.array(add(full)), pa.array(rare, rare_type), met],

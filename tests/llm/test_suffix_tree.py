@@ -146,3 +146,11 @@ def test_query(spark):
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
     out = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_words_that_are_not_known_come_with_the_ids():
+    known = {b"a": 0, b"": 1}
+    ids, first, _, lost = suffix_tree._ids(["a B b a", None, "c"], known)
+    assert ids.tolist() == [0, -1, -1, 0, 1, 1, -1, 1] and lost == [[b"b", b"b"], [], [b"c"]]
+    assert first.tolist() == [True, False, False, False, False, True, True, False]
+    assert suffix_tree._ids(["a"], {b"a": 0})[3] == [[b""]]

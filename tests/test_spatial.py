@@ -85,6 +85,30 @@ def test_coverage_across_systems(spark):
     assert {tuple(g) for g in got} == {(a, s) for a in (1, 2, 3) for s in (1, 3, 5, 6)} | {(4, 7)}
 
 
+def test_rasters_reach_far_zones(spark):
+    """Wide rasters meet AOIs many zones away, across the pole and the date line, and no others."""
+    square = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y)]
+    chance = random.Random(5)
+    places = [(chance.uniform(-180, 179), chance.uniform(-88, 87), chance.choice([0.02, 1.0])) for _ in range(200)]
+    # three and more zones from 32 at 70 degrees, over the pole, on the equator 90 degrees away and beyond the poles
+    places += [(33.0, 70.0, 0.02), (48.0, 80.0, 0.02), (-171.0, 89.0, 0.02), (99.0, 0.0, 0.02), (98.99, -0.01, 0.02), (-171.01, -0.01, 0.02), (-171.0, 0.0, 0.02)]
+    aois = spark.createDataFrame([(i, 1, "EPSG:4326", square(*p), []) for i, p in enumerate(places)], AOI)
+    scenes = []
+    for i in range(240):
+        south, wide = i % 2, 10.0 ** chance.uniform(3, 6.3)
+        x, y = 500_000 + chance.uniform(-1, 1) * wide, (10_000_000 if south else 0) + chance.choice([-1, 1, 1 - 2 * south, 1 - 2 * south]) * chance.uniform(0, 1.05e7)
+        scenes.append((i, f"EPSG:32{6 + south}{1 + i % 60:02d}", (x - wide, y - wide, x + wide, y + wide)))
+    scenes += [(900, "EPSG:32632", (0.0, 7_000_000.0, 1_800_000.0, 9_300_000.0)), (901, "EPSG:32632", (0.0, 9_900_000.0, 1_000_000.0, 11_000_000.0))]
+    scenes += [(902, "EPSG:32701", (0.0, 1_000_000.0, 400_000.0, 1_400_000.0)), (903, "EPSG:32632", (0.0, 19_900_000.0, 1_000_000.0, 20_100_000.0))]
+    scenes = spark.createDataFrame(scenes, f"scene_id LONG, crs STRING, bounds {BOX}")
+    got = {tuple(r) for r in SP.coverage(aois, scenes).collect()}
+    box = G.densified_bounds(F.struct(*[F.col("_b")[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")]), F.lit("EPSG:4326"), F.col("crs"))
+    every = aois.select("aoi_id", G.bounds(F.col("ring")).alias("_b")).crossJoin(scenes.select("scene_id", "crs", "bounds"))
+    want = {(r[0], r[1]) for r in every.withColumn("b", box).where("NOT (b.maxx <= bounds.minx OR b.minx >= bounds.maxx OR b.maxy <= bounds.miny OR b.miny >= bounds.maxy)").select("aoi_id", "scene_id").collect()}
+    assert got == want
+    assert {(200, 900), (201, 900), (202, 901), (205, 903), (206, 903)} <= got and not {(203, 900), (204, 900), (205, 900), (206, 900)} & got
+
+
 @pytest.mark.parametrize("t", [(2.0, 0.0, 100.0, 0.0, -2.0, 500.0), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), (1.5, 0.4, 3.0, -0.3, -1.25, 90.0)])
 def test_blocks_and_pixels_clip_alike(spark, t):
     """Random stars with holes, of which some leave the raster, over blocks of 8."""

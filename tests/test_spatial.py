@@ -41,6 +41,14 @@ def test_boxes_of_all_sizes(spark):
     assert nodes.agg(F.max("count")).first()[0] <= (SP.PARTS + 1) ** 2
 
 
+def test_dense_boxes_are_paired_by_many_tasks(spark):
+    """Pairs are many times the boxes: each is made once, and the shortness of the tables joins no tasks."""
+    rows = spark.range(300).select("id", F.lit("a").alias("crs"), F.expr("struct(double(id % 20) as minx, double(id % 15) as miny, id % 20 + 20.5D as maxx, id % 15 + 20.5D as maxy)").alias("bounds"))
+    got = SP.extent_intersects(rows.withColumnRenamed("id", "aoi_id"), rows.withColumnRenamed("id", "scene_id"))
+    assert got.count() == got.distinct().count() == 300 * 300
+    assert got.rdd.getNumPartitions() >= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_empty_tables_overlap_nothing(spark):
     none = spark.createDataFrame([], f"aoi_id LONG, scene_id LONG, crs STRING, ring {G.RING}, bounds {BOX}")
     assert SP.extent_intersects(none, none).count() == 0 and SP.coverage(none, none).count() == 0

@@ -20,13 +20,15 @@ disjoint grams, k being the most edits that a line near it can have. An edit tou
 grams, so a near line has one of them too, and of two near lines the one with the smaller bound finds
 it among the other's keys, at a place few characters off. A line without so many grams has all of them as keys; k edits leave a run
 of known least length as it is, and grams are no longer than that. No pair is missed. Lines meet by key and class
-of length, where crowded after the pairs with the first line, and all pairs left are verified.
+of length, where crowded after the pairs with the first line, and all pairs left are verified. Keys are dealt
+to rounds, and the pairs of one round are stored before the next is shuffled, so that not all keys are on disk at once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ CROWD, BROADCAST_ROWS = 32, 200_000
 PIECE, CHARS = 4096, 1 << 20
 #: bounds of hashes
 LEVELS = [np.uint64(int(2**64 * 0.03 * 1.2**i)) for i in range(20)] + [np.uint64(2**64 - 1)]
+#: keys a round, and rounds at most
+ROUND, ROUNDS = 4_000_000, 16
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -217,37 +221,60 @@ def _near_by_share(lines: DataFrame, distinct: DataFrame, min_chars: int, every:
     """(id) of the distinct lines within ``size // every`` edits, at least one, of one with a smaller id."""
     run = _run(min_chars, every)
     firsts = distinct.where(F.col("size") >= min_chars).select("h1", "h2", "id", "size", F.col("ord").alias("first"))
-    texts = lines.join(firsts, ["h1", "h2"]).where("ord = first").select("id", "size", "line")
-    texts = stored(texts.dropDuplicates(["id"]), "texts")  # repeated rows have equal places
+    # repeated rows have equal places; no line is before the first, and without an equality here texts are shuffled once
+    texts = lines.join(firsts, ["h1", "h2"]).where("ord <= first").dropDuplicates(["h1", "h2"]).select("id", "size", "line")
+    texts = stored(texts, "texts")
     keys = _keyed(texts, run - run // 3, every)
     # sizes of a pair are in the same or the next class
     width = -math.log(1 - max(1 / every, 1 / min_chars)) * 1.0001
-    keys = keys.withColumn("class", F.floor(F.log("size") / width))
     common = stored(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "common")
     common = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
-    shared = stored(keys.join(common, "key"), "shared")
+    shared = keys.join(common, "key").withColumn("class", F.floor(F.log("size") / width).cast("int"))
+    shared = stored(shared, "shared")
     allowed = f"greatest(1, greatest(sa, sb) div {every})"
     a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    count = texts.count()
 
     def near(pairs: DataFrame) -> DataFrame:
-        # one text after the other, so that only one side's shuffle of the texts is on disk
-        met = stored(stored(pairs.distinct(), "pairs").join(a, "a"), "met")
-        return met.join(b, "b").where(F.expr(f"levenshtein(la, lb, cast({allowed} as int)) >= 0")).select(F.col("b").alias("id"))
+        # pairs may be many times the lines: no more of them than half the lines have their texts on disk at once
+        pairs = stored(pairs.distinct(), "pairs")
+        found, parts = [], max(1, -(-2 * pairs.count() // max(1, count)))
+        for i in range(parts):
+            part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i)
+            # one text after the other, so that only one side's shuffle of the texts is on disk
+            met = stored(part.join(a, "a"), "met").join(b, "b")
+            met = met.where(F.expr(f"levenshtein(la, lb, cast({allowed} as int)) >= 0"))
+            found.append(stored(met.select(F.col("b").alias("id")).distinct(), "near"))
+        return reduce(DataFrame.unionByName, found)
+
+    rounds = max(1, min(ROUNDS, -(-shared.count() // ROUND)))
+
+    def in_rounds(make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        parts = [shared.where(F.pmod("key", F.lit(rounds)) == i) for i in range(rounds)]
+        return reduce(DataFrame.unionByName, [stored(make(part).distinct(), "pairs") for part in parts])
+
+    def ends(part: DataFrame) -> Iterator[DataFrame]:
+        names = ("id", ""), ("size", "s"), ("place", "p"), ("span", "w")
+        return (part.select("key", "class", *[F.col(c).alias(f"{n}{x}") for c, n in names]) for x in "ab")
 
-    first, second = (
-        shared.select("key", "class", *[F.col(c).alias(f"{n}{x}") for c, n in (("id", ""), ("size", "s"), ("place", "p"), ("span", "w"))]) for x in "ab"
-    )
     # edits move what they leave by as many places at most
     close = f"a < b and abs(sa - sb) <= {allowed} and pa <= pb + wb + {allowed} and pb <= pa + wa + {allowed}"
 
     # crowded keys: the first line decides for those near it, which then need no more pairs
-    pivots = shared.groupBy("key", "class").agg(F.min("id").alias("a"), *[F.min_by(c, "id").alias(f"{n}a") for c, n in (("size", "s"), ("place", "p"), ("span", "w"))], F.count("*").alias("m"))
-    pivots = pivots.where(F.col("m") > crowd).drop("m")
-    decided = stored(near(pivots.join(second, ["key", "class"]).where(close).select("a", "sa", "b", "sb")).distinct(), "decided")
-    open_ = second.join(decided.select(F.col("id").alias("b")), "b", "left_anti")
-    probes = open_.withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])))
-    pairs = first.join(probes, ["key", "class"]).where(close).select("a", "sa", "b", "sb")
-    return decided.unionByName(near(pairs)).distinct()
+    def with_first(part: DataFrame) -> DataFrame:
+        pivots = part.groupBy("key", "class").agg(F.min("id").alias("a"), *[F.min_by(c, "id").alias(f"{n}a") for c, n in (("size", "s"), ("place", "p"), ("span", "w"))], F.count("*").alias("m"))
+        pivots = pivots.where(F.col("m") > crowd).drop("m")
+        _, second = ends(part)
+        return pivots.join(second, ["key", "class"]).where(close).select("a", "sa", "b", "sb")
+
+    def with_all(part: DataFrame) -> DataFrame:
+        first, second = ends(part)
+        open_ = second.join(decided.select(F.col("id").alias("b")), "b", "left_anti")
+        probes = open_.withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])))
+        return first.join(probes, ["key", "class"]).where(close).select("a", "sa", "b", "sb")
+
+    decided = stored(near(in_rounds(with_first)).distinct(), "decided")
+    return decided.unionByName(near(in_rounds(with_all))).distinct()
 
 
 def dropped_lines(

@@ -80,6 +80,48 @@ def test_edits_by_length_against_all_pairs(spark, monkeypatch, crowd, every, pie
     assert len(one) + 5 < len(gone) < len(at) - 5
 
 
+def test_keys_and_pairs_go_in_rounds(spark, monkeypatch):
+    """Small rounds drop the same lines; no round holds all pairs, and no more texts than half the lines are met at once."""
+    rng, docs = random.Random(8), []
+    base = ["".join(rng.choices("abcdef ", k=80)) for _ in range(12)]
+    for d in range(10):
+        out = []
+        for line in base:
+            i = rng.randrange(80)
+            out.append(line[:i] + rng.choice("xyz") + line[i + 1 :])
+        docs.append((d, "\n".join(out)))
+    table, kept, counts = spark.createDataFrame(docs, "doc_id long, text string"), lines.stored, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        counts.append((name, out.count()))
+        return out
+
+    once = lines.without_repeated_lines(table, every=32, crowd=1000).collect()
+    monkeypatch.setattr(lines, "ROUND", 200)
+    monkeypatch.setattr(lines, "stored", counted)
+    assert sorted(lines.without_repeated_lines(table, every=32, crowd=1000).collect()) == sorted(once)
+    assert {r["text"].count("\n") for r in once} > {11}
+    pairs, met = ([n for name, n in counts if name == x] for x in ("pairs", "met"))
+    # the last is the union of the rounds before it, each pair once
+    assert len(pairs) > 6 and max(pairs[:-1]) < pairs[-1] and sum(met) == pairs[-1]
+    assert max(met) < dict(counts)["texts"]
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    plans, kept = {}, lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.createDataFrame([(1, "a line of forty characters and a few more")] * 2, "doc_id long, text string")
+        assert [r["text"] for r in lines.without_repeated_lines(table, every=32).collect()] == ["a line of forty characters and a few more"] * 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans["texts"].count("Exchange hashpartitioning") == 2  # of the lines and of their first places
+
+
 def test_pipeline_drops_lines_with_a_replaced_word(spark):
     line = " ".join(f"word{i}" for i in range(40))
     rows = [(1, line), (2, line.replace("word20", "other")), (3, line.replace("word2", "other"))]
